@@ -1,7 +1,7 @@
 """Profile, clean and prepare distributed tables with Spark."""
 
 from sparkprep.plans.catalogue import catalogue
-from sparkprep.plans.pipeline import run_pipeline
+from sparkprep.plans.batch import run_batch
 from sparkprep.plans.preview import preview, sanitise
 from sparkprep.plans.profile import profile
 from sparkprep.plans.recipe import Recipe, Step
@@ -18,7 +18,7 @@ __all__ = [
     "preview",
     "profile",
     "read_table",
-    "run_pipeline",
+    "run_batch",
     "sanitise",
     "write_table",
 ]

@@ -13,7 +13,7 @@ from sparkprep.sources.tables import read_table, write_table
 
 
 @dataclass
-class PipelineResult:
+class BatchResult:
     output: DataFrame
     fitted: FittedRecipe
     rows: int | None = None  # known once something was written
@@ -38,14 +38,14 @@ def transform_table(
     auto_dummy: bool = True,
     on_error: str = "skip",
     max_columns: int = MAX_DUMMIES,
-) -> PipelineResult:
+) -> BatchResult:
     """The recipe followed by dummy columns for every remaining text column."""
     fitted = fit_recipe(df, recipe, mode=mode, on_error=on_error)
     output = auto_dummies(fitted.output, max_columns) if auto_dummy else fitted.output
-    return PipelineResult(output, fitted)
+    return BatchResult(output, fitted)
 
 
-def run_pipeline(spark: SparkSession, source: str, recipe: Recipe, target: str, **options) -> PipelineResult:
+def run_batch(spark: SparkSession, source: str, recipe: Recipe, target: str, **options) -> BatchResult:
     """Read ``source`` (CSV or Parquet), apply the recipe, write ``target``.
 
     The format of each end follows its name: ``.parquet`` is Parquet, anything

@@ -7,10 +7,10 @@ histograms, one for distinct and top values, and one for duplicate rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,25 +43,6 @@ COLUMN_SCHEMA = (
 )
 
 
-@dataclass
-class Profile:
-    table: DataFrame  # one row
-    columns: DataFrame  # one row per column
-
-    def select(self, kind: str = "All", search: str = "") -> DataFrame:
-        """Column rows of one kind (All, Numeric, Categorical, Missing) whose name
-        contains ``search``, ignoring case."""
-        rows = self.columns.where(F.lower("name").contains(search.lower()))
-        if kind in ("Numeric", "Categorical"):
-            return rows.where(F.col("type") == kind.lower())
-        return rows.where(F.col("missing_pct") > 0) if kind == "Missing" else rows
-
-    def distributions(self) -> DataFrame:
-        """One row per bar: ``name, place, label, value``."""
-        bars = self.columns.select("name", F.posexplode("distribution").alias("place", "bar"))
-        return bars.select("name", "place", "bar.label", "bar.value")
-
-
 def _bytes(df: DataFrame, field: T.StructField) -> Column:
     """Logical size: 8 bytes per number or time, 1 per flag, the text's length."""
     if isinstance(field.dataType, T.BooleanType):
@@ -144,72 +125,127 @@ def _rounded(value: float | None, digits: int = 2) -> float | None:
     return None if value is None else round(float(value), digits)
 
 
+class Profile:
+    """Statistics of one table; each part runs its passes when first asked for."""
+
+    def __init__(self, df: DataFrame, approximate_unique: bool = False):
+        self.df = df
+        self.approximate_unique = approximate_unique
+        self.fields = df.schema.fields
+        self.numeric = {i: f.name for i, f in enumerate(self.fields) if is_numeric(f.dataType)}
+        self._search = Quantiles(
+            {str(i): number_of(df, n) for i, n in self.numeric.items()}, {str(i): [0.5] for i in self.numeric}
+        )
+
+    @cached_property
+    def _totals(self) -> Row:
+        df = self.df
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        for i, field in enumerate(self.fields):
+            value = value_of(df, field.name)
+            aggs += [F.count(value).alias(f"n{i}"), _bytes(df, field).alias(f"b{i}")]
+            if self.approximate_unique:
+                aggs.append(F.approx_count_distinct(value).alias(f"u{i}"))
+            if i in self.numeric:
+                x = number_of(df, field.name)
+                aggs += [
+                    F.avg(x).alias(f"avg{i}"),
+                    F.stddev_samp(x).alias(f"std{i}"),
+                    F.min(x).alias(f"min{i}"),
+                    F.max(x).alias(f"max{i}"),
+                    F.count_if(is_infinite(x)).alias(f"inf{i}"),
+                ]
+        return df.agg(*aggs, *self._search.sketches()).first()
+
+    @cached_property
+    def _medians(self) -> dict[int, float | None]:
+        found = self._search.resolve(self.df, self._totals)
+        return {i: found[str(i)][0.5] for i in self.numeric}
+
+    @cached_property
+    def _bars(self) -> dict[int, list[tuple[str, int]]]:
+        row = self._totals
+        edges = {
+            i: histogram_edges(row[f"min{i}"], row[f"max{i}"])
+            for i in self.numeric
+            if row[f"n{i}"] and not row[f"inf{i}"]
+        }
+        return _histograms(self.df, edges)
+
+    @cached_property
+    def _values(self) -> tuple[dict[int, int], dict[int, list[tuple[str, int]]]]:
+        """Distinct counts of all columns and top values of categorical ones."""
+        if not self.approximate_unique:
+            return _distinct_and_top(self.df) if self.fields else ({}, {})
+        unique = {i: self._totals[f"u{i}"] for i in range(len(self.fields))}
+        others = [i for i in range(len(self.fields)) if i not in self.numeric]
+        if not others:
+            return unique, {}
+        tops = _distinct_and_top(self.df.select(*[col(self.fields[i].name) for i in others]))[1]
+        return unique, {others[j]: top for j, top in tops.items()}
+
+    @cached_property
+    def table(self) -> DataFrame:
+        """One row of table totals."""
+        row, n = self._totals, len(self.fields)
+        rows = row["rows"]
+        size = sum(row[f"b{i}"] for i in range(n))
+        missing = sum(rows - row[f"n{i}"] for i in range(n))
+        duplicates = duplicate_rows(self.df, rows) if rows and n else 0
+        return self.df.sparkSession.createDataFrame(
+            [(rows, n, size, duplicates, missing, duplicates == 0)], TABLE_SCHEMA
+        )
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        """One row per column."""
+        rows = [self._column(i, f.name) for i, f in enumerate(self.fields)]
+        return self.df.sparkSession.createDataFrame(rows, COLUMN_SCHEMA)
+
+    def _column(self, i: int, name: str) -> tuple[Any, ...]:
+        row, numeric = self._totals, i in self.numeric
+        rows, known = row["rows"], row[f"n{i}"]
+        pct = round((rows - known) / rows * 100, 1) if rows else None
+        unique, tops = self._values
+        distinct, top = unique.get(i, 0), tops.get(i, [])
+        stats = [None] * 5
+        if numeric:
+            stats = [row[f"avg{i}"], self._medians[i], row[f"std{i}"], row[f"min{i}"], row[f"max{i}"]]
+        return (
+            i,
+            name,
+            "numeric" if numeric else "categorical",
+            rows - known,
+            pct,
+            None if pct is None else round(100 - pct, 1),
+            distinct,
+            *[_rounded(v) for v in stats],
+            *(top[0] if top else (None, None)),
+            pct is not None and pct > 50,
+            pct is not None and pct > 20,
+            pct is not None and pct > 0,
+            not numeric and distinct > TOP_VALUES,
+            self._bars.get(i, []) if numeric else top,
+        )
+
+    def select(self, kind: str = "All", search: str = "") -> DataFrame:
+        """Column rows of one kind (All, Numeric, Categorical, Missing) whose name
+        contains ``search``, ignoring case."""
+        rows = self.columns.where(F.lower("name").contains(search.lower()))
+        if kind in ("Numeric", "Categorical"):
+            return rows.where(F.col("type") == kind.lower())
+        return rows.where(F.col("missing_pct") > 0) if kind == "Missing" else rows
+
+    def distributions(self) -> DataFrame:
+        """One row per bar: ``name, place, label, value``."""
+        bars = self.columns.select("name", F.posexplode("distribution").alias("place", "bar"))
+        return bars.select("name", "place", "bar.label", "bar.value")
+
+
 def profile(df: DataFrame, approximate_unique: bool = False) -> Profile:
     """Statistics of the whole table.
 
     ``approximate_unique`` replaces the exact distinct counts, whose shuffle
     carries every distinct value, by a sketch in the first pass.
     """
-    spark, fields = df.sparkSession, df.schema.fields
-    numeric = {i: f.name for i, f in enumerate(fields) if is_numeric(f.dataType)}
-    search = Quantiles({str(i): number_of(df, n) for i, n in numeric.items()}, {str(i): [0.5] for i in numeric})
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, field in enumerate(fields):
-        aggs += [F.count(value_of(df, field.name)).alias(f"n{i}"), _bytes(df, field).alias(f"b{i}")]
-        if approximate_unique:
-            aggs.append(F.approx_count_distinct(value_of(df, field.name)).alias(f"u{i}"))
-        if i in numeric:
-            x = number_of(df, field.name)
-            aggs += [
-                F.avg(x).alias(f"avg{i}"),
-                F.stddev_samp(x).alias(f"std{i}"),
-                F.min(x).alias(f"min{i}"),
-                F.max(x).alias(f"max{i}"),
-                F.count_if(is_infinite(x)).alias(f"inf{i}"),
-            ]
-    row = df.agg(*aggs, *search.sketches()).first()
-    rows = row["rows"]
-    medians = search.resolve(df, row)
-    edges = {
-        i: histogram_edges(row[f"min{i}"], row[f"max{i}"]) for i in numeric if row[f"n{i}"] and not row[f"inf{i}"]
-    }
-    bars = _histograms(df, edges)
-    texts = [f.name for i, f in enumerate(fields) if i not in numeric]
-    if approximate_unique:
-        unique = {i: row[f"u{i}"] for i in range(len(fields))}
-        positions = [i for i in range(len(fields)) if i not in numeric]
-        tops = {positions[j]: t for j, t in _distinct_and_top(df.select(*[col(n) for n in texts]))[1].items()} if texts else {}
-    else:
-        unique, tops = _distinct_and_top(df) if fields else ({}, {})
-    duplicates = duplicate_rows(df, rows) if rows else 0
-    out: list[tuple[Any, ...]] = []
-    for i, field in enumerate(fields):
-        missing = rows - row[f"n{i}"]
-        pct = round(missing / rows * 100, 1) if rows else None
-        stats = [None] * 5
-        if i in numeric:
-            median = medians[str(i)][0.5]
-            stats = [_rounded(v) for v in (row[f"avg{i}"], median, row[f"std{i}"], row[f"min{i}"], row[f"max{i}"])]
-        top = tops.get(i, [])
-        out.append(
-            (
-                i,
-                field.name,
-                "numeric" if i in numeric else "categorical",
-                missing,
-                pct,
-                None if pct is None else round(100 - pct, 1),
-                unique.get(i, 0),
-                *stats,
-                *(top[0] if top else (None, None)),
-                pct is not None and pct > 50,
-                pct is not None and pct > 20,
-                pct is not None and pct > 0,
-                i not in numeric and unique.get(i, 0) > TOP_VALUES,
-                bars.get(i, []) if i in numeric else top,
-            )
-        )
-    size = sum(row[f"b{i}"] for i in range(len(fields)))
-    missing_cells = sum(r[3] for r in out)
-    totals = [(rows, len(fields), size, duplicates, missing_cells, duplicates == 0)]
-    return Profile(spark.createDataFrame(totals, TABLE_SCHEMA), spark.createDataFrame(out, COLUMN_SCHEMA))
+    return Profile(df, approximate_unique)
