@@ -1,18 +1,18 @@
 """Exact interpolated quantiles without sorting or collecting the column.
 
 The built-in exact ``percentile`` keeps one map entry per distinct value and
-merges all of them in one task.  Here a sketch (``percentile_approx``, bounded
-state, partial aggregation) only proposes a narrow bracket around each wanted
-rank; exact counts below and inside the bracket prove that the rank is in it,
-and only the few values inside are looked at.  A bracket that still holds too
-many rows is sketched again, one that missed is widened, so the answer is exact
-for any data.  Every pass is a column-pruned scan with a tiny shuffle.
+merges all of them in one task.  Here a sketch of a sample only proposes a narrow
+bracket around each wanted rank; counts over all rows prove where the rank lies,
+and only the few values inside the bracket are looked at.  A bracket that still
+holds too many rows is sketched again, so the answer is exact for any data and
+any sample.  Every pass is a column-pruned scan with a tiny shuffle.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ from sparkprep.functions.lookup import Kept, lookup_join
 
 ACCURACY = 10_000  # sketch rank error is rows / ACCURACY
 FETCH_ROWS = 200_000  # a bracket is read out only below this many rows
+SAMPLE_ROWS = 100_000  # sketch at least this many rows, ...
+SAMPLE_SHARE = 0.05  # ... or this share of a larger table
 SMALL_GROUP = 2 * ACCURACY  # groups up to this size skip the sketch bracket
 
 
@@ -68,37 +70,55 @@ class Quantiles:
         self.fetch_rows = fetch_rows
         self.order = list(self.probabilities)
 
-    def _margins(self, wanted: list[float]) -> list[float]:
-        slack = 2.0 / self.accuracy
-        return [q for p in wanted for q in (max(0.0, p - slack), min(1.0, p + slack))]
+    def counts(self) -> list[Column]:
+        """Aggregates ``resolve`` needs; run them in any ``agg`` on the frame."""
+        return [F.count(self.columns[name]).alias(f"__qn{i}") for i, name in enumerate(self.order)]
 
-    def sketches(self) -> list[Column]:
-        """Aggregates of the first pass; run them in any ``agg`` on the frame."""
+    def run(self, df: DataFrame) -> dict[str, dict[float, float | None]]:
+        return self.resolve(df, df.agg(*self.counts()).first()) if self.order else {}
+
+    def _guess(self, df: DataFrame, asked: list[tuple[Column, list[float], int]]) -> list[list[tuple[float, float]]]:
+        """A bracket for each wanted share of each column, given its row count.
+
+        Sketching a twentieth of the rows widens the bracket by less than the
+        sketch's own error once that sample is large, at a fraction of the cost.
+        """
+        share = max((min(1.0, max(SAMPLE_ROWS / n, SAMPLE_SHARE)) for _, _, n in asked if n), default=1.0)
+        source = df.sample(share, seed=11) if share < 1 else df
+        aggs, plain = [], []
+        for i, (x, wanted, n) in enumerate(asked):
+            spread = 0.0 if share >= 1 else 4 / math.sqrt(max(1.0, n * share))
+            ends = []
+            for p in wanted:
+                slack = 2.0 / self.accuracy + spread * math.sqrt(p * (1 - p)) + (0.0 if share >= 1 else 8 / (n * share))
+                ends += [max(0.0, p - slack), min(1.0, p + slack)]
+            aggs.append(F.percentile_approx(x, ends, self.accuracy).alias(f"b{i}"))
+            plain.append(F.max(x).alias(f"m{i}"))
+        row = source.agg(*aggs).first()
+        if any(row[f"b{i}"] is None and n for i, (_, _, n) in enumerate(asked)):
+            # The sample met no value of a sparse column: any value will do.
+            fallback = df.agg(*plain).first()
         out = []
-        for i, name in enumerate(self.order):
-            x = self.columns[name]
-            sketch = F.percentile_approx(x, self._margins(self.probabilities[name]), self.accuracy)
-            out += [F.count(x).alias(f"__qn{i}"), sketch.alias(f"__qb{i}")]
+        for i, (_, wanted, n) in enumerate(asked):
+            found = row[f"b{i}"] or ([fallback[f"m{i}"]] * (2 * len(wanted)) if n else [None] * (2 * len(wanted)))
+            out.append([(found[2 * j], found[2 * j + 1]) for j in range(len(wanted))])
         return out
 
-    def run(self, df: DataFrame) -> dict[str, dict[float, float | None]]:
-        if not self.order:
-            return {}
-        return self.resolve(df, df.agg(*self.sketches()).first())
-
     def resolve(self, df: DataFrame, row: Row) -> dict[str, dict[float, float | None]]:
-        """Finish from a row that holds the ``sketches()`` results."""
+        """Finish from a row that holds the ``counts()`` results."""
+        if not any(row[f"__qn{i}"] for i in range(len(self.order))):
+            return {c: dict.fromkeys(p) for c, p in self.probabilities.items()}
+        asked = [(self.columns[c], self.probabilities[c], row[f"__qn{i}"]) for i, c in enumerate(self.order)]
+        brackets = self._guess(df, asked)
         ranks: dict[tuple[str, int], _Rank] = {}
         for i, name in enumerate(self.order):
-            rows, guesses = row[f"__qn{i}"], row[f"__qb{i}"]
+            rows = row[f"__qn{i}"]
             for j, p in enumerate(self.probabilities[name]):
                 if not rows:
                     continue
                 for rank in rank_position(p, rows)[:2]:
-                    probe = (guesses[2 * j], guesses[2 * j + 1])
-                    ranks.setdefault(
-                        (name, rank), _Rank(len(ranks), name, rank, None, None, 0, rows, probe)
-                    )
+                    new = _Rank(len(ranks), name, rank, None, None, 0, rows, brackets[i][j])
+                    ranks.setdefault((name, rank), new)
         self._search(df, list(ranks.values()))
         found: dict[str, dict[float, float | None]] = {}
         for i, name in enumerate(self.order):
@@ -156,14 +176,19 @@ class Quantiles:
 
     def _fetch(self, df: DataFrame, ranks: list[_Rank]) -> None:
         """Read the distinct values inside brackets counted to be small."""
-        hits = F.array(
-            *[
-                F.when(self._inside(r), F.struct(F.lit(r.key).alias("t"), self.columns[r.column].alias("v")))
-                for r in ranks
-            ]
-        )
+        brackets: dict[tuple, list[_Rank]] = {}
+        for r in ranks:
+            brackets.setdefault((r.column, r.low, r.high), []).append(r)
+        groups = list(brackets.values())
+        inside = [self._inside(g[0]) for g in groups]
+        hits = [
+            F.struct(F.when(hit, F.lit(i)).alias("t"), self.columns[g[0].column].alias("v"))
+            for i, (hit, g) in enumerate(zip(inside, groups))
+        ]
         rows = (
-            df.select(F.inline(F.array_compact(hits)))
+            df.where(reduce(lambda a, b: a | b, inside))
+            .select(F.inline(F.array(*hits)))
+            .where("t is not null")
             .groupBy("t", "v")
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
@@ -171,24 +196,24 @@ class Quantiles:
         values: dict[int, list[tuple[float, int]]] = {}
         for found in rows:
             values.setdefault(found["t"], []).append((found["v"], found["n"]))
-        for r in ranks:
-            seen = r.before
-            for v, n in sorted(values[r.key]):
-                seen += n
-                if r.rank < seen:
-                    r.value = v
-                    break
+        for i, group in enumerate(groups):
+            ordered = sorted(values[i])
+            for r in group:
+                seen = r.before
+                for v, n in ordered:
+                    seen += n
+                    if r.rank < seen:
+                        r.value = v
+                        break
 
     def _probe(self, df: DataFrame, ranks: list[_Rank]) -> None:
         """Sketch again inside brackets that still hold many rows."""
-        aggs = []
-        for r in ranks:
-            p = (r.rank - r.before) / max(1, r.inside - 1)
-            x = F.when(self._inside(r), self.columns[r.column])
-            aggs.append(F.percentile_approx(x, self._margins([p]), self.accuracy).alias(f"s{r.key}"))
-        row = df.agg(*aggs).first()
-        for r in ranks:
-            r.probe = tuple(row[f"s{r.key}"])
+        asked = [
+            (F.when(self._inside(r), self.columns[r.column]), [(r.rank - r.before) / max(1, r.inside - 1)], r.inside)
+            for r in ranks
+        ]
+        for r, bracket in zip(ranks, self._guess(df, asked)):
+            r.probe = bracket[0]
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: dict[str, list[float]], **options):

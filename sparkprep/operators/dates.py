@@ -11,28 +11,30 @@ from pyspark.sql import types as T
 from sparkprep.functions.columns import TIMES, col, is_numeric, number_of, type_of
 from sparkprep.operators.base import Fit, StepPlan, Transform, as_flag
 
-# The date layouts tried, most specific meaning first.
-FORMATS = (
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s[.SSSSSS][.SSS]",
-    "yyyy-M-d'T'H:m:s[.SSSSSS][.SSS]",
-    "yyyy-M-d H:m",
-    "yyyy-M-d'T'H:m:s[.SSSSSS][.SSS]XXX",
-    "yyyy/M/d",
-    "yyyy/M/d H:m:s",
-    "M/d/yyyy",
-    "M/d/yyyy H:m:s",
-    "d/M/yyyy",
-    "d/M/yyyy H:m:s",
-    "M-d-yyyy",
-    "d-M-yyyy",
-    "d.M.yyyy",
-    "yyyyMMdd",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-)
+# The date layouts tried, most specific meaning first, with the
+# shape a text must have before it is worth parsing.
+LAYOUTS = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "yyyy-M-d H:m:s[.SSSSSS][.SSS]": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(\.\d+)?$",
+    "yyyy-M-d'T'H:m:s[.SSSSSS][.SSS]": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(\.\d+)?$",
+    "yyyy-M-d H:m": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$",
+    "yyyy-M-d'T'H:m:s[.SSSSSS][.SSS]XXX": r"^\d{4}-\d{1,2}-\d{1,2}T[\d:.]+(Z|[+-]\d{2}:\d{2})$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "yyyy/M/d H:m:s": r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy H:m:s": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy H:m:s": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]+ \d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]+ \d{1,2}, \d{4}$",
+}
+FORMATS = tuple(LAYOUTS)
 
 
 def parse(df: DataFrame, column: str, layout: str | None) -> Column:
@@ -44,7 +46,8 @@ def parse(df: DataFrame, column: str, layout: str | None) -> Column:
         return F.timestamp_micros(F.floor(number_of(df, column) / 1000).cast("long"))
     if not isinstance(data_type, T.StringType) or layout is None:
         return F.lit(None).cast("timestamp")
-    return F.try_to_timestamp(F.trim(col(column)), F.lit(layout))
+    text = F.trim(col(column))
+    return F.when(text.rlike(LAYOUTS[layout]), F.try_to_timestamp(text, F.lit(layout)))
 
 
 def extract_date_parts(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -19,6 +20,21 @@ def evenly_spaced(low: float, high: float, bins: int) -> list[float]:
     return [i * width + low for i in range(bins)] + [high]
 
 
+def even_bin(x: Column, low: Column, width: Column, bins: int, closed: str) -> Column:
+    """The 0-based equal-width bin of ``x``: its place by division, then moved by
+    one where the edges as written say otherwise."""
+    guess = F.least(F.greatest(F.floor((x - low) / width), F.lit(0)), F.lit(bins - 1))
+
+    def edge(i: Column) -> Column:
+        return i * width + low
+
+    if closed == "left":
+        down, up = x < edge(guess), x >= edge(guess + 1)
+    else:
+        down, up = x <= edge(guess), x > edge(guess + 1)
+    return F.when(down & (guess > 0), guess - 1).when(up & (guess < bins - 1), guess + 1).otherwise(guess)
+
+
 def count_edges(edges: list[float], passed) -> Column:
     """How many ``edges`` the value has passed: its 0-based bin."""
     tests = [F.when(passed(F.lit(e)), 1).otherwise(0) for e in edges]
@@ -38,11 +54,13 @@ def bin_numeric(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
     by_quantile = params.get("strategy", "quantile") == "quantile"
     x = number_of(df, column)
 
-    def inner_edges(fit: Fit) -> list[float] | None:
-        """Edges between bins; None when the column cannot be cut."""
+    def coder(fit: Fit) -> tuple[Callable[[Column], Column] | None, int]:
+        """How a value becomes its code (None when the column cannot be cut), and
+        the number of bins."""
         if by_quantile:
             edges = sorted({v for v in fit.quantiles.values() if v is not None})
-            return edges[1:-1] if len(edges) > 1 else None
+            inner = edges[1:-1]
+            return (lambda x: count_edges(inner, lambda e: x > e)) if len(edges) > 1 else None, len(inner) + 1
         low, high = fit.stats["min"], fit.stats["max"]
         if low is None:
             raise SkipStep(f"column '{column}' has no values to cut")
@@ -51,16 +69,17 @@ def bin_numeric(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
         if low == high:
             margin = 0.001 * abs(low) if low else 0.001
             low, high = low - margin, high + margin
-        return evenly_spaced(low, high, bins)[1:-1]
+        width = (high - low) / bins
+        return (lambda x: even_bin(x, F.lit(low), F.lit(width), bins, "right")), bins
 
     def learn(table: DataFrame, fit: Fit) -> Transform:
-        edges = inner_edges(fit)
-        if isinstance(labels, (list, tuple)) and edges is not None and len(labels) != len(edges) + 1:
-            raise SkipStep(f"{len(labels)} labels for {len(edges) + 1} bins")
+        code_of, count = coder(fit)
+        if isinstance(labels, (list, tuple)) and code_of is not None and len(labels) != count:
+            raise SkipStep(f"{len(labels)} labels for {count} bins")
 
         def transform(t: DataFrame) -> DataFrame:
             value = number_of(t, column)
-            code = F.lit(None) if edges is None else F.when(value.isNotNull(), count_edges(edges, lambda e: value > e))
+            code = F.lit(None) if code_of is None else F.when(value.isNotNull(), code_of(value))
             code = code.cast("long")
             return t.withColumn(column, F.coalesce(code, F.lit(-1).cast("long")) if listed else code)
 

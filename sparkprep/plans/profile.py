@@ -1,7 +1,7 @@
 """The profile of a table: table totals, column statistics, distributions.
 
-Whole-table passes only, each shared by all columns: one aggregate for counts,
-moments and sketches, counting passes for the exact medians, one for the
+Whole-table passes only, each shared by all columns: one aggregate for counts
+and moments, short passes for the exact medians, one for the
 histograms, one for distinct and top values, and one for duplicate rows.
 """
 
@@ -18,6 +18,7 @@ from sparkprep.functions.columns import (
     FLOATING,
     INTEGRAL,
     TIMES,
+    TIMESTAMP_TEXT,
     col,
     fold_nan,
     is_infinite,
@@ -27,7 +28,7 @@ from sparkprep.functions.columns import (
     value_of,
 )
 from sparkprep.functions.quantiles import Quantiles
-from sparkprep.operators.numeric import count_edges, evenly_spaced
+from sparkprep.operators.numeric import even_bin, evenly_spaced
 
 HISTOGRAM_BINS = 10
 TOP_VALUES = 20
@@ -62,15 +63,18 @@ def _unpivoted(df: DataFrame, cells: list[Column]) -> DataFrame:
 
 
 def _distinct_key(df: DataFrame, i: int, field: T.StructField) -> Column:
-    """One value as (column, long, double, text), keeping its own exact type."""
-    whole = isinstance(field.dataType, INTEGRAL)
-    real = isinstance(field.dataType, FLOATING)
-    return F.struct(
-        F.lit(i).alias("i"),
-        (col(field.name).cast("long") if whole else F.lit(None).cast("long")).alias("whole"),
-        (number_of(df, field.name) if real else F.lit(None).cast("double")).alias("real"),
-        (F.lit(None).cast("string") if whole or real else text_of(df, field.name)).alias("text"),
-    )
+    """One value as (column, long, double, text), keeping its own exact type;
+    times travel as microseconds."""
+    whole, real, text = (F.lit(None).cast(t) for t in ("long", "double", "string"))
+    if isinstance(field.dataType, INTEGRAL):
+        whole = col(field.name).cast("long")
+    elif isinstance(field.dataType, TIMES):
+        whole = F.unix_micros(col(field.name).cast("timestamp"))
+    elif isinstance(field.dataType, FLOATING):
+        real = number_of(df, field.name)
+    else:
+        text = text_of(df, field.name)
+    return F.struct(F.lit(i).alias("i"), whole.alias("whole"), real.alias("real"), text.alias("text"))
 
 
 def value_counts(df: DataFrame) -> DataFrame:
@@ -78,25 +82,28 @@ def value_counts(df: DataFrame) -> DataFrame:
 
     The rows are counted on the map side first, so hot values cost nothing."""
     cells = _unpivoted(df, [_distinct_key(df, i, f) for i, f in enumerate(df.schema.fields)])
-    known = F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), F.col("text")).isNotNull()
+    known = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
     return cells.where(known).groupBy("i", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _distinct_and_top(df: DataFrame) -> tuple[dict[int, int], dict[int, list[tuple[str, int]]]]:
     """Distinct values per column, and the top values of categorical columns."""
     counts = value_counts(df)
-    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), F.asc("text")))
-    top = counts.where("text is not null").withColumn("place", place).where(F.col("place") <= TOP_VALUES)
+    categorical = [i for i, f in enumerate(df.schema.fields) if not is_numeric(f.dataType)]
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "text", "whole"))
+    # The window keeps 20 rows per column and task before anything is shuffled.
+    top = counts.where(F.col("i").isin(categorical)).withColumn("place", place).where(F.col("place") <= TOP_VALUES)
+    label = F.coalesce(F.col("text"), F.date_format(F.timestamp_micros("whole"), TIMESTAMP_TEXT))
     unique = counts.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     rows = (
-        unique.select("i", F.lit(0).alias("place"), F.lit(None).cast("string").alias("text"), "n")
-        .unionByName(top.select("i", "place", "text", "n"))
+        unique.select("i", F.lit(0).alias("place"), F.lit(None).cast("string").alias("label"), "n")
+        .unionByName(top.select("i", "place", label.alias("label"), "n"))
         .collect()
     )
     distinct = {r["i"]: r["n"] for r in rows if r["place"] == 0}
     tops: dict[int, list[tuple[str, int]]] = {}
     for r in sorted((r for r in rows if r["place"]), key=lambda r: r["place"]):
-        tops.setdefault(r["i"], []).append((r["text"], r["n"]))
+        tops.setdefault(r["i"], []).append((r["label"], r["n"]))
     return distinct, tops
 
 
@@ -109,12 +116,20 @@ def _histograms(df: DataFrame, edges: dict[int, list[float]]) -> dict[int, list[
     if not edges:
         return {}
     names = df.columns
-    cells = []
-    for i, e in edges.items():
-        x = number_of(df, names[i])
-        bin_ = F.when(x.isNotNull(), count_edges(e[1:-1], lambda edge, x=x: x >= edge))
-        cells.append(F.struct(F.lit(i).alias("i"), bin_.alias("bin")))
-    rows = _unpivoted(df, cells).where("bin is not null").groupBy("i", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    cells = [
+        F.struct(
+            F.lit(i).alias("i"),
+            number_of(df, names[i]).alias("x"),
+            F.lit(e[0]).alias("low"),
+            F.lit((e[-1] - e[0]) / HISTOGRAM_BINS).alias("width"),
+        )
+        for i, e in edges.items()
+    ]
+    # The bin is computed after the columns became rows: one short expression
+    # instead of one per column keeps the generated code small enough to compile.
+    bin_ = even_bin(F.col("x"), F.col("low"), F.col("width"), HISTOGRAM_BINS, "left")
+    values = _unpivoted(df, cells).where("x is not null").select("i", bin_.alias("bin"))
+    rows = values.groupBy("i", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
     seen = {(r["i"], r["bin"]): r["n"] for r in rows}
     return {
         i: [(f"{e[b]:.1f}-{e[b + 1]:.1f}", seen.get((i, b), 0)) for b in range(HISTOGRAM_BINS)] for i, e in edges.items()
@@ -155,7 +170,7 @@ class Profile:
                     F.max(x).alias(f"max{i}"),
                     F.count_if(is_infinite(x)).alias(f"inf{i}"),
                 ]
-        return df.agg(*aggs, *self._search.sketches()).first()
+        return df.agg(*aggs, *self._search.counts()).first()
 
     @cached_property
     def _medians(self) -> dict[int, float | None]:

@@ -155,7 +155,7 @@ class _Fitting:
         row = None
         if aggs or wanted:
             self.passes += 1
-            row = self.df.agg(*aggs, *search.sketches()).first()
+            row = self.df.agg(*aggs, *search.counts()).first()
             found = search.resolve(self.df, row)
         return [
             Fit({name: row[f"s{i}_{name}"] for name in p.stats}, found.get(str(i), {}), self.kept)
