@@ -185,7 +185,8 @@ class Profile:
             for i in self.numeric
             if row[f"n{i}"] and not row[f"inf{i}"]
         }
-        return _histograms(self.df, edges)
+        # A range too narrow for ten different edges has no histogram.
+        return _histograms(self.df, {i: e for i, e in edges.items() if e[1] > e[0]})
 
     @cached_property
     def _values(self) -> tuple[dict[int, int], dict[int, list[tuple[str, int]]]]:
