@@ -11,8 +11,9 @@ any sample.  Every pass is a column-pruned scan with a tiny shuffle.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass
-from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from sparkprep.functions.lookup import Kept, lookup_join
 
 ACCURACY = 10_000  # sketch rank error is rows / ACCURACY
 FETCH_ROWS = 200_000  # a bracket is read out only below this many rows
+DIRECT_ROWS = 2_000  # columns this short are read out without a sketch
 SAMPLE_ROWS = 100_000  # sketch at least this many rows, ...
 SAMPLE_SHARE = 0.05  # ... or this share of a larger table
 SMALL_GROUP = 2 * ACCURACY  # groups up to this size skip the sketch bracket
@@ -34,24 +36,24 @@ def interpolate(low: float, high: float, fraction: float) -> float:
 
 
 def rank_position(p: float, rows: int) -> tuple[int, int, float]:
+    """The two 0-based ranks around share ``p``, and how far between them it is."""
     place = (p * 100.0) / 100.0 * (rows - 1)
     low = math.floor(place)
     return low, math.ceil(place), place - low
 
 
 @dataclass
-class _Rank:
-    """One wanted order statistic and what is proven about where it lies."""
+class _Search:
+    """Neighbouring order statistics of one column and where they must lie."""
 
-    key: int
     column: str
-    rank: int  # 0-based
+    ranks: tuple[int, ...]  # 0-based
     low: float | None  # exclusive bounds; None is open
     high: float | None
     before: int  # rows at or below ``low``
     inside: int  # rows strictly between the bounds
-    probe: tuple[float, float]  # sketched guess, checked by the next count
-    value: float | None = None
+    probe: tuple[float | None, float | None] = (None, None)
+    read: bool = False  # read the values between the probes in the next pass
 
 
 class Quantiles:
@@ -77,143 +79,176 @@ class Quantiles:
     def run(self, df: DataFrame) -> dict[str, dict[float, float | None]]:
         return self.resolve(df, df.agg(*self.counts()).first()) if self.order else {}
 
-    def _guess(self, df: DataFrame, asked: list[tuple[Column, list[float], int]]) -> list[list[tuple[float, float]]]:
-        """A bracket for each wanted share of each column, given its row count.
-
-        Sketching a twentieth of the rows widens the bracket by less than the
-        sketch's own error once that sample is large, at a fraction of the cost.
-        """
-        share = max((min(1.0, max(SAMPLE_ROWS / n, SAMPLE_SHARE)) for _, _, n in asked if n), default=1.0)
-        source = df.sample(share, seed=11) if share < 1 else df
-        aggs, plain = [], []
-        for i, (x, wanted, n) in enumerate(asked):
-            spread = 0.0 if share >= 1 else 4 / math.sqrt(max(1.0, n * share))
-            ends = []
-            for p in wanted:
-                slack = 2.0 / self.accuracy + spread * math.sqrt(p * (1 - p)) + (0.0 if share >= 1 else 8 / (n * share))
-                ends += [max(0.0, p - slack), min(1.0, p + slack)]
-            aggs.append(F.percentile_approx(x, ends, self.accuracy).alias(f"b{i}"))
-            plain.append(F.max(x).alias(f"m{i}"))
-        row = source.agg(*aggs).first()
-        if any(row[f"b{i}"] is None and n for i, (_, _, n) in enumerate(asked)):
-            # The sample met no value of a sparse column: any value will do.
-            fallback = df.agg(*plain).first()
-        out = []
-        for i, (_, wanted, n) in enumerate(asked):
-            found = row[f"b{i}"] or ([fallback[f"m{i}"]] * (2 * len(wanted)) if n else [None] * (2 * len(wanted)))
-            out.append([(found[2 * j], found[2 * j + 1]) for j in range(len(wanted))])
-        return out
+    def column(self, name: str) -> Column:
+        return F.col(f"q{self.order.index(name)}")
 
     def resolve(self, df: DataFrame, row: Row) -> dict[str, dict[float, float | None]]:
         """Finish from a row that holds the ``counts()`` results."""
-        if not any(row[f"__qn{i}"] for i in range(len(self.order))):
-            return {c: dict.fromkeys(p) for c, p in self.probabilities.items()}
-        asked = [(self.columns[c], self.probabilities[c], row[f"__qn{i}"]) for i, c in enumerate(self.order)]
-        brackets = self._guess(df, asked)
-        ranks: dict[tuple[str, int], _Rank] = {}
-        for i, name in enumerate(self.order):
-            rows = row[f"__qn{i}"]
-            for j, p in enumerate(self.probabilities[name]):
-                if not rows:
-                    continue
-                for rank in rank_position(p, rows)[:2]:
-                    new = _Rank(len(ranks), name, rank, None, None, 0, rows, brackets[i][j])
-                    ranks.setdefault((name, rank), new)
-        self._search(df, list(ranks.values()))
+        rows = {name: row[f"__qn{i}"] for i, name in enumerate(self.order)}
+        # One narrow projection, so each value is prepared once per pass.
+        narrow = df.select(*[self.columns[c].alias(f"q{i}") for i, c in enumerate(self.order)])
+        searches: list[_Search] = []
+        for name, n in rows.items():
+            wanted = sorted({r for p in self.probabilities[name] for r in rank_position(p, n)[:2]}) if n else []
+            searches += [_Search(name, ranks, None, None, 0, n) for ranks in _neighbours(wanted)]
+        values: dict[tuple[str, int], float] = {}
+        while searches:
+            self._aim(narrow, searches)
+            searches = self._scan(narrow, searches, values)
         found: dict[str, dict[float, float | None]] = {}
-        for i, name in enumerate(self.order):
-            rows = row[f"__qn{i}"]
-            found[name] = {}
-            for p in self.probabilities[name]:
-                found[name][p] = None
-                if rows:
-                    first, last, fraction = rank_position(p, rows)
-                    low, high = ranks[name, first].value, ranks[name, last].value
-                    found[name][p] = interpolate(low, high, fraction)
+        for name, n in rows.items():
+            found[name] = dict.fromkeys(self.probabilities[name])
+            for p in self.probabilities[name] if n else ():
+                first, last, fraction = rank_position(p, n)
+                found[name][p] = interpolate(values[name, first], values[name, last], fraction)
         return found
 
-    def _search(self, df: DataFrame, ranks: list[_Rank]) -> None:
-        while ranks:
-            self._count(df, ranks)
-            ranks = [r for r in ranks if r.value is None]
-            ready = [r for r in ranks if r.inside <= self.fetch_rows]
-            if ready:
-                self._fetch(df, ready)
-            ranks = [r for r in ranks if r.value is None]
-            if ranks:
-                self._probe(df, ranks)
-
-    def _inside(self, r: _Rank) -> Column:
-        x = self.columns[r.column]
-        keep = x.isNotNull()
-        if r.low is not None:
-            keep = keep & (x > F.lit(r.low))
-        if r.high is not None:
-            keep = keep & (x < F.lit(r.high))
-        return keep
-
-    def _count(self, df: DataFrame, ranks: list[_Rank]) -> None:
-        """Place every rank below, at, between or above its two probed values."""
-        points = list(dict.fromkeys((r.column, v) for r in ranks for v in r.probe))
-        aggs = []
-        for i, (name, v) in enumerate(points):
-            x = self.columns[name]
-            aggs += [F.count_if(x < F.lit(v)).alias(f"lt{i}"), F.count_if(x <= F.lit(v)).alias(f"le{i}")]
-        row = df.agg(*aggs).first()
-        counts = {point: (row[f"lt{i}"], row[f"le{i}"]) for i, point in enumerate(points)}
-        for r in ranks:
-            end = r.before + r.inside
-            for v in r.probe:
-                less, upto = counts[r.column, v]
-                if less <= r.rank < upto:
-                    r.value = v
-                elif r.rank >= upto:
-                    r.low, r.before = v, upto
-                else:
-                    r.high, end = v, less
-                    break
-            r.inside = end - r.before
-
-    def _fetch(self, df: DataFrame, ranks: list[_Rank]) -> None:
-        """Read the distinct values inside brackets counted to be small."""
-        brackets: dict[tuple, list[_Rank]] = {}
-        for r in ranks:
-            brackets.setdefault((r.column, r.low, r.high), []).append(r)
-        groups = list(brackets.values())
-        inside = [self._inside(g[0]) for g in groups]
-        hits = [
-            F.struct(F.when(hit, F.lit(i)).alias("t"), self.columns[g[0].column].alias("v"))
-            for i, (hit, g) in enumerate(zip(inside, groups))
-        ]
-        rows = (
-            df.where(reduce(lambda a, b: a | b, inside))
-            .select(F.inline(F.array(*hits)))
-            .where("t is not null")
-            .groupBy("t", "v")
+    def _aim(self, df: DataFrame, searches: list[_Search]) -> None:
+        """Choose what the next pass counts around, and whether it reads values.
+
+        Short stretches are read whole.  Elsewhere a sketch proposes a bracket;
+        sketching a twentieth of a large table costs little precision.
+        """
+        unsure = []
+        for s in searches:
+            bounded = s.low is not None or s.high is not None
+            s.read = s.inside <= (self.fetch_rows if bounded else min(DIRECT_ROWS, self.fetch_rows))
+            s.probe = (s.low, s.high)
+            if not s.read:
+                unsure.append(s)
+        if not unsure:
+            return
+        share = min(1.0, max(max(SAMPLE_ROWS / s.inside for s in unsure), SAMPLE_SHARE))
+        source = df.sample(share, seed=11) if share < 1 else df
+        stretches: dict[tuple, list[_Search]] = {}
+        for s in unsure:
+            stretches.setdefault((s.column, s.low, s.high), []).append(s)
+        slacks, aggs, ends_of = [], [], []
+        for i, ((name, low, high), group) in enumerate(stretches.items()):
+            x = F.when(_between(self.column(name), low, high), self.column(name))
+            ends = []
+            for s in group:
+                first, last = ((r - s.before) / max(1, s.inside - 1) for r in (s.ranks[0], s.ranks[-1]))
+                slack = 2.0 / self.accuracy
+                if share < 1:
+                    sampled = s.inside * share
+                    slack += 4 * math.sqrt(max(first * (1 - first), last * (1 - last)) / sampled) + 8 / sampled
+                ends += [max(0.0, first - slack), min(1.0, last + slack)]
+                slacks.append(slack)
+            ends_of.append(ends)
+            aggs.append(F.percentile_approx(x, ends, self.accuracy).alias(f"b{i}"))
+        row = source.agg(*aggs).first()
+        slack_of = iter(slacks)
+        for i, ((name, low, high), group) in enumerate(stretches.items()):
+            bracket = row[f"b{i}"]
+            if bracket is None:  # the sample met no value here: any one will do
+                x = self.column(name)
+                bracket = [df.where(_between(x, low, high)).agg(F.max(x)).first()[0]] * (2 * len(group))
+            for j, s in enumerate(group):
+                # An end of the stretch itself is not in the sample: leave it open.
+                tails = ends_of[i][2 * j] == 0.0, ends_of[i][2 * j + 1] == 1.0
+                s.probe = (low if tails[0] else bracket[2 * j], high if tails[1] else bracket[2 * j + 1])
+                s.read = 2 * next(slack_of) * s.inside <= self.fetch_rows / 2
+
+    def _scan(self, df: DataFrame, searches: list[_Search], values: dict[tuple[str, int], float]) -> list[_Search]:
+        """One pass: rows at and between the probed points, and the values inside
+        brackets to read.  Settles ranks into ``values``; returns what is open."""
+        points = {
+            name: sorted({v for s in searches if s.column == name for v in (*s.probe, s.low, s.high) if v is not None})
+            for name in dict.fromkeys(s.column for s in searches)
+        }
+        read: dict[str, set[int]] = {name: set() for name in points}
+        for s in searches:
+            if s.read:
+                at = points[s.column]
+                start = 0 if s.probe[0] is None else bisect_left(at, s.probe[0]) + 1
+                stop = len(at) if s.probe[1] is None else bisect_left(at, s.probe[1])
+                read[s.column] |= {2 * j for j in range(start, stop + 1)}
+        names = list(points)
+        placed, cells = {}, []
+        for i, name in enumerate(names):
+            x = self.column(name)
+            placed[f"p{i}"] = F.when(x.isNotNull(), _segment(x, points[name], 0))
+            kept = F.when(F.col(f"p{i}").isin(sorted(read[name])), x) if read[name] else F.lit(None).cast("double")
+            cells.append(F.struct(F.lit(i).alias("i"), F.col(f"p{i}").alias("part"), kept.cast("double").alias("v")))
+        found = (
+            df.withColumns(placed)
+            .select(F.inline(F.array(*cells)))
+            .where("part is not null")
+            .groupBy("i", "part", "v")
             .agg(F.count(F.lit(1)).alias("n"))
-            .collect()
         )
-        values: dict[int, list[tuple[float, int]]] = {}
-        for found in rows:
-            values.setdefault(found["t"], []).append((found["v"], found["n"]))
-        for i, group in enumerate(groups):
-            ordered = sorted(values[i])
-            for r in group:
-                seen = r.before
-                for v, n in ordered:
+        most = sum(2 * len(p) + 1 for p in points.values()) + self.fetch_rows * len(searches)
+        rows = found.limit(most + 1).collect()
+        if len(rows) > most:  # a bracket held more than the sketch promised
+            for s in searches:
+                s.read = False
+            return self._scan(df, searches, values)
+        parts: dict[str, dict[int, list[tuple[float, int]]]] = {name: {} for name in names}
+        for r in rows:
+            parts[names[r["i"]]].setdefault(r["part"], []).append((r["v"], r["n"]))
+        still_open = []
+        for s in searches:
+            still_open += self._settle(s, points[s.column], read[s.column], parts[s.column], values)
+        return still_open
+
+    def _settle(self, s, at, read, parts, values) -> list[_Search]:
+        """Place the ranks of one search among the counted parts of its column."""
+        sizes = [sum(n for _, n in parts.get(j, ())) for j in range(2 * len(at) + 1)]
+        ends = list(accumulate(sizes))
+        open_ranks: dict[int, list[int]] = {}
+        for rank in s.ranks:
+            part = next(j for j, end in enumerate(ends) if rank < end)
+            if part % 2:
+                values[s.column, rank] = at[part // 2]
+            elif part in read:
+                seen = ends[part] - sizes[part]
+                for v, n in sorted(parts[part]):
                     seen += n
-                    if r.rank < seen:
-                        r.value = v
+                    if rank < seen:
+                        values[s.column, rank] = v
                         break
+            else:
+                open_ranks.setdefault(part, []).append(rank)
+        out = []
+        for part, ranks in open_ranks.items():
+            j = part // 2
+            low, high = at[j - 1] if j else None, at[j] if j < len(at) else None
+            out.append(_Search(s.column, tuple(ranks), low, high, ends[part] - sizes[part], sizes[part]))
+        return out
 
-    def _probe(self, df: DataFrame, ranks: list[_Rank]) -> None:
-        """Sketch again inside brackets that still hold many rows."""
-        asked = [
-            (F.when(self._inside(r), self.columns[r.column]), [(r.rank - r.before) / max(1, r.inside - 1)], r.inside)
-            for r in ranks
-        ]
-        for r, bracket in zip(ranks, self._guess(df, asked)):
-            r.probe = bracket[0]
+
+def _neighbours(ranks: list[int]) -> list[tuple[int, ...]]:
+    """Sorted ranks grouped into runs of consecutive ones."""
+    runs: list[list[int]] = []
+    for r in ranks:
+        if runs and r == runs[-1][-1] + 1:
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+    return [tuple(run) for run in runs]
+
+
+def _between(x: Column, low: float | None, high: float | None) -> Column:
+    keep = x.isNotNull()
+    if low is not None:
+        keep = keep & (x > F.lit(low))
+    if high is not None:
+        keep = keep & (x < F.lit(high))
+    return keep
+
+
+def _segment(x: Column, at: list[float], first: int) -> Column:
+    """Which part of the line ``x`` lies in: odd at a point, even between two."""
+    if not at:
+        return F.lit(2 * first)
+    middle = len(at) // 2
+    point = F.lit(at[middle])
+    return (
+        F.when(x < point, _segment(x, at[:middle], first))
+        .when(x == point, F.lit(2 * (first + middle) + 1))
+        .otherwise(_segment(x, at[middle + 1 :], first + middle + 1))
+    )
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: dict[str, list[float]], **options):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkprep.operators.encoding import MAX_DUMMIES, auto_dummies
 from sparkprep.plans.recipe import Recipe
 from sparkprep.plans.runner import FittedRecipe, fit_recipe
-from sparkprep.sources.tables import read_table, write_table
+from sparkprep.session import shared_folder
+from sparkprep.sources.tables import is_parquet, read_table, write_table
 
 
 @dataclass
@@ -45,13 +47,31 @@ def transform_table(
     return BatchResult(output, fitted)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, if there is one.
+
+    Fitting reads a few columns at a time, many times over; parsing text again
+    for each pass would cost far more than one columnar copy.  The copy stays in
+    the shared folder, under its retention rules.
+    """
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/staged-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def run_batch(spark: SparkSession, source: str, recipe: Recipe, target: str, **options) -> BatchResult:
     """Read ``source`` (CSV or Parquet), apply the recipe, write ``target``.
 
     The format of each end follows its name: ``.parquet`` is Parquet, anything
     else CSV.  ``rows`` counts what was written.
     """
-    result = transform_table(read_table(spark, source), recipe, **options)
+    table = read_table(spark, source)
+    if not is_parquet(source):
+        table = staged(table)
+    result = transform_table(table, recipe, **options)
     write_table(result.output, target)
     result.rows = read_back_rows(spark, target)
     result.fitted.release()
@@ -59,6 +79,6 @@ def run_batch(spark: SparkSession, source: str, recipe: Recipe, target: str, **o
 
 
 def read_back_rows(spark: SparkSession, target: str) -> int:
-    if target.endswith(".parquet"):
+    if is_parquet(target):
         return spark.read.parquet(target).count()
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(target).count()

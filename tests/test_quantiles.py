@@ -23,6 +23,7 @@ def columns_of(rng, n):
 def test_exact_on_every_path(spark, monkeypatch, accuracy, fetch, sample):
     """Coarse sketches, tiny samples and tiny read-outs still give numpy's answer."""
     monkeypatch.setattr(q, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(q, "DIRECT_ROWS", 0)
     rng = np.random.default_rng(5)
     data = columns_of(rng, 3_000)
     df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*data.values())], list(data)).repartition(7)
@@ -36,6 +37,7 @@ def test_exact_on_every_path(spark, monkeypatch, accuracy, fetch, sample):
 
 def test_sparse_and_empty_columns(spark, monkeypatch):
     monkeypatch.setattr(q, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(q, "DIRECT_ROWS", 0)
     df = spark.range(5_000).select(
         F.when(F.col("id") == 4_321, F.lit(9.0)).alias("one"),
         F.when(F.col("id") < 3, F.col("id").cast("double")).alias("few"),
