@@ -147,6 +147,7 @@ class Quantiles:
             for j, s in enumerate(group):
                 # An end of the stretch itself is not in the sample: leave it open.
                 tails = ends_of[i][2 * j] == 0.0, ends_of[i][2 * j + 1] == 1.0
+                tails = (False, False) if all(tails) else tails
                 s.probe = (low if tails[0] else bracket[2 * j], high if tails[1] else bracket[2 * j + 1])
                 s.read = 2 * next(slack_of) * s.inside <= self.fetch_rows / 2
 

@@ -23,6 +23,7 @@ class Fit:
     stats: Mapping[str, Any]
     quantiles: Mapping[float, float | None]
     kept: Kept
+    shuffled: bool = False  # the step joins by shuffling the whole table
 
 
 Transform = Callable[[DataFrame], DataFrame]

@@ -7,7 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.columns import col, fold_nan, number_of
+from sparkprep.functions.columns import col, number_of
+from sparkprep.functions.duplicates import without_duplicates
 from sparkprep.operators.base import Fit, StepPlan, Transform, require_numeric, simple
 
 
@@ -18,10 +19,10 @@ def drop_column(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
 def drop_duplicates(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
     """Full-row distinct; NULL equals NULL and NaN."""
 
-    def transform(table: DataFrame) -> DataFrame:
-        return fold_nan(table).dropDuplicates()
+    def learn(table: DataFrame, fit: Fit) -> Transform:
+        return lambda t: without_duplicates(t, fit.kept)
 
-    return simple(transform, set(), set(), removes_rows=True, whole_row=True, shuffles_table=True)
+    return StepPlan(learn, set(), set(), removes_rows=True, whole_row=True, shuffles_table=True)
 
 
 def drop_outliers_manual(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:

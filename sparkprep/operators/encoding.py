@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,21 +13,28 @@ from sparkprep.functions.lookup import fits_broadcast, lookup_join
 from sparkprep.functions.ranks import running_start
 from sparkprep.operators.base import Fit, SkipStep, StepPlan, Transform
 
-MAX_DUMMIES = 1_000  # widest schema one step may create; override with max_columns
+MAX_DUMMIES = 999  # widest schema one step may create; override with max_columns
 
 # Defaults of the smoothed target encoding.
 MIN_SAMPLES_LEAF = 20
 SMOOTHING = 10.0
 
 
-def categories(df: DataFrame, column: str, limit: int) -> list[Any]:
-    """Sorted distinct non-null values; more than ``limit`` is an error, since
-    each becomes a column of the schema."""
-    value = value_of(df, column)
-    found = df.select(value.alias("v")).where("v is not null").distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise SkipStep(f"column '{column}' has more than {limit} categories; raise max_columns to widen the table")
-    return sorted(r["v"] for r in found)
+def categories(df: DataFrame, columns: list[str], limit: int) -> dict[str, list[Any]]:
+    """Sorted distinct non-null values of like-typed columns, in one pass.  More
+    than ``limit`` is an error, since each becomes a column of the schema."""
+    cells = [F.struct(F.lit(i).alias("i"), value_of(df, c).alias("v")) for i, c in enumerate(columns)]
+    values = df.select(F.inline(F.array(*cells))).where("v is not null").distinct()
+    # Up to 1,000 rows per column the window limit works before the shuffle.
+    place = F.row_number().over(Window.partitionBy("i").orderBy("v"))
+    found = values.withColumn("place", place).where(F.col("place") <= limit + 1).collect()
+    out: dict[str, list[Any]] = {c: [] for c in columns}
+    for r in sorted(found, key=lambda r: (r["i"], r["place"])):
+        out[columns[r["i"]]].append(r["v"])
+    for c, chosen in out.items():
+        if len(chosen) > limit:
+            raise SkipStep(f"column '{c}' has more than {limit} categories; raise max_columns to widen the table")
+    return out
 
 
 def dummy_columns(t: DataFrame, chosen: dict[str, list[Any]]) -> DataFrame:
@@ -47,7 +54,7 @@ def one_hot_encode(df: DataFrame, column: str, params: dict[str, Any]) -> StepPl
     limit = int(params.get("max_columns", MAX_DUMMIES))
 
     def learn(table: DataFrame, fit: Fit) -> Transform:
-        values = categories(table, column, limit)[1:]
+        values = categories(table, [column], limit)[column][1:]
         return lambda t: dummy_columns(t, {column: values})
 
     # The new names are known only after fitting, so nothing may share the pass.
@@ -57,7 +64,7 @@ def one_hot_encode(df: DataFrame, column: str, params: dict[str, Any]) -> StepPl
 def auto_dummies(df: DataFrame, limit: int = MAX_DUMMIES) -> DataFrame:
     """One boolean per value of every remaining text column, none dropped."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return dummy_columns(df, {n: categories(df, n, limit) for n in names}) if names else df
+    return dummy_columns(df, categories(df, names, limit)) if names else df
 
 
 def _codes(table: DataFrame, value: Column, fit: Fit) -> DataFrame:
@@ -71,6 +78,7 @@ def _codes(table: DataFrame, value: Column, fit: Fit) -> DataFrame:
 def _encode(column: str, codes: DataFrame, key, kind: str, fit: Fit) -> Transform:
     lookup = codes.select("v", F.col("n").alias("__cn"), F.col("start").cast(kind).alias("__code"))
     small = fits_broadcast(lookup)
+    fit.shuffled = not small
 
     def transform(t: DataFrame) -> DataFrame:
         joined = lookup_join(t, lookup, {"v": key(t)}, "__cn", fit.kept, small=small)
@@ -123,6 +131,7 @@ def target_encode(df: DataFrame, column: str, params: dict[str, Any]) -> StepPla
             )
         )
         small = fits_broadcast(encoded)
+        fit.shuffled = not small
 
         def transform(t: DataFrame) -> DataFrame:
             keys = {"v": value_of(t, column)}

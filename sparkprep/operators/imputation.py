@@ -141,6 +141,7 @@ def fill_na_groupby(df: DataFrame, column: str, params: dict[str, Any]) -> StepP
         groups = fit.kept.keep(group_statistic(table, group, column, strategy, fit.kept))
         lookup = groups.select("g", F.col("n").alias("__gn"), F.col("q").alias("__gq"))
         small = fits_broadcast(lookup)
+        fit.shuffled = not small
 
         def current(t: DataFrame) -> Column:
             return number_of(t, column) if as_number else col(column)

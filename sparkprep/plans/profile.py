@@ -20,13 +20,13 @@ from sparkprep.functions.columns import (
     TIMES,
     TIMESTAMP_TEXT,
     col,
-    fold_nan,
     is_infinite,
     is_numeric,
     number_of,
     text_of,
     value_of,
 )
+from sparkprep.functions.duplicates import count_duplicates
 from sparkprep.functions.quantiles import Quantiles
 from sparkprep.operators.numeric import even_bin, evenly_spaced
 
@@ -53,11 +53,6 @@ def _bytes(df: DataFrame, field: T.StructField) -> Column:
     return F.coalesce(F.sum(F.octet_length(text_of(df, field.name))), F.lit(0))
 
 
-def duplicate_rows(df: DataFrame, total: int) -> int:
-    """Rows equal to another one already counted; NULL and NaN are equal."""
-    return total - fold_nan(df).distinct().count()
-
-
 def _unpivoted(df: DataFrame, cells: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*cells)))
 
@@ -207,7 +202,7 @@ class Profile:
         rows = row["rows"]
         size = sum(row[f"b{i}"] for i in range(n))
         missing = sum(rows - row[f"n{i}"] for i in range(n))
-        duplicates = duplicate_rows(self.df, rows) if rows and n else 0
+        duplicates = count_duplicates(self.df) if rows and n else 0
         return self.df.sparkSession.createDataFrame(
             [(rows, n, size, duplicates, missing, duplicates == 0)], TABLE_SCHEMA
         )

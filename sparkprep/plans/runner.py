@@ -136,7 +136,7 @@ class _Fitting:
                 continue
             self.df = changed
             self.transforms.append(transform)
-            self.uncut = self.uncut or pending.plan.shuffles_table
+            self.uncut = self.uncut or pending.plan.shuffles_table or fit.shuffled
 
     def _gather_alone(self, pending: _Pending) -> Fit | None:
         try:
