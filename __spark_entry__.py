@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 import sparkprep as sp
 from sparkprep.plans.batch import transform_table
 from sparkprep.plans.preview import head_sample
-from sparkprep.session import shared_folder, tune
+from sparkprep.session import required_folder, tune
 from sparkprep.sources.csv import read_csv, write_csv
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -113,7 +113,7 @@ def bars_of(column: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def csv_round_trip(df: DataFrame) -> DataFrame:
-    folder = f"{shared_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    folder = f"{required_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
     write_csv(df, folder)
     return read_csv(df.sparkSession, folder)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sparkprep.functions.lookup import Kept, lookup_join
 
 ACCURACY = 10_000  # sketch rank error is rows / ACCURACY
-FETCH_ROWS = 200_000  # a bracket is read out only below this many rows
+FETCH_ROWS = 200_000  # values read to the driver in one pass, at most
 DIRECT_ROWS = 2_000  # columns this short are read out without a sketch
 SAMPLE_ROWS = 100_000  # sketch at least this many rows, ...
 SAMPLE_SHARE = 0.05  # ... or this share of a larger table
@@ -110,9 +110,10 @@ class Quantiles:
         sketching a twentieth of a large table costs little precision.
         """
         unsure = []
+        budget = self.fetch_rows / len(searches)  # values one search may read
         for s in searches:
             bounded = s.low is not None or s.high is not None
-            s.read = s.inside <= (self.fetch_rows if bounded else min(DIRECT_ROWS, self.fetch_rows))
+            s.read = s.inside <= (budget if bounded else min(DIRECT_ROWS, budget))
             s.probe = (s.low, s.high)
             if not s.read:
                 unsure.append(s)
@@ -149,7 +150,7 @@ class Quantiles:
                 tails = ends_of[i][2 * j] == 0.0, ends_of[i][2 * j + 1] == 1.0
                 tails = (False, False) if all(tails) else tails
                 s.probe = (low if tails[0] else bracket[2 * j], high if tails[1] else bracket[2 * j + 1])
-                s.read = 2 * next(slack_of) * s.inside <= self.fetch_rows / 2
+                s.read = 2 * next(slack_of) * s.inside <= budget / 2
 
     def _scan(self, df: DataFrame, searches: list[_Search], values: dict[tuple[str, int], float]) -> list[_Search]:
         """One pass: rows at and between the probed points, and the values inside
@@ -179,7 +180,7 @@ class Quantiles:
             .groupBy("i", "part", "v")
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        most = sum(2 * len(p) + 1 for p in points.values()) + self.fetch_rows * len(searches)
+        most = sum(2 * len(p) + 1 for p in points.values()) + self.fetch_rows
         rows = found.limit(most + 1).collect()
         if len(rows) > most:  # a bracket held more than the sketch promised
             for s in searches:

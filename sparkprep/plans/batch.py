@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from sparkprep.operators.encoding import MAX_DUMMIES, auto_dummies
 from sparkprep.plans.recipe import Recipe
 from sparkprep.plans.runner import FittedRecipe, fit_recipe
-from sparkprep.session import shared_folder
+from sparkprep.session import cut_lineage
 from sparkprep.sources.tables import is_parquet, read_table, write_table
 
 
@@ -47,21 +47,6 @@ def transform_table(
     return BatchResult(output, fitted)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder, if there is one.
-
-    Fitting reads a few columns at a time, many times over; parsing text again
-    for each pass would cost far more than one columnar copy.  The copy stays in
-    the shared folder, under its retention rules.
-    """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/staged-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def run_batch(spark: SparkSession, source: str, recipe: Recipe, target: str, **options) -> BatchResult:
     """Read ``source`` (CSV or Parquet), apply the recipe, write ``target``.
 
@@ -70,15 +55,12 @@ def run_batch(spark: SparkSession, source: str, recipe: Recipe, target: str, **o
     """
     table = read_table(spark, source)
     if not is_parquet(source):
-        table = staged(table)
+        # Fitting reads a few columns at a time, many times over: one columnar
+        # copy costs less than parsing the text again for every pass.
+        table = cut_lineage(table)
     result = transform_table(table, recipe, **options)
-    write_table(result.output, target)
-    result.rows = read_back_rows(spark, target)
+    seen = Observation()
+    write_table(result.output.observe(seen, F.count(F.lit(1)).alias("rows")), target)
+    result.rows = seen.get["rows"]  # counted while writing, not by another read
     result.fitted.release()
     return result
-
-
-def read_back_rows(spark: SparkSession, target: str) -> int:
-    if is_parquet(target):
-        return spark.read.parquet(target).count()
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(target).count()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.columns import FLOATING, TIMES, TIMESTAMP_TEXT, col, is_infinite, value_of
+from sparkprep.functions.lookup import Kept
 from sparkprep.plans.recipe import Recipe
 from sparkprep.plans.runner import FittedRecipe, fit_recipe
 
@@ -47,8 +48,11 @@ def preview(
     df: DataFrame, recipe: Recipe, n: int = SAMPLE_ROWS, show: int = SHOWN_ROWS, order_by: Sequence[str] = ()
 ) -> Preview:
     """Fit and apply ``recipe`` on the first ``n`` rows and page the result."""
-    fitted = fit_recipe(head_sample(df, n, order_by), recipe)
+    # Every fitting pass must see the same few rows, and finding them may scan.
+    kept = Kept()
+    fitted = fit_recipe(kept.keep(head_sample(df, n, order_by)), recipe)
+    fitted.kept.frames += kept.frames
     result = fitted.output
-    kept = [c for c in order_by if c in result.columns]
-    page = result.orderBy(*[col(c) for c in kept]) if kept else result
+    order = [c for c in order_by if c in result.columns]
+    page = result.orderBy(*[col(c) for c in order]) if order else result
     return Preview(result.count(), result.columns, sanitise(page.limit(show)), fitted)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,10 +33,28 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def required_folder(spark: SparkSession) -> str:
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return folder
+
+
 def cut_lineage(df: DataFrame, required: bool = False) -> DataFrame:
-    """Materialise ``df`` reliably so later jobs do not redo its shuffles."""
-    if shared_folder(df.sparkSession) is None:
-        if required:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    """``df`` written once to the shared folder and read back.
+
+    Later jobs start from the copy, prune its columns, and survive lost
+    executors.  The copy stays under the folder's retention rules, like any
+    checkpoint.  Without a shared folder the frame is returned as it is, unless
+    the caller cannot do without.
+    """
+    spark = df.sparkSession
+    folder = required_folder(spark) if required else shared_folder(spark)
+    if folder is None:
         return df
-    return df.checkpoint()
+    names = [c.lower() for c in df.columns]
+    if len(set(names)) < len(names) or not names:  # names Parquet cannot tell apart
+        return df.checkpoint()
+    path = f"{folder}/sparkprep-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
