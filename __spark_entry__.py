@@ -32,20 +32,20 @@ VIEWS = {
         "part",
         "select p_partkey, p_brand, case when p_partkey % 11 = 0 then null else p_type end as p_type, "
         "case when p_partkey % 7 = 0 then null else cast(p_size as double) end as p_size, "
-        "case when p_partkey % 13 = 0 then null else p_retailprice end as p_retailprice from part",
+        "case when p_partkey % 13 = 0 then null else p_retailprice end as p_retailprice from {source}",
     ),
     "part_g": (
         "part",
         "select p_partkey, case when p_partkey % 19 = 0 then null else p_brand end as p_brand, "
         "case when p_brand = 'Brand#1' or p_partkey % 7 = 0 then null else cast(p_size as double) end as p_size "
-        "from part",
+        "from {source}",
     ),
     "orders_s": (
         "orders",
         "select o_orderkey, case when o_orderkey % 17 = 0 then 'not-a-date' "
-        "else cast(cast(o_orderdate as date) as string) end as o_date from orders",
+        "else cast(cast(o_orderdate as date) as string) end as o_date from {source}",
     ),
-    "items_d": ("lineitem", "select l_returnflag, l_linestatus, l_quantity from lineitem"),
+    "items_d": ("lineitem", "select l_returnflag, l_linestatus, l_quantity from {source}"),
 }
 
 BRANDS = sorted(f"Brand#{i}" for i in range(1, 26))
@@ -55,8 +55,7 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in VIEWS:
         source, sql = VIEWS[name]
-        spark.read.parquet(f"{sf_dir}/{source}.parquet").createOrReplaceTempView(source)
-        return spark.sql(sql)
+        return spark.sql(sql, source=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -578,7 +577,8 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (view, body) in _oracle_bodies().items():
         body = body.strip()
-        prefix = f"with {view} as ({VIEWS[view][1]})" if view else ""
+        source, sql = VIEWS[view] if view else ("", "")
+        prefix = f"with {view} as ({sql.format(source=source)})" if view else ""
         if body.startswith("select"):
             out[name] = f"{prefix} {body}".strip()
         else:

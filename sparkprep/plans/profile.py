@@ -7,7 +7,7 @@ histograms, one for distinct and top values, and one for duplicate rows.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -57,44 +57,51 @@ def _unpivoted(df: DataFrame, cells: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*cells)))
 
 
-def _distinct_key(df: DataFrame, i: int, field: T.StructField) -> Column:
-    """One value as (column, long, double, text), keeping its own exact type;
-    times travel as microseconds."""
-    whole, real, text = (F.lit(None).cast(t) for t in ("long", "double", "string"))
-    if isinstance(field.dataType, INTEGRAL):
-        whole = col(field.name).cast("long")
-    elif isinstance(field.dataType, TIMES):
-        whole = F.unix_micros(col(field.name).cast("timestamp"))
-    elif isinstance(field.dataType, FLOATING):
-        real = number_of(df, field.name)
-    else:
-        text = text_of(df, field.name)
-    return F.struct(F.lit(i).alias("i"), whole.alias("whole"), real.alias("real"), text.alias("text"))
-
-
-def value_counts(df: DataFrame) -> DataFrame:
-    """How often each non-null value of each column occurs, in one shuffle.
-
-    The rows are counted on the map side first, so hot values cost nothing."""
-    cells = _unpivoted(df, [_distinct_key(df, i, f) for i, f in enumerate(df.schema.fields)])
-    known = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
-    return cells.where(known).groupBy("i", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+def _families(df: DataFrame) -> dict[str, list[tuple[int, Column]]]:
+    """Columns by the type their values are counted in, so each keeps its exact
+    type; times count as microseconds, other numbers as text."""
+    families: dict[str, list[tuple[int, Column]]] = {}
+    for i, field in enumerate(df.schema.fields):
+        if isinstance(field.dataType, INTEGRAL):
+            kind, value = "whole", col(field.name).cast("long")
+        elif isinstance(field.dataType, FLOATING):
+            kind, value = "real", number_of(df, field.name)
+        elif isinstance(field.dataType, TIMES):
+            kind, value = "time", F.unix_micros(col(field.name).cast("timestamp"))
+        else:
+            kind, value = "number" if is_numeric(field.dataType) else "text", text_of(df, field.name)
+        families.setdefault(kind, []).append((i, value))
+    return families
+
+
+def value_counts(df: DataFrame) -> dict[str, DataFrame]:
+    """How often each non-null value of each column occurs: ``i, v, n``, one frame
+    per family of types.  Each frame scans its own columns only and counts on the
+    map side first, so hot values cost nothing."""
+    frames = {}
+    for kind, family in _families(df).items():
+        cells = [F.struct(F.lit(i).alias("i"), value.alias("v")) for i, value in family]
+        values = _unpivoted(df, cells).where("v is not null")
+        frames[kind] = values.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    return frames
 
 
 def _distinct_and_top(df: DataFrame) -> tuple[dict[int, int], dict[int, list[tuple[str, int]]]]:
     """Distinct values per column, and the top values of categorical columns."""
-    counts = value_counts(df)
-    categorical = [i for i, f in enumerate(df.schema.fields) if not is_numeric(f.dataType)]
-    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "text", "whole"))
     # The window keeps 20 rows per column and task before anything is shuffled.
-    top = counts.where(F.col("i").isin(categorical)).withColumn("place", place).where(F.col("place") <= TOP_VALUES)
-    label = F.coalesce(F.col("text"), F.date_format(F.timestamp_micros("whole"), TIMESTAMP_TEXT))
-    unique = counts.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    rows = (
-        unique.select("i", F.lit(0).alias("place"), F.lit(None).cast("string").alias("label"), "n")
-        .unionByName(top.select("i", "place", label.alias("label"), "n"))
-        .collect()
-    )
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
+    parts = []
+    for kind, counts in value_counts(df).items():
+        topped = kind in ("time", "text")
+        # Reading n in both branches keeps their shuffles alike, so one is reused.
+        groups = F.count_if(F.col("n") > 0) if topped else F.count(F.lit(1))
+        unique = counts.groupBy("i").agg(groups.alias("n"))
+        parts.append(unique.select("i", F.lit(0).alias("place"), F.lit(None).cast("string").alias("label"), "n"))
+        if topped:
+            label = F.date_format(F.timestamp_micros("v"), TIMESTAMP_TEXT) if kind == "time" else F.col("v")
+            top = counts.withColumn("place", place).where(F.col("place") <= TOP_VALUES)
+            parts.append(top.select("i", "place", label.alias("label"), "n"))
+    rows = reduce(DataFrame.unionByName, parts).collect()
     distinct = {r["i"]: r["n"] for r in rows if r["place"] == 0}
     tops: dict[int, list[tuple[str, int]]] = {}
     for r in sorted((r for r in rows if r["place"]), key=lambda r: r["place"]):

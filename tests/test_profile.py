@@ -105,3 +105,12 @@ def test_select(make):
 def test_logical_bytes(make):
     df = make("x double, k string, f boolean", x=[1.0, None], k=["ab", "ü"], f=[True, None])
     assert sp.profile(df).table.first()["logical_bytes"] == 2 * 8 + 4 + 2
+
+
+@pytest.mark.parametrize("name", ["region", "customer", "events", "embeddings", "pages", "conversations"])
+def test_given_tables(spark, name):
+    df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    found = sp.profile(df)
+    assert [r["name"] for r in found.columns.collect()] == df.columns
+    totals = found.table.first()
+    assert (totals["total_rows"], totals["duplicate_rows"], totals["missing_cells"]) == (df.count(), 0, 0)
