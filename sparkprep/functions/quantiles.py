@@ -26,6 +26,8 @@ DIRECT_ROWS = 2_000  # columns this short are read out without a sketch
 SAMPLE_ROWS = 100_000  # sketch at least this many rows, ...
 SAMPLE_SHARE = 0.05  # ... or this share of a larger table
 SMALL_GROUP = 2 * ACCURACY  # groups up to this size skip the sketch bracket
+BRACKET_ROWS = 1_000_000  # narrow group brackets that may hold more rows
+GRID = 1_000  # steps of one narrowing
 
 
 def interpolate(low: float, high: float, fraction: float) -> float:
@@ -265,6 +267,7 @@ def group_quantile(
     kept: Kept,
     accuracy: int = ACCURACY,
     small_group: int = SMALL_GROUP,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
     """Exact quantile of ``value`` per non-null ``group``: columns ``g, n, q``.
 
@@ -289,6 +292,11 @@ def group_quantile(
             F.when(tiny, F.col("mx")).otherwise(F.col("b")[1]).alias("hi"),
         )
     )
+    largest = brackets.agg(F.max("n")).first()[0] or 0
+    expected = largest * min(1.0, 3 * slack) if largest > small_group else 0
+    while expected > bracket_rows:
+        brackets = kept.keep(_narrowed(base, brackets, p, accuracy, kept))
+        expected *= min(0.5, 4 / GRID + 2 * slack)
     picked = kept.keep(_pick(base, brackets, p, kept))
     missed = picked.where("q is null")
     if missed.isEmpty():
@@ -302,6 +310,30 @@ def group_quantile(
     return picked.where("q is not null").unionByName(_pick(base, wide, p, kept))
 
 
+def _narrowed(base: DataFrame, brackets: DataFrame, p: float, accuracy: int, kept: Kept) -> DataFrame:
+    """Smaller brackets: count below each, sketch a grid inside, and keep the few
+    grid steps around the wanted rank."""
+    rows = lookup_join(base, brackets, {"g": F.col("g")}, count="n", kept=kept, how="inner")
+    inside = F.when((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")), F.col("v"))
+    counted = rows.groupBy("g").agg(
+        *[F.max(c).alias(c) for c in ("n", "mn", "mx", "lo", "hi")],
+        F.sum((F.col("v") < F.col("lo")).cast("long")).alias("below"),
+        F.count(inside).alias("m"),
+        F.percentile_approx(inside, [i / GRID for i in range(GRID + 1)], accuracy).alias("grid"),
+    )
+    spare = 2 + math.ceil(2 * GRID / accuracy)
+
+    def step(rank: Column) -> Column:
+        return (rank - F.col("below")) / F.col("m") * GRID
+
+    place = F.lit((p * 100.0) / 100.0) * (F.col("n") - 1)
+    first = (F.floor(step(F.floor(place))) - spare).cast("int")
+    last = (F.ceil(step(F.ceil(place))) + spare).cast("int")
+    low = F.when((first > 0) & (first <= GRID), F.try_element_at("grid", first + 1)).otherwise(F.col("lo"))
+    high = F.when((last >= 0) & (last < GRID), F.try_element_at("grid", last + 1)).otherwise(F.col("hi"))
+    return counted.select("g", "n", "mn", "mx", low.alias("lo"), high.alias("hi"))
+
+
 def _pick(base: DataFrame, brackets: DataFrame, p: float, kept: Kept) -> DataFrame:
     rows = lookup_join(base, brackets, {"g": F.col("g")}, count="n", kept=kept, how="inner")
     runs = (

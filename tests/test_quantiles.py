@@ -56,15 +56,18 @@ def test_small_counts(spark, size):
     assert [found[p] for p in SHARES] == pytest.approx([np.quantile(values, p) for p in SHARES])
 
 
-@pytest.mark.parametrize("accuracy,small_group", [(10_000, 20_000), (20, 0), (3, 0)])
-def test_group_quantile(spark, accuracy, small_group):
+@pytest.mark.parametrize(
+    "accuracy,small_group,bracket_rows", [(10_000, 20_000, 10**6), (20, 0, 10**6), (3, 0, 10**6), (20, 0, 200), (500, 0, 1)]
+)
+def test_group_quantile(spark, monkeypatch, accuracy, small_group, bracket_rows):
+    monkeypatch.setattr(q, "GRID", 40)
     rng = np.random.default_rng(2)
     groups = rng.choice(["hot", "b", "c", "d"], p=[0.7, 0.1, 0.1, 0.1], size=4_000)
     values = np.where(rng.random(4_000) < 0.2, 1.5, rng.normal(size=4_000))
     rows = [(str(g), float(v)) for g, v in zip(groups, values)] + [(None, 1.0), ("e", None), ("f", 2.0)]
     df = spark.createDataFrame(rows, "k string, x double").repartition(5)
     kept = Kept()
-    out = q.group_quantile(df, F.col("k"), F.col("x"), 0.5, kept, accuracy, small_group).collect()
+    out = q.group_quantile(df, F.col("k"), F.col("x"), 0.5, kept, accuracy, small_group, bracket_rows).collect()
     kept.release()
     expected = {g: np.median(values[groups == g]) for g in np.unique(groups)} | {"f": 2.0}
     assert {r["g"]: r["q"] for r in out} == pytest.approx(expected)
