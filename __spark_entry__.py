@@ -24,6 +24,14 @@ from sparkprep.plans.preview import head_sample
 from sparkprep.session import required_folder, tune
 from sparkprep.sources.csv import read_csv, write_csv
 
+try:  # these folders may be taken out
+    import corpus_pipeline
+    from sparkprep.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "sparkprep.llm"):
+        raise
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # name -> (source table, SQL over it).  Gaps are injected, no row is left out.
@@ -224,7 +232,7 @@ def queries() -> dict[str, Query]:
         "recipe_strict": steps("part_n", *STRICT),
         "recipe_phased": query("part_n", lambda df: transform_table(df, sp.Recipe.of(*PHASED)).output),
         "recipe_lenient": steps("part_n", *LENIENT),
-    }
+    } | ({**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -583,4 +591,4 @@ def oracle_sql() -> dict[str, str]:
             out[name] = f"{prefix} {body}".strip()
         else:
             out[name] = f"{prefix}, {body}" if prefix else f"with {body}"
-    return out
+    return out | (llm.oracle_sql() if llm else {})
