@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkprep.llm.common import col, kept, slices
 
-SLICE = 4 << 20  # bytes of text whose words are counted together
+SLICE = 16 << 20  # bytes of text whose words are counted together
+OUT = 8192  # rows of a batch handed over
 MARK = "▁"
 PRIOR = 1000.0  # rank at which the prior weight of a piece has halved
 SMOOTH = 0.5
@@ -250,7 +252,7 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     alone.  Repeated rows count and come back as often as given; an empty table
     gives an empty one.  Other columns are not read.
 
-    Each slice of documents (about 4 MB of text) writes its distinct words with
+    Each slice of documents (about 16 MB of text) writes its distinct words with
     their training counts, and its documents as numbers of these words.  Words
     are summed over all slices with map-side combine, get their probability
     once, and are joined back to the slices that hold them; a word has one row
@@ -265,43 +267,38 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         from pyspark import TaskContext
 
         part, place = TaskContext.get().partitionId(), 0
-        kind = pa.int32()
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+        names = ["slice", "word", "place", "trained", "doc_id", "held", "places", "counts"]
         for batch in batches:
             for ids, held, texts in slices(batch, SLICE, "doc_id", "held", "text"):
                 name = (part << 32) | place
                 place += 1
                 number: dict[bytes, int] = {}
-                trained: list[int] = []
-                docs_out = []
+                learn, docs_out = [], []
                 for i, h, t in zip(ids, held, texts):
-                    own: dict[bytes, int] = {}
-                    for w in (t or b"").lower().split():
-                        own[w] = own.get(w, 0) + 1
+                    own = Counter((t or b"").lower().split())
                     own[b""] = 1
-                    places, counts = np.empty(len(own), "<i4"), np.fromiter(own.values(), "<i4", len(own))
-                    for k, (w, c) in enumerate(own.items()):
-                        at = number.get(w)
-                        if at is None:
-                            at = number[w] = len(trained)
-                            trained.append(0)
-                        places[k] = at
-                        if not h:
-                            trained[at] += c
+                    new = [w for w in own if w not in number]
+                    number.update(zip(new, range(len(number), len(number) + len(new))))
+                    places = np.fromiter(map(number.__getitem__, own), "<i4", len(own))
+                    counts = np.fromiter(own.values(), "<i4", len(own))
+                    if not h:
+                        learn.append((places, counts))
                     docs_out.append((i, h, places.tobytes(), counts.tobytes()))
-                n, m = len(number), len(docs_out)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * (n + m), pa.int64()),
-                        pa.array([*number, *[None] * m], pa.binary()),
-                        pa.array([*range(n), *[None] * m], kind),
-                        pa.array([*trained, *[None] * m], pa.int64()),
-                        pa.array([*[None] * n, *(d[0] for d in docs_out)], pa.int64()),
-                        pa.array([*[None] * n, *(d[1] for d in docs_out)], pa.bool_()),
-                        pa.array([*[None] * n, *(d[2] for d in docs_out)], pa.binary()),
-                        pa.array([*[None] * n, *(d[3] for d in docs_out)], pa.binary()),
-                    ],
-                    ["slice", "word", "place", "trained", "doc_id", "held", "places", "counts"],
-                )
+                trained = np.zeros(len(number), np.int64)
+                if learn:
+                    at, times = (np.concatenate(x) for x in zip(*learn))
+                    trained += np.bincount(at, times, len(number)).astype(np.int64)
+                keys = list(number)
+                del number, learn
+                for k in range(0, len(keys), OUT):  # small batches: the receiving side holds them whole
+                    own = keys[k : k + OUT]
+                    known = [pa.array(own, pa.binary()), pa.array(np.arange(k, k + len(own)), pa.int32()), pa.array(trained[k : k + OUT])]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.int64()), *known, *(pa.nulls(len(own), t) for t in kinds[4:])], names)
+                for k in range(0, len(docs_out), OUT):
+                    own = docs_out[k : k + OUT]
+                    known = [pa.array(x, t) for x, t in zip(zip(*own), kinds[4:])]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.int64()), *(pa.nulls(len(own), t) for t in kinds[1:4]), *known], names)
 
     counted = kept(rows.mapInArrow(count, "slice long, word binary, place int, trained long, doc_id long, held boolean, places binary, counts binary"))
     words = counted.where("word is not null").select("slice", "word", "place", "trained")
@@ -314,7 +311,6 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         logs, log_end = _learn(corpus, logs, log_end, ends)
 
     def weigh(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         model = Lattices(Pieces(logs, log_end))
@@ -322,12 +318,10 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
             words = batch.column(0).to_pylist()
             found = model.forward([w.decode("utf-8", "replace") for w in words])
             found[[i for i, w in enumerate(words) if not w]] = log_end
-            c = batch.column(1)
-            base = np.log10((c.to_numpy() + 0.5) / (n + 0.5 * (v + 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), c, pa.array(base), pa.array(np.array(found) / LN10)], ["word", "c", "base", "lattice"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found / LN10)], ["word", "c", "lattice"])
 
-    weighed = corpus.select("word", "c").mapInArrow(weigh, "word binary, c long, base double, lattice double")
-    weighed = words.select("slice", "word", "place").join(weighed, "word").select(F.col("slice").alias("part"), "place", (F.col("c") > 0).alias("known"), "base", "lattice")
+    weighed = corpus.select("word", "c").mapInArrow(weigh, "word binary, c long, lattice double")
+    weighed = words.select("slice", "word", "place").join(weighed, "word").select(F.col("slice").alias("part"), "place", "c", "lattice")
 
     def add(key: tuple, left, right):
         import numpy as np
@@ -335,7 +329,8 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
 
         size = int(right["place"].max()) + 1 if len(right) else 0
         table = np.zeros((3, size))
-        table[:, right["place"].to_numpy()] = right[["known", "base", "lattice"]].to_numpy(float).T
+        c = right["c"].to_numpy()
+        table[:, right["place"].to_numpy()] = c > 0, np.log10((c + 0.5) / (n + 0.5 * (v + 1))), right["lattice"].to_numpy()
         out = []
         for i, h, p, c in zip(left["doc_id"], left["held"], left["places"], left["counts"]):
             at, k = np.frombuffer(p, "<i4"), np.frombuffer(c, "<i4")
