@@ -53,6 +53,13 @@ VIEWS = {
         "select o_orderkey, case when o_orderkey % 17 = 0 then 'not-a-date' "
         "else cast(cast(o_orderdate as date) as string) end as o_date from {source}",
     ),
+    "orders_us": (
+        "orders",
+        "select o_orderkey, cast(month(o_orderdate) as string) || '/' || cast(day(o_orderdate) as string) || '/' || "
+        "cast(year(o_orderdate) as string) || ' 8:26' as o_date from {source}",
+    ),
+    "items_b": ("lineitem", "select l_extendedprice, l_quantity > 25 as l_big from {source}"),
+    "names": ("customer", "select c_custkey, c_name from {source}"),
     "items_d": ("lineitem", "select l_returnflag, l_linestatus, l_quantity from {source}"),
 }
 
@@ -199,6 +206,12 @@ def queries() -> dict[str, Query]:
         "fill_na_knn": steps("part_n", KNN),
         # dates
         "extract_date_parts": steps("orders_s", ("extract_date_parts", "o_date", {"drop_original": "True"})),
+        "extract_date_us": steps("orders_us", ("extract_date_parts", "o_date", {"drop_original": "True"})),
+        "fill_na_mean_long": steps("orders", ("fill_na_mean", "o_orderkey"), keep=["o_orderkey", "o_orderstatus"]),
+        "label_encode_many": steps("names", ("label_encode", "c_name")),
+        "one_hot_wide": steps("names", ("one_hot_encode", "c_name")),
+        "auto_dummy_wide": query("names", lambda df: transform_table(df, sp.Recipe([])).output),
+        "interaction_boolean": steps("items_b", ("create_interaction", "", {"col1": "l_big", "math_op": "*", "col2": "l_extendedprice", "new_name": "mix"})),
         # binning and maths
         "bin_quantile": steps("part_n", ("bin_numeric", "p_retailprice")),
         "bin_uniform": steps("part_n", ("bin_numeric", "p_size", {"strategy": "uniform", "bins": 7})),
@@ -418,6 +431,23 @@ def _oracle_bodies() -> dict[str, tuple[str | None, str]]:
     )
     date = "try_cast(o_date as date)"
     return {
+        "extract_date_us": (
+            "orders_us",
+            "d as (select o_orderkey, strptime(o_date, '%m/%d/%Y %H:%M') as t from orders_us) select o_orderkey, year(t) as o_date_year, "
+            "month(t) as o_date_month, day(t) as o_date_day, isodow(t) - 1 as o_date_dow from d",
+        ),
+        "fill_na_mean_long": (None, "select o_orderkey, o_orderstatus from orders"),
+        "label_encode_many": ("names", "select c_custkey, rank() over (order by c_name) - 1 as c_name from names"),
+        "one_hot_wide": (
+            None,
+            "select * exclude (least_name) from (pivot (select c_custkey, case when c_name = (select min(c_name) from customer) "
+            "then 'least_name' else 'c_name_' || c_name end as k from customer) on k using count(*) > 0 group by c_custkey)",
+        ),
+        "auto_dummy_wide": (
+            None,
+            "select * from (pivot (select c_custkey, 'c_name_' || c_name as k from customer) on k using count(*) > 0 group by c_custkey)",
+        ),
+        "interaction_boolean": ("items_b", f"select l_big, {_r('l_extendedprice')} as l_extendedprice, {_r('l_big::int * l_extendedprice')} as mix from items_b"),
         "table_stats": (
             "part_n",
             "select count(*) as total_rows, cast(5 as bigint) as total_cols, "

@@ -93,7 +93,7 @@ def normal_scores(values: DataFrame, distinct: int, rows: int) -> DataFrame:
     Ranks of one value are handled in pieces spread over the cluster, so a value
     shared by a third of the table is many small rows rather than one task.
     """
-    ranked = running_start(values, "x", F.col("c"), distinct)
+    ranked = running_start(values, "x", F.col("c"))
     end = F.col("start") + F.col("c") - 1
     pieces = ranked.select(
         "x", "c", end.alias("last"), F.explode(F.sequence("start", end, F.lit(RUN_PIECE).cast("long"))).alias("first")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.columns import col, number_of
+from sparkprep.functions.columns import INTEGRAL, col, number_of, type_of
 from sparkprep.functions.duplicates import without_duplicates
 from sparkprep.operators.base import Fit, StepPlan, Transform, require_numeric, simple
 
@@ -25,12 +26,20 @@ def drop_duplicates(df: DataFrame, column: str, params: dict[str, Any]) -> StepP
     return StepPlan(learn, set(), set(), removes_rows=True, whole_row=True, shuffles_table=True)
 
 
+def below(df: DataFrame, column: str, limit: float, inclusive: bool = False) -> Column:
+    """``x < limit`` (or ``<=``) in a form that reaches the parquet scan: an integer
+    column is compared with an integer, not cast to double row by row."""
+    if isinstance(type_of(df, column), INTEGRAL) and math.isfinite(limit) and abs(limit) < 1 << 63:
+        return col(column) <= F.lit(math.floor(limit)) if inclusive else col(column) < F.lit(math.ceil(limit))
+    return col(column) <= F.lit(limit) if inclusive else col(column) < F.lit(limit)
+
+
 def drop_outliers_manual(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
     """Keep ``x < value``.  The plain comparison reaches the parquet scan; NULL
     and NaN (which sorts above every number) both fail it."""
     require_numeric(df, column)
     limit = float(params.get("value", 0))
-    return simple(lambda t: t.where(col(column) < F.lit(limit)), {column}, set(), removes_rows=True)
+    return simple(lambda t: t.where(below(t, column, limit)), {column}, set(), removes_rows=True)
 
 
 def drop_outliers_zscore(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
@@ -51,7 +60,7 @@ def drop_outliers_zscore(df: DataFrame, column: str, params: dict[str, Any]) ->
 
         def transform(t: DataFrame) -> DataFrame:
             score = F.abs((number_of(t, column) - F.lit(mean)) / F.lit(std))
-            near = (col(column) >= F.lit(mean - reach)) & (col(column) <= F.lit(mean + reach))
+            near = ~below(t, column, mean - reach) & below(t, column, mean + reach, inclusive=True)
             return t.where(near & (score < F.lit(threshold)))
 
         return transform

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep.functions.columns import TIMES, col, is_numeric, number_of, type_of
-from sparkprep.operators.base import Fit, StepPlan, Transform, as_flag
+from sparkprep.operators.base import Fit, SkipStep, StepPlan, Transform, as_flag
 
 # The date layouts tried, most specific meaning first, with the
 # shape a text must have before it is worth parsing.
@@ -33,6 +33,18 @@ LAYOUTS = {
     "d MMMM yyyy": r"^\d{1,2} [A-Za-z]+ \d{4}$",
     "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
     "MMMM d, yyyy": r"^[A-Za-z]+ \d{1,2}, \d{4}$",
+    "yyyy-M": r"^\d{4}-\d{1,2}$",
+    "yyyy-M-d h:m:s a": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2} [AP]M$",
+    "yyyy-M-d H:m:s[.SSSSSS][.SSS]XXX": r"^\d{4}-\d{1,2}-\d{1,2} [\d:.]+(Z|[+-]\d{2}:\d{2})$",
+    "M/d/yyyy H:m": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$",
+    "M/d/yyyy h:m:s a": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2} [AP]M$",
+    "M/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "M/d/yy H:m": r"^\d{1,2}/\d{1,2}/\d{2} \d{1,2}:\d{1,2}$",
+    "d/M/yyyy H:m": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$",
+    "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "d-MMM-yy": r"^\d{1,2}-[A-Za-z]{3}-\d{2}$",
+    "d MMM yyyy H:m:s": r"^([A-Za-z]{3}, )?\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{1,2}:\d{1,2}$",
 }
 FORMATS = tuple(LAYOUTS)
 
@@ -47,7 +59,8 @@ def parse(df: DataFrame, column: str, layout: str | None) -> Column:
     if not isinstance(data_type, T.StringType) or layout is None:
         return F.lit(None).cast("timestamp")
     text = F.trim(col(column))
-    return F.when(text.rlike(LAYOUTS[layout]), F.try_to_timestamp(text, F.lit(layout)))
+    bare = F.regexp_replace(text, "^[A-Za-z]{3}, ", "")  # the day of the week says nothing new
+    return F.when(text.rlike(LAYOUTS[layout]), F.try_to_timestamp(bare, F.lit(layout)))
 
 
 def extract_date_parts(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
@@ -55,18 +68,22 @@ def extract_date_parts(df: DataFrame, column: str, params: dict[str, Any]) -> St
     timestamp, or goes when ``drop_original`` is true.
 
     Text columns have one layout each: the one that parses most values, found in
-    the shared fitting pass.  Other layouts in the same column become NULL.
+    the shared fitting pass.  Other layouts in the same column become NULL; a
+    column that no layout fits is refused and stays as it is.
     """
     drop = as_flag(params.get("drop_original"))
     is_text = isinstance(type_of(df, column), T.StringType)
     stats = {}
     if is_text:
         stats = {f"f{i}": F.count(parse(df, column, layout)) for i, layout in enumerate(FORMATS)}
+        stats["given"] = F.count(col(column))
 
     def learn(table: DataFrame, fit: Fit) -> Transform:
         layout = None
         if is_text:
             hits = [fit.stats[f"f{i}"] for i in range(len(FORMATS))]
+            if fit.stats["given"] and not max(hits):
+                raise SkipStep(f"no date layout fits column '{column}'")
             layout = FORMATS[hits.index(max(hits))]
 
         def transform(t: DataFrame) -> DataFrame:

@@ -13,26 +13,26 @@ from sparkprep.functions.lookup import fits_broadcast, lookup_join
 from sparkprep.functions.ranks import running_start
 from sparkprep.operators.base import Fit, SkipStep, StepPlan, Transform
 
-MAX_DUMMIES = 999  # widest schema one step may create; override with max_columns
-
 # Defaults of the smoothed target encoding.
 MIN_SAMPLES_LEAF = 20
 SMOOTHING = 10.0
 
 
-def categories(df: DataFrame, columns: list[str], limit: int) -> dict[str, list[Any]]:
-    """Sorted distinct non-null values of like-typed columns, in one pass.  More
-    than ``limit`` is an error, since each becomes a column of the schema."""
+def categories(df: DataFrame, columns: list[str], limit: int | None = None) -> dict[str, list[Any]]:
+    """Sorted distinct non-null values of like-typed columns, in one pass.  Each
+    becomes a column of the schema, which the driver holds anyway.  More than
+    ``limit``, where one is given, is an error."""
     cells = [F.struct(F.lit(i).alias("i"), value_of(df, c).alias("v")) for i, c in enumerate(columns)]
     values = df.select(F.inline(F.array(*cells))).where("v is not null").distinct()
-    # Up to 1,000 rows per column the window limit works before the shuffle.
-    place = F.row_number().over(Window.partitionBy("i").orderBy("v"))
-    found = values.withColumn("place", place).where(F.col("place") <= limit + 1).collect()
+    if limit is not None:
+        # Up to 1,000 rows per column the window limit works before the shuffle.
+        place = F.row_number().over(Window.partitionBy("i").orderBy("v"))
+        values = values.withColumn("place", place).where(F.col("place") <= limit + 1).drop("place")
     out: dict[str, list[Any]] = {c: [] for c in columns}
-    for r in sorted(found, key=lambda r: (r["i"], r["place"])):
+    for r in values.orderBy("i", "v").collect():
         out[columns[r["i"]]].append(r["v"])
     for c, chosen in out.items():
-        if len(chosen) > limit:
+        if limit is not None and len(chosen) > limit:
             raise SkipStep(f"column '{c}' has more than {limit} categories; raise max_columns to widen the table")
     return out
 
@@ -50,8 +50,9 @@ def dummy_columns(t: DataFrame, chosen: dict[str, list[Any]]) -> DataFrame:
 
 
 def one_hot_encode(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
-    """One boolean per value except the smallest."""
-    limit = int(params.get("max_columns", MAX_DUMMIES))
+    """One boolean per value except the smallest, of as many values as there are;
+    ``max_columns`` refuses wider ones."""
+    limit = int(params["max_columns"]) if params.get("max_columns") is not None else None
 
     def learn(table: DataFrame, fit: Fit) -> Transform:
         values = categories(table, [column], limit)[column][1:]
@@ -61,7 +62,7 @@ def one_hot_encode(df: DataFrame, column: str, params: dict[str, Any]) -> StepPl
     return StepPlan(learn, {column}, {column}, whole_row=True)
 
 
-def auto_dummies(df: DataFrame, limit: int = MAX_DUMMIES) -> DataFrame:
+def auto_dummies(df: DataFrame, limit: int | None = None) -> DataFrame:
     """One boolean per value of every remaining text column, none dropped."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     return dummy_columns(df, categories(df, names, limit)) if names else df
@@ -72,7 +73,7 @@ def _codes(table: DataFrame, value: Column, fit: Fit) -> DataFrame:
     counts = fit.kept.keep(
         table.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     )
-    return fit.kept.keep(running_start(counts, "v", F.lit(1), counts.count()))
+    return fit.kept.keep(running_start(counts, "v", F.lit(1)))
 
 
 def _encode(column: str, codes: DataFrame, key, kind: str, fit: Fit) -> Transform:
@@ -136,7 +137,9 @@ def target_encode(df: DataFrame, column: str, params: dict[str, Any]) -> StepPla
         def transform(t: DataFrame) -> DataFrame:
             keys = {"v": value_of(t, column)}
             joined = lookup_join(t, encoded, keys, "__tn", fit.kept, null_safe=True, small=small)
-            return joined.withColumn(column, F.col("__te")).drop("__tn", "__te")
+            # a category of the fitting table without any target keeps its NULL, one unseen then gets the prior
+            mean = F.when(F.col("__tn").isNull(), F.lit(prior)).otherwise(F.col("__te"))
+            return joined.withColumn(column, mean).drop("__tn", "__te")
 
         return transform
 

@@ -14,8 +14,11 @@ from sparkprep.functions.quantiles import group_quantile, quantiles
 from sparkprep.operators.base import Fit, SkipStep, StepPlan, Transform, require_numeric, simple
 
 
-def _fill(column: str, value: Any) -> Transform:
-    """Missing values of a numeric column become ``value``; the column is double."""
+def _fill(df: DataFrame, column: str, value: Any, missing: int) -> Transform:
+    """Missing values of a numeric column become ``value``; the column is double.
+    An integer column that had none when fitted stays as it is."""
+    if not missing and isinstance(type_of(df, column), INTEGRAL):
+        return lambda t: t
 
     def transform(t: DataFrame) -> DataFrame:
         x = number_of(t, column)
@@ -27,19 +30,20 @@ def _fill(column: str, value: Any) -> Transform:
 def fill_na_mean(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
     require_numeric(df, column)
     return StepPlan(
-        lambda table, fit: _fill(column, fit.stats["mean"]),
+        lambda table, fit: _fill(df, column, fit.stats["mean"], fit.stats["missing"]),
         {column},
         {column},
-        {"mean": F.avg(number_of(df, column))},
+        {"mean": F.avg(number_of(df, column)), "missing": F.count_if(number_of(df, column).isNull())},
     )
 
 
 def fill_na_median(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
     require_numeric(df, column)
     return StepPlan(
-        lambda table, fit: _fill(column, fit.quantiles[0.5]),
+        lambda table, fit: _fill(df, column, fit.quantiles[0.5], fit.stats["missing"]),
         {column},
         {column},
+        {"missing": F.count_if(number_of(df, column).isNull())},
         quantile_column=number_of(df, column),
         quantiles=(0.5,),
     )
@@ -89,6 +93,10 @@ def fill_na_const(df: DataFrame, column: str, params: dict[str, Any]) -> StepPla
     given = params.get("value", 0)
     if given is None:
         raise SkipStep("no value to fill with")
+    if isinstance(type_of(df, column), TIMES):
+        parsed = df.sparkSession.range(1).select(F.lit(str(given)).try_cast(type_of(df, column))).first()[0]
+        if parsed is None:
+            raise SkipStep(f"'{given}' is no value for the {type_of(df, column).simpleString()} column '{column}'")
 
     def transform(t: DataFrame) -> DataFrame:
         own = type_of(t, column)
@@ -138,6 +146,8 @@ def fill_na_groupby(df: DataFrame, column: str, params: dict[str, Any]) -> StepP
     as_number = is_numeric(type_of(df, column))
 
     def learn(table: DataFrame, fit: Fit) -> Transform:
+        if isinstance(type_of(df, column), INTEGRAL) and not fit.stats["missing"]:
+            return lambda t: t  # nothing to fill: the integers stay exact
         groups = fit.kept.keep(group_statistic(table, group, column, strategy, fit.kept))
         lookup = groups.select("g", F.col("n").alias("__gn"), F.col("q").alias("__gq"))
         small = fits_broadcast(lookup)
@@ -171,4 +181,4 @@ def fill_na_groupby(df: DataFrame, column: str, params: dict[str, Any]) -> StepP
 
         return transform
 
-    return StepPlan(learn, {column, group}, {column})
+    return StepPlan(learn, {column, group}, {column}, {"missing": F.count_if(col(column).isNull())})

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep.functions.columns import INTEGRAL, TIMES, col, is_infinite, is_numeric, number_of, type_of, value_of
+from sparkprep.functions.ranks import passed
 from sparkprep.operators.base import Fit, SkipStep, StepPlan, Transform, as_flag, require_numeric, simple
 
 
@@ -35,10 +35,9 @@ def even_bin(x: Column, low: Column, width: Column, bins: int, closed: str) -> C
     return F.when(down & (guess > 0), guess - 1).when(up & (guess < bins - 1), guess + 1).otherwise(guess)
 
 
-def count_edges(edges: list[float], passed) -> Column:
-    """How many ``edges`` the value has passed: its 0-based bin."""
-    tests = [F.when(passed(F.lit(e)), 1).otherwise(0) for e in edges]
-    return reduce(lambda a, b: a + b, tests, F.lit(0))
+def count_edges(edges: list[float], x: Column, test) -> Column:
+    """How many ascending ``edges`` the value has passed: its 0-based bin, found in log steps."""
+    return passed(edges, x, test)
 
 
 def bin_numeric(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
@@ -60,7 +59,7 @@ def bin_numeric(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
         if by_quantile:
             edges = sorted({v for v in fit.quantiles.values() if v is not None})
             inner = edges[1:-1]
-            return (lambda x: count_edges(inner, lambda e: x > e)) if len(edges) > 1 else None, len(inner) + 1
+            return (lambda x: count_edges(inner, x, lambda x, e: x > e)) if len(edges) > 1 else None, len(inner) + 1
         low, high = fit.stats["min"], fit.stats["max"]
         if low is None:
             raise SkipStep(f"column '{column}' has no values to cut")
@@ -128,8 +127,12 @@ def create_interaction(df: DataFrame, column: str, params: dict[str, Any]) -> St
 
     def combine(t: DataFrame) -> Column:
         types = [type_of(t, left), type_of(t, right)]
-        if all(is_numeric(x) for x in types):
-            a, b = value_of(t, left), value_of(t, right)
+        truths = [isinstance(x, T.BooleanType) for x in types]
+        if all(truths) and sign in "+*":  # of two truth values: or, and
+            return col(left) | col(right) if sign == "+" else col(left) & col(right)
+        if all(is_numeric(x) or truth for x, truth in zip(types, truths)) and not (all(truths) and sign == "-"):
+            a, b = (col(c).cast("long") if truth else value_of(t, c) for c, truth in zip((left, right), truths))
+            types = [T.LongType() if truth else x for x, truth in zip(types, truths)]
             if sign == "/":
                 return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
             if all(isinstance(x, INTEGRAL) for x in types):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.operators.encoding import MAX_DUMMIES, auto_dummies
+from sparkprep.operators.encoding import auto_dummies
 from sparkprep.plans.recipe import Recipe
 from sparkprep.plans.runner import FittedRecipe, fit_recipe
 from sparkprep.session import cut_lineage
@@ -39,7 +39,7 @@ def transform_table(
     mode: str = "phased",
     auto_dummy: bool = True,
     on_error: str = "skip",
-    max_columns: int = MAX_DUMMIES,
+    max_columns: int | None = None,
 ) -> BatchResult:
     """The recipe followed by dummy columns for every remaining text column."""
     fitted = fit_recipe(df, recipe, mode=mode, on_error=on_error)

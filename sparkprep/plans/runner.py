@@ -8,9 +8,11 @@ lazy projections and lookup joins that Catalyst collapses into the next scan.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkprep.functions.lookup import Kept
@@ -23,6 +25,12 @@ from sparkprep.session import cut_lineage
 APPLIED, SKIPPED, UNKNOWN, FAILED = "applied", "skipped", "unknown_operation", "failed"
 
 
+#: What says that a step's definition does not fit the table.  Anything else (a
+#: failed task, a lost executor, a missing file) is no property of the step and
+#: is never skipped.
+DEFINITION_ERRORS = (SkipStep, AnalysisException, ValueError, TypeError, KeyError)
+
+
 class RecipeError(Exception):
     """A step could not be applied and the recipe runs with ``on_error='raise'``."""
 
@@ -97,7 +105,7 @@ class _Fitting:
             if self.batch and (plan.whole_row or not self.fuse):
                 self.flush()
                 plan = operation.plan(self.df, step.target, params)
-        except Exception as error:  # every step is atomic: report it and go on
+        except DEFINITION_ERRORS as error:  # every step is atomic: report it and go on
             self._fail(result, SKIPPED if isinstance(error, SkipStep) else FAILED, str(error))
             return
         self.batch.append(_Pending(result, plan))
@@ -119,7 +127,7 @@ class _Fitting:
             self.df, self.uncut = cut_lineage(self.df), False
         try:
             fits = self._gather([p.plan for p in batch])
-        except Exception:
+        except DEFINITION_ERRORS:
             if len(batch) == 1:
                 fits = [None]
             else:  # find the step that breaks the shared pass
@@ -131,7 +139,7 @@ class _Fitting:
                     fit = self._gather([pending.plan])[0]
                 transform = pending.plan.learn(source, fit)
                 changed = transform(self.df)
-            except Exception as error:
+            except DEFINITION_ERRORS as error:
                 self._fail(pending.result, SKIPPED if isinstance(error, SkipStep) else FAILED, str(error))
                 continue
             self.df = changed
@@ -141,7 +149,7 @@ class _Fitting:
     def _gather_alone(self, pending: _Pending) -> Fit | None:
         try:
             return self._gather([pending.plan])[0]
-        except Exception:
+        except DEFINITION_ERRORS:
             return None
 
     def _gather(self, plans: list[StepPlan]) -> list[Fit]:
@@ -180,12 +188,21 @@ def fit_recipe(
     if mode == "phased":
         steps.sort(key=lambda s: OPERATIONS[s.operation].phase if s.operation in OPERATIONS else 0)
     fitting = _Fitting(df, on_error, fuse)
-    for step in steps:
-        fitting.add(step)
-    fitting.flush()
+    try:
+        for step in steps:
+            fitting.add(step)
+        fitting.flush()
+    except Exception:
+        fitting.kept.release()
+        raise
     return FittedRecipe(fitting.transforms, fitting.results, fitting.df, fitting.passes, fitting.kept)
 
 
 def apply_recipe(df: DataFrame, recipe: Recipe, **options: Any) -> DataFrame:
-    """The transformed table; see :func:`fit_recipe` for the options."""
-    return fit_recipe(df, recipe, **options).output
+    """The transformed table; see :func:`fit_recipe` for the options and for the
+    full report.  Steps that were not applied are named in a warning."""
+    fitted = fit_recipe(df, recipe, **options)
+    left_out = [f"{r.step.operation} ({r.status}: {r.reason})" for r in fitted.results if r.status != APPLIED]
+    if left_out:
+        warnings.warn("steps not applied: " + "; ".join(left_out), stacklevel=2)
+    return fitted.output

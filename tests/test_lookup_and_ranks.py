@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.functions import lookup
 from sparkprep.functions.lookup import Kept, fits_broadcast, lookup_join
-from sparkprep.functions.ranks import running_start
+from sparkprep.functions.ranks import passed, running_start
 
 
 @pytest.mark.parametrize("null_safe", [False, True])
@@ -35,12 +35,33 @@ def test_size_check(spark, monkeypatch):
     assert not fits_broadcast(df)
 
 
-@pytest.mark.parametrize("small_rows", [10_000, 0])
-def test_running_start(spark, small_rows):
+@pytest.mark.parametrize("range_rows", [10_000, 50])
+def test_running_start(spark, range_rows):
     df = spark.range(1, 1_001).select(F.concat(F.lit("v"), F.lpad("id", 5, "0")).alias("v"), (F.col("id") % 5).alias("w"))
-    out = running_start(df.repartition(7), "v", F.col("w"), 1_000, small_rows).orderBy("v").collect()
+    out = running_start(df.repartition(7), "v", F.col("w"), range_rows).orderBy("v").collect()
     total = 0
     for r in out:
         assert r["start"] == total
         total += r["w"]
     assert len(out) == 1_000
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 7, 1_000])
+def test_passed_bounds(spark, count):
+    bounds = [float(3 * i) for i in range(count)]
+    df = spark.range(-5, 3 * count + 5).select(F.col("id").cast("double").alias("x"))
+    for r in df.select("x", passed(bounds, F.col("x")).alias("n")).collect():
+        assert r["n"] == sum(r["x"] >= b for b in bounds)
+
+
+def test_codes_need_no_shared_folder(spark, monkeypatch):
+    """More values than one range holds, on a session that names no folder."""
+    from sparkprep import Recipe, fit_recipe
+    from sparkprep import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: None)
+    df = spark.range(150_000).select(F.concat(F.lit("v"), F.lpad("id", 7, "0")).alias("k"), "id")
+    fitted = fit_recipe(df, Recipe.of(("label_encode", "k")))
+    assert [r.status for r in fitted.results] == ["applied"]
+    assert fitted.output.where("k <> id").isEmpty()
+    fitted.release()

@@ -192,3 +192,17 @@ def test_batch_dummies_equal_pandas(spark, tmp_path):
     want = pd.get_dummies(pdf)
     assert list(back.columns) == list(want.columns)
     assert sorted(back.values.tolist()) == sorted(want.values.tolist())
+
+
+@pytest.mark.parametrize("on_error", ["skip", "raise"])
+def test_failing_tasks_are_not_skipped(spark, on_error):
+    """A broken input is no property of a step: the job's own error comes through."""
+    broken = spark.range(10).select(F.expr("if(id < 0, 1.0D, double(raise_error('lost')))").alias("x"))
+    with pytest.raises(Exception, match="lost") as caught:
+        sp.fit_recipe(broken, sp.Recipe.of(("fill_na_mean", "x")), on_error=on_error)
+    assert not isinstance(caught.value, RecipeError)
+
+
+def test_apply_names_steps_left_out(spark):
+    with pytest.warns(UserWarning, match="fill_na_mean"):
+        sp.apply_recipe(spark.range(3), sp.Recipe.of(("fill_na_mean", "nothing")))

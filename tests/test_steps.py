@@ -297,10 +297,12 @@ def test_one_hot_equals_pandas(make, step, kind, xs):
     assert [list(r) for r in out.orderBy("id").collect()] == want.values.tolist()
 
 
-def test_one_hot_refuses_very_wide_tables(make, step):
+def test_one_hot_refuses_very_wide_tables(spark, make, step):
     df = frame(make, [str(i) for i in range(20)], "string")
     assert "more than 10 categories" in step(df, "one_hot_encode", "x", max_columns=10)
     assert len(step(df, "one_hot_encode", "x", max_columns=20).columns) == 20
+    many = spark.range(1_200).select(F.concat(F.lit("v"), "id").alias("x"))
+    assert len(step(many, "one_hot_encode", "x").columns) == 1_199
 
 
 @pytest.mark.parametrize(
@@ -354,3 +356,57 @@ def test_double_text_is_python_text(spark):
     df = spark.createDataFrame([(n, repr(n)) for n in numbers], "x double, t string")
     wrong = df.withColumn("mine", double_text(F.col("x"))).where("mine <> t").collect()
     assert wrong == []
+
+
+DATES = ["12/1/2010 8:26", "1/2/24", "01-Jan-2024", "2024-01", "2024-01-05 10:30:00 AM", "Mon, 01 Jan 2024 10:00:00", "2024-01-05 10:30:00+00:00"]
+
+
+@pytest.mark.parametrize("text", DATES)
+def test_date_layouts_pandas_reads(make, step, text):
+    row = step(make("d string", d=[text, text, None]), "extract_date_parts", "d").where("d is not null").first()
+    want = pd.to_datetime(text)
+    assert (row["d_year"], row["d_month"], row["d_day"], row["d_dow"]) == (want.year, want.month, want.day, want.dayofweek)
+
+
+def test_unreadable_dates_are_refused(make, step):
+    assert step(make("d string", d=["x", "y"]), "extract_date_parts", "d", drop_original="True").startswith("skipped: no date layout")
+
+
+def test_integers_without_gaps_stay_exact(make, step):
+    df = make("x long, g string", x=[9007199254740993, 1], g=["a", "b"])
+    for operation, params in (("fill_na_mean", {}), ("fill_na_median", {}), ("fill_na_groupby", {"group_col": "g", "strategy": "mean"})):
+        out = step(df, operation, "x", **params)
+        assert sorted(r["x"] for r in out.collect()) == [1, 9007199254740993]
+
+
+def test_unusable_constant_for_times(make, step):
+    df = make("d string", d=["2024-01-01", None]).select(F.to_timestamp("d").alias("d"))
+    assert step(df, "fill_na_const", "d", value="soon").startswith("skipped")
+    assert step(df, "fill_na_const", "d", value="2024-02-01").where("d is null").isEmpty()
+
+
+def test_truth_values_in_interactions(make, step):
+    df = make("a boolean, b boolean, x double", a=[True, False, None], b=[True, True, True], x=[2.0, 3.0, 4.0])
+    got = lambda **p: [r["z"] for r in step(df, "create_interaction", "", new_name="z", **p).orderBy("x").collect()]
+    assert got(col1="a", math_op="*", col2="x") == [2.0, 0.0, None]
+    assert got(col1="b", math_op="+", col2="x") == [3.0, 4.0, 5.0]
+    assert got(col1="a", math_op="*", col2="b") == [True, False, None]
+    assert step(df, "create_interaction", "", col1="a", math_op="-", col2="b", new_name="z").startswith("skipped")
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "double"])
+def test_outlier_limits_reach_the_scan(spark, step, tmp_path, kind):
+    path = str(tmp_path / kind)
+    spark.range(100).select(F.col("id").cast(kind).alias("x")).write.parquet(path)
+    out = step(spark.read.parquet(path), "drop_outliers_manual", "x", value=9.5)
+    assert out.count() == 10
+    assert "LessThan(x" in out._jdf.queryExecution().toString()
+
+
+def test_unseen_category_gets_the_prior(make):
+    from sparkprep import Recipe, fit_recipe
+
+    df = make("k string, y double", k=["a", "a", "b"], y=[1.0, 2.0, 6.0])
+    fitted = fit_recipe(df, Recipe.of(("target_encode", "k", {"target_col": "y"})))
+    assert fitted.transform(make("k string, y double", k=["new"], y=[0.0])).first()["k"] == 3.0
+    fitted.release()
