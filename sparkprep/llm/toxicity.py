@@ -18,6 +18,9 @@ BUCKETS = 1 << 18
 HIDDEN, WORD, CHAR, ATTEND = 8, 6, 10, 8
 VOCABULARY = 4000
 STEPS = 300  # updates at least
+SURE = 0.8  # of a toxic document's strongest cue, what its second window must hold
+CLEAR = 0.2  # of the strongest cue of all, below which a toxic document has no window to learn from
+DECAY = 0.02  # of embeddings in an update, so that chance words of few windows weigh little
 CUES = 3000
 
 #: Bounds of the training sample: labelled documents of either class, and windows of one document.
@@ -266,6 +269,8 @@ def fit(windows: list[tuple[list[bytes], int]], vocabulary: list[bytes], epochs:
                 first, second = moment[name]
                 first += 0.1 * (grad - first)
                 second += 0.001 * (grad * grad - second)
+                if name in ("words", "grams"):
+                    params[name] *= 1 - pace * DECAY
                 params[name] -= pace * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     every = np.zeros((BUCKETS, CHAR), np.float32)
     if len(used):
@@ -314,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
 
     Cues (words and character grams) are counted by class over the sample's
     documents.  A toxic document gives the windows where the strongest cues
-    stand, any other its hardest window and one by hash; these windows, a few MB
+    stand, if it has clear ones, any other its hardest window and one by hash; these windows, a few MB
     at most, are all of the texts that reaches the driver.
     """
     import math
@@ -345,6 +350,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     strong = counts.withColumn("gain", odds * F.sqrt("toxic")).where((F.col("toxic") >= 3) & (odds > math.log(3)))
     cues = {bytes(r["cue"]): r["gain"] for r in strong.orderBy(F.desc("gain"), "cue").limit(CUES).collect()}
     common = counts.where("substring(cue, 1, 1) = x'77' and toxic + others >= 3").orderBy(F.desc(F.expr("toxic + others")), "cue").limit(VOCABULARY)
+    floor = -CLEAR * max(cues.values(), default=0.0)  # labels without any such cue are taken for noise
     vocabulary = sorted({bytes(r["cue"])[1:] for r in common.collect()} | {c[1:] for c in cues if c[:1] == b"w"})
 
     def choose(batches: Iterator) -> Iterator:
@@ -361,7 +367,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
                     rated = sorted(((-max((gain[w] for w in ws[a:b]), default=0.0), a, b) for a, b in spans))
                     taken = rated[:DOC_WINDOWS] if y else [rated[0], (0.0, *spans[xxhash.xxh64_intdigest(str(i)) % len(spans)])]
                     for g, a, b in taken:
-                        if not y or g < 0.5 * rated[0][0] or (a, b) == rated[0][1:]:
+                        if not y or (g <= floor and (g <= SURE * rated[0][0] or (a, b) == rated[0][1:])):
                             joined = b" ".join(ws[a:b])
                             if len(joined) <= SAMPLE_BYTES:
                                 label.append(1 if y else 0)
