@@ -62,6 +62,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
     found = kept(units(docs))
     at = F.struct("doc_id", "start")
     first = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").drop("n")
+    first = kept(first)  # read again it is dealt out anew, so that a join can split a digest with very many units
     again = found.join(first, ["d1", "d2"]).where(at > F.col("first")).select("doc_id", "body", "start", "length", "words").distinct()
     own = Window.partitionBy("doc_id", "body").orderBy("start")
     new = F.coalesce((F.lag(F.col("start") + F.col("length")).over(own) != F.col("start")).cast("int"), F.lit(1))
@@ -87,27 +88,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import xxhash
 
         for batch in batches:
-            found = [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text", "body"])
+            for ids, texts in slices(batch, SLICE, "doc_id", "text"):
+                found = [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts), pa.array(found, pa.int64())], ["doc_id", "text", "body"])
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            rest = []
-            for text, gone in zip(texts, spans):
-                edges = [0, *(x for s in gone or () for x in (s["start"], s["stop"])), len(text)]
-                rest.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            arrays = [
-                batch.column(0),
-                pa.array(map(len, texts), pa.int64()),
-                pa.array([len(s or ()) for s in spans], pa.int64()),
-                pa.array([sum(x["stop"] - x["start"] for x in s or ()) for s in spans], pa.int64()),
-                pa.array([",".join(f"{x['start']}-{x['stop']}" for x in s or ()) for s in spans]),
-                pa.array(rest),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_chars", "n_spans", "removed_chars", "spans", "text"])
+            for ids, spans, texts in slices(batch, SLICE, "doc_id", "spans", "text"):
+                rest = []
+                for text, gone in zip(texts, spans):
+                    edges = [0, *(x for s in gone or () for x in (s["start"], s["stop"])), len(text)]
+                    rest.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                arrays = [
+                    pa.array(ids, pa.int64()),
+                    pa.array(map(len, texts), pa.int64()),
+                    pa.array([len(s or ()) for s in spans], pa.int64()),
+                    pa.array([sum(x["stop"] - x["start"] for x in s or ()) for s in spans], pa.int64()),
+                    pa.array([",".join(f"{x['start']}-{x['stop']}" for x in s or ()) for s in spans]),
+                    pa.array(rest),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_chars", "n_spans", "removed_chars", "spans", "text"])
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(rows, min_words).withColumnsRenamed({"doc_id": "other_id", "body": "other"})
