@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import sparkprep as sp
+from sparkprep.operators import boxcox
 from sparkprep.plans.batch import transform_table
 from sparkprep.plans.preview import head_sample
 from sparkprep.session import required_folder, tune
@@ -59,6 +60,12 @@ VIEWS = {
         "cast(year(o_orderdate) as string) || ' 8:26' as o_date from {source}",
     ),
     "items_b": ("lineitem", "select l_extendedprice, l_quantity > 25 as l_big from {source}"),
+    "odd": (
+        "lineitem",
+        "select l_orderkey, l_linenumber, case l_linenumber when 1 then cast('NaN' as double) when 2 then cast('Infinity' as double) "
+        "when 3 then cast('-Infinity' as double) when 4 then null else l_tax end as l_tax from {source}",
+    ),
+    "flags": ("orders", "select o_orderdate, o_totalprice > 200000 as o_large, o_totalprice from {source}"),
     "names": ("customer", "select c_custkey, c_name from {source}"),
     "items_d": ("lineitem", "select l_returnflag, l_linestatus, l_quantity from {source}"),
 }
@@ -132,6 +139,30 @@ def csv_round_trip(df: DataFrame) -> DataFrame:
     return read_csv(df.sparkSession, folder)
 
 
+def folder_for(df: DataFrame, name: str) -> str:
+    return f"{required_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+def batch(target: str, result: str = "rows") -> Callable[[DataFrame], DataFrame]:
+    """The table written as CSV, taken through the batch job into ``target``; what was written, or the job's summary."""
+
+    def run(df: DataFrame) -> DataFrame:
+        source, out = f"{folder_for(df, 'in')}.csv", folder_for(df, "out") + target
+        write_csv(df, source)
+        done = sp.run_batch(df.sparkSession, source, sp.Recipe.of(*PHASED), out)
+        if result == "summary":
+            return done.summary(df.sparkSession).select("steps", F.array_join("applied", ",").alias("applied"), "rows", "columns")
+        return sp.read_table(df.sparkSession, out)
+
+    return run
+
+
+def sample_round_trip(df: DataFrame) -> DataFrame:
+    folder = folder_for(df, "sample") + ".csv"
+    sp.write_sample(df, folder, order_by=["o_orderkey"])
+    return read_csv(df.sparkSession, folder)
+
+
 BOX_GATE = ("box_cox_transform", "l_extendedprice", {"skew_threshold": 0.5})
 KNN = ("fill_na_knn", "p_size")
 STRICT = (
@@ -214,11 +245,13 @@ def queries() -> dict[str, Query]:
         "interaction_boolean": steps("items_b", ("create_interaction", "", {"col1": "l_big", "math_op": "*", "col2": "l_extendedprice", "new_name": "mix"})),
         # binning and maths
         "bin_quantile": steps("part_n", ("bin_numeric", "p_retailprice")),
+        "bin_quantile_many": steps("lineitem", ("bin_numeric", "l_extendedprice", {"bins": 1000}), keep=["l_orderkey", "l_extendedprice"]),
         "bin_uniform": steps("part_n", ("bin_numeric", "p_size", {"strategy": "uniform", "bins": 7})),
         "bin_list_labels": steps("part_n", ("bin_numeric", "p_retailprice", {"bins": 3, "labels": ["low", "mid", "high"]})),
         "log_transform": steps("customer", ("log_transform", "c_acctbal")),
         "log_transform_plain": steps("part_n", ("log_transform", "p_retailprice", {"shift": False})),
-        "box_cox_transform": steps("customer", ("box_cox_transform", "c_acctbal")),
+        "box_cox_transform": steps("customer", ("box_cox_transform", "c_acctbal", {"digits": 3})),
+        "box_cox_open_gate": steps("part_n", ("box_cox_transform", "p_size", {"skew_threshold": 0.0, "digits": 3})),
         "box_cox_fixed_power": steps("customer", ("box_cox_transform", "c_acctbal", {"power": 0.5})),
         "box_cox_skew_gate": steps("lineitem", BOX_GATE, keep=["l_orderkey", "l_extendedprice"]),
         "interaction_add": interaction("+"),
@@ -239,6 +272,12 @@ def queries() -> dict[str, Query]:
         "target_encode": steps("part_n", ("target_encode", "p_brand", {"target_col": "p_retailprice"})),
         # sources, output and whole recipes
         "sanitise": query("lineitem", lambda df: sp.sanitise(df.select("l_orderkey", "l_tax", "l_shipdate"))),
+        "sanitise_odd": query("odd", sp.sanitise),
+        "sample_round_trip": query("orders", sample_round_trip),
+        "batch_parquet": query("part_n", batch(".parquet")),
+        "batch_csv": query("part_n", batch(".csv")),
+        "batch_summary": query("part_n", batch(".parquet", "summary")),
+        "profile_flags": query("flags", lambda df: sp.profile(df).select("Categorical").select(*CATEGORICAL_STATS)),
         "head_sample": query("orders", lambda df: head_sample(df, 1000, ["o_orderkey"])),
         "preview": query("orders", lambda df: sp.preview(df, sp.Recipe.of(*PREVIEW), order_by=["o_orderkey"]).data),
         "csv_round_trip": query("part_n", csv_round_trip),
@@ -354,6 +393,33 @@ def _bins(count: int) -> str:
     )
 
 
+def _box_cox(source: str, sample: str) -> str:
+    """CTE ``w``: the power, to three decimals, whose transform of ``sample`` correlates best with normal scores."""
+
+    def poly(coefficients: tuple[float, ...], r: str) -> str:
+        return "(" * len(coefficients) + f"{coefficients[0]!r})" + "".join(f" * {r} + {c!r})" for c in coefficients[1:])
+
+    def ratio(top: tuple[float, ...], bottom: tuple[float, ...], r: str) -> str:
+        return f"{poly(top, r)} / {poly(bottom, r)}"
+
+    middle = ratio(boxcox.MIDDLE_TOP, boxcox.MIDDLE_BOTTOM, "(t - 1.6)")
+    far = ratio(boxcox.TAIL_TOP, boxcox.TAIL_BOTTOM, "(t - 5)")
+    match = "corr(z, case when p = 0 then ln(x) else power(x, p) / p end)"
+    return f"""
+v as (select ({sample})::double as x from {source}),
+k as (select x, row_number() over (order by x) - 1 as k, count(*) over () as n from v),
+u as (select x, case when k = 0 then 1 - power(0.5::double, 1.0 / n) when k = n - 1 then power(0.5::double, 1.0 / n)
+  else (k + 0.6825::double) / (n + 0.365::double) end as u from k),
+h as (select x, u - 0.5::double as c, 0.180625::double - (u - 0.5::double) * (u - 0.5::double) as a, sqrt(-ln(case when u < 0.5 then u else 1 - u end)) as t from u),
+z as (select x, case when abs(c) <= 0.425 then c * {ratio(boxcox.CENTRE_TOP, boxcox.CENTRE_BOTTOM, "a")}
+  else sign(c) * case when t <= 5 then {middle} else {far} end end as z from h),
+g as (select p, {match} as r from z, (select i / 100.0::double as p from range(-300, 301) as s(i)) group by p),
+b as (select p as best from g order by r desc limit 1),
+y as (select p, {match} as r from z, (select best + i / 100000.0::double as p from b, range(-1500, 1501) as s(i)) group by p),
+w as (select round(p, 3) as p from y order by r desc limit 1)
+"""
+
+
 def _one_hot(source: str, column: str, values: list[str]) -> str:
     return ", ".join(f"coalesce({source}.{column} = '{v}', false) as \"{column}_{v}\"" for v in values)
 
@@ -534,6 +600,11 @@ def _oracle_bodies() -> dict[str, tuple[str | None, str]]:
             f"day({date}) as o_date_day, isodow({date}) - 1 as o_date_dow from orders_s",
         ),
         "bin_quantile": ("part_n", f"{_bins(5)} select {part(p_retailprice='code')} from b"),
+        "bin_quantile_many": (
+            None,
+            f"e as (select list_sort(list_distinct(quantile_cont(l_extendedprice, [{', '.join(repr(i * (1.0 / 1000)) for i in range(1000))}, 1.0]))) as l from lineitem) "
+            "select l_orderkey, cast(len(list_filter(l[2:len(l)-1], lambda x: x < l_extendedprice)) as bigint) as l_extendedprice from lineitem, e",
+        ),
         "bin_uniform": (
             "part_n",
             f"m as (select min(p_size) as mn, max(p_size) as mx from part_n) select {part(p_size=bins7)} from part_n, m",
@@ -541,6 +612,15 @@ def _oracle_bodies() -> dict[str, tuple[str | None, str]]:
         "bin_list_labels": ("part_n", f"{_bins(3)} select {part(p_retailprice='coalesce(code, -1)')} from b"),
         "log_transform": (None, f"{shift} select {customer.format(_r('ln(1 + c_acctbal + o)'))} from customer, s"),
         "log_transform_plain": ("part_n", f"select {part(p_retailprice=_r('ln(1 + p_retailprice)'))} from part_n"),
+        "box_cox_transform": (
+            None,
+            f"{shift}, {_box_cox('customer, s', 'c_acctbal + o')} select {customer.format(_r('(power(1 + c_acctbal + o, p) - 1) / p'))} from customer, s, w",
+        ),
+        "box_cox_open_gate": (
+            "part_n",
+            f"o as (select avg(p_size) as m from part_n), {_box_cox('part_n, o', 'coalesce(p_size, m) + 1')} "
+            f"select {part(p_size=_r('(power(2 + p_size, p) - 1) / p'))} from part_n, w",
+        ),
         "box_cox_fixed_power": (
             None,
             f"{shift} select {customer.format(_r('(power(1 + c_acctbal + o, 0.5) - 1) / 0.5'))} from customer, s",
@@ -596,6 +676,27 @@ def _oracle_bodies() -> dict[str, tuple[str | None, str]]:
             None,
             f"select l_orderkey, {_r('l_tax')} as l_tax, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate from lineitem",
         ),
+        "sanitise_odd": (
+            "odd",
+            f"select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, case when isfinite(l_tax) then {_r('l_tax')} end as l_tax from odd",
+        ),
+        "sample_round_trip": (
+            None,
+            f"select o_orderkey, o_custkey, o_orderstatus, {_r('o_totalprice')} as o_totalprice, "
+            "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate, o_orderpriority from orders order by o_orderkey limit 1000",
+        ),
+        "batch_parquet": ("part_n", _PHASED),
+        "batch_csv": ("part_n", _PHASED),
+        "batch_summary": (
+            "part_n",
+            "m as (select p_type from part_n where p_retailprice < 950) select cast(4 as bigint) as steps, "
+            "'fill_na_mean,drop_outliers_manual,minmax_scaler,label_encode' as applied, count(*) as rows, "
+            "cast(4 + count(distinct p_type) as bigint) as columns from m",
+        ),
+        "profile_flags": (
+            "flags",
+            _categorical_stats("(select strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate, case when o_large then 'True' else 'False' end as o_large from flags)", ["o_orderdate", "o_large"]),
+        ),
         "head_sample": (
             None,
             f"select o_orderkey, o_custkey, o_orderstatus, {_r('o_totalprice')} as o_totalprice, o_orderdate, "
@@ -610,8 +711,7 @@ def _oracle_bodies() -> dict[str, tuple[str | None, str]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL per query.  ``box_cox_transform`` has none: SQL lacks the normal
-    quantile function; its power search is tested against numpy instead."""
+    """DuckDB SQL per query."""
     out = {}
     for name, (view, body) in _oracle_bodies().items():
         body = body.strip()

@@ -2,7 +2,7 @@
 
 from sparkprep.plans.catalogue import catalogue
 from sparkprep.plans.batch import run_batch
-from sparkprep.plans.preview import preview, sanitise
+from sparkprep.plans.preview import preview, sanitise, write_sample
 from sparkprep.plans.profile import profile
 from sparkprep.plans.recipe import Recipe, Step
 from sparkprep.plans.runner import FittedRecipe, apply_recipe, fit_recipe
@@ -20,5 +20,6 @@ __all__ = [
     "read_table",
     "run_batch",
     "sanitise",
+    "write_sample",
     "write_table",
 ]

@@ -179,7 +179,8 @@ def box_cox_transform(df: DataFrame, column: str, params: dict[str, Any]) -> Ste
 
     ``skew_threshold`` switches to the batch rule: only a column whose absolute
     population skewness exceeds it is transformed, and its gaps stay.
-    ``power`` skips the search and applies the given power.
+    ``power`` skips the search and applies the given power; ``digits`` rounds the
+    power found to so many decimals.
     """
     require_numeric(df, column)
     gate = params.get("skew_threshold")
@@ -205,6 +206,8 @@ def box_cox_transform(df: DataFrame, column: str, params: dict[str, Any]) -> Ste
             if stand_in is not None:
                 sample = F.coalesce(sample, F.lit(stand_in))
             power = boxcox_power(table, sample + F.lit(shift), fit.kept)
+            if power is not None and params.get("digits") is not None:
+                power = round(power, int(params["digits"]))
         if power is None:  # constant or empty column
             return lambda t: t.withColumn(column, F.log1p(number_of(t, column)))
 

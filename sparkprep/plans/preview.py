@@ -12,6 +12,7 @@ from sparkprep.functions.columns import FLOATING, TIMES, TIMESTAMP_TEXT, col, is
 from sparkprep.functions.lookup import Kept
 from sparkprep.plans.recipe import Recipe
 from sparkprep.plans.runner import FittedRecipe, fit_recipe
+from sparkprep.sources.tables import write_table
 
 SAMPLE_ROWS = 1_000
 SHOWN_ROWS = 100
@@ -22,6 +23,11 @@ def head_sample(df: DataFrame, rows: int = SAMPLE_ROWS, order_by: Sequence[str]
     return (df.orderBy(*[col(c) for c in order_by]) if order_by else df).limit(rows)
 
 
+def write_sample(df: DataFrame, path: str, rows: int = SAMPLE_ROWS, order_by: Sequence[str] = ()) -> None:
+    """The head sample as a CSV or Parquet folder, by the name of ``path``."""
+    write_table(head_sample(df, rows, order_by), path)
+
+
 def sanitise(df: DataFrame) -> DataFrame:
     """JSON-safe values: infinities and NaN become NULL, times become text."""
 

@@ -27,11 +27,13 @@ from sparkprep.functions.columns import (
     value_of,
 )
 from sparkprep.functions.duplicates import count_duplicates
+from sparkprep.functions.lookup import Kept, fits_broadcast
 from sparkprep.functions.quantiles import Quantiles
 from sparkprep.operators.numeric import even_bin, evenly_spaced
 
 HISTOGRAM_BINS = 10
 TOP_VALUES = 20
+HEAD = 48  # characters of a text that are counted as they are
 
 TABLE_SCHEMA = (
     "total_rows long, total_cols int, logical_bytes long, duplicate_rows long, missing_cells long, clean boolean"
@@ -75,33 +77,70 @@ def _families(df: DataFrame) -> dict[str, list[tuple[int, Column]]]:
 
 
 def value_counts(df: DataFrame) -> dict[str, DataFrame]:
-    """How often each non-null value of each column occurs: ``i, v, n``, one frame
-    per family of types.  Each frame scans its own columns only and counts on the
-    map side first, so hot values cost nothing."""
+    """How often each non-null value of each column occurs, one frame per family of
+    types: ``i, v, n``, and for texts ``i, v, h1, h2, size, n``.
+
+    Each frame scans its own columns only and counts on the map side first, so
+    hot values cost nothing.  A long text is counted by its first characters,
+    length and a 128-bit hash: texts themselves are not shuffled.
+    """
     frames = {}
     for kind, family in _families(df).items():
-        cells = [F.struct(F.lit(i).alias("i"), value.alias("v")) for i, value in family]
-        values = _unpivoted(df, cells).where("v is not null")
-        frames[kind] = values.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+        values = _unpivoted(df, [F.struct(F.lit(i).alias("i"), value.alias("v")) for i, value in family]).where("v is not null")
+        keys = ["i", "v"]
+        if kind == "text":
+            values, keys = values.select("i", *_text_key(F.col("v"))), ["i", "v", "h1", "h2", "size"]
+        frames[kind] = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return frames
 
 
+def _text_key(text: Column) -> list[Column]:
+    """A text of up to ``HEAD`` characters as it is; the head, hash and length of a longer one."""
+    long = F.length(text) > HEAD
+    hashes = [F.when(long, F.xxhash64(F.lit(k), text)).alias(f"h{k}") for k in (1, 2)]
+    return [F.substring(text, 1, HEAD).alias("v"), *hashes, F.when(long, F.length(text)).alias("size")]
+
+
+def _top(counts: DataFrame) -> DataFrame:
+    """The most frequent values per column, smaller ones first among equals: ``i, place, v, n``.
+    The window keeps 20 rows per column and task before anything is shuffled."""
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
+    return counts.select("i", "v", "n", place.alias("place")).where(F.col("place") <= TOP_VALUES)
+
+
+def _top_texts(df: DataFrame, family: list[tuple[int, Column]], counts: DataFrame, kept: Kept) -> DataFrame:
+    """The same for texts.  The order by count and head leaves the first twenty and
+    what ties with the last of them; only these are looked up in the table again."""
+    place = F.rank().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
+    first = kept.keep(counts.withColumn("place", place).where(F.col("place") <= TOP_VALUES).drop("place"))
+    cut = first.where("h1 is not null").select("i", "h1", "h2", "size", "n")
+    if cut.isEmpty():
+        return _top(first)
+    cells = [F.struct(F.lit(i).alias("i"), value.alias("text")) for i, value in family]
+    key = ["i", "h1", "h2", "size"]
+    rows = _unpivoted(df, cells).where(F.length("text") > HEAD).select("i", "text", *_text_key(F.col("text"))[1:])
+    found = rows.join(F.broadcast(cut) if fits_broadcast(cut) else cut, key)
+    whole = found.groupBy(*key).agg(F.first("text").alias("v"), F.first("n").alias("n"))
+    return _top(first.where("h1 is null").select("i", "v", "n").unionByName(whole.select("i", "v", "n")))
+
+
 def _distinct_and_top(df: DataFrame) -> tuple[dict[int, int], dict[int, list[tuple[str, int]]]]:
     """Distinct values per column, and the top values of categorical columns."""
-    # The window keeps 20 rows per column and task before anything is shuffled.
-    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
-    parts = []
+    parts, kept = [], Kept()
     for kind, counts in value_counts(df).items():
         topped = kind in ("time", "text")
+        if kind == "text":
+            counts = kept.keep(counts)  # read once for the numbers, once for the top
         # Reading n in both branches keeps their shuffles alike, so one is reused.
         groups = F.count_if(F.col("n") > 0) if topped else F.count(F.lit(1))
         unique = counts.groupBy("i").agg(groups.alias("n"))
         parts.append(unique.select("i", F.lit(0).alias("place"), F.lit(None).cast("string").alias("label"), "n"))
         if topped:
             label = F.date_format(F.timestamp_micros("v"), TIMESTAMP_TEXT) if kind == "time" else F.col("v")
-            top = counts.withColumn("place", place).where(F.col("place") <= TOP_VALUES)
+            top = _top_texts(df, _families(df)["text"], counts, kept) if kind == "text" else _top(counts)
             parts.append(top.select("i", "place", label.alias("label"), "n"))
     rows = reduce(DataFrame.unionByName, parts).collect()
+    kept.release()
     distinct = {r["i"]: r["n"] for r in rows if r["place"] == 0}
     tops: dict[int, list[tuple[str, int]]] = {}
     for r in sorted((r for r in rows if r["place"]), key=lambda r: r["place"]):

@@ -1,11 +1,14 @@
 """The profile against pandas and numpy, and on edge frames."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 
 import sparkprep as sp
 from sparkprep.functions import quantiles as q
+from sparkprep.plans.profile import HEAD, value_counts
 
 
 def rows(df):
@@ -114,3 +117,16 @@ def test_given_tables(spark, name):
     assert [r["name"] for r in found.columns.collect()] == df.columns
     totals = found.table.first()
     assert (totals["total_rows"], totals["duplicate_rows"], totals["missing_cells"]) == (df.count(), 0, 0)
+
+
+def test_long_texts_are_counted_by_hash(spark, make):
+    start = "x" * HEAD
+    texts = [start + str(i // 2) for i in range(60)] + [start] * 2 + ["a", "a", "a", None]
+    df = make("t string", partitions=3, t=texts)
+    row = sp.profile(df).columns.first()
+    counts = sorted(Counter(t for t in texts if t).items(), key=lambda c: (-c[1], c[0]))
+    assert row["unique"] == len(counts)
+    assert [tuple(b) for b in row["distribution"]] == counts[:20]
+    exchange = value_counts(df)["text"]._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in exchange.splitlines() if "hashpartitioning" in line]
+    assert shuffles and all("h1" in line for line in shuffles)
