@@ -49,6 +49,14 @@ VIEWS = {
         "case when p_brand = 'Brand#1' or p_partkey % 7 = 0 then null else cast(p_size as double) end as p_size "
         "from {source}",
     ),
+    "part_k": (
+        "part",
+        "select p_partkey, case when p_partkey % 7 = 0 then null else cast(p_size as double) end as p_size, "
+        "case when p_partkey % 13 = 0 then null else p_retailprice end as p_retailprice, "
+        "case when p_partkey % 5 = 0 then null else p_partkey % 37 * 10.0 end as a, "
+        "case when p_partkey % 3 = 0 then null else p_partkey % 101 * 3.0 end as b, "
+        "case when p_partkey % 11 = 0 then null else p_partkey % 17 * 25.0 end as c from {source}",
+    ),
     "orders_s": (
         "orders",
         "select o_orderkey, case when o_orderkey % 17 = 0 then 'not-a-date' "
@@ -235,6 +243,7 @@ def queries() -> dict[str, Query]:
         "fill_na_groupby_median": steps("part_g", ("fill_na_groupby", "p_size", {"group_col": "p_brand"})),
         "fill_na_groupby_mode": steps("part_g", ("fill_na_groupby", "p_size", {"group_col": "p_brand", "strategy": "mode"})),
         "fill_na_knn": steps("part_n", KNN),
+        "fill_na_knn_gaps": steps("part_k", KNN),
         # dates
         "extract_date_parts": steps("orders_s", ("extract_date_parts", "o_date", {"drop_original": "True"})),
         "extract_date_us": steps("orders_us", ("extract_date_parts", "o_date", {"drop_original": "True"})),
@@ -384,6 +393,9 @@ f as (select rid, avg(v) as v from k where rn <= 5 group by rid)
 """
 
 
+_GAPS = ("p_retailprice", "a", "b", "c")
+
+
 def _bins(count: int) -> str:
     points = ", ".join(repr(i * (1.0 / count)) for i in range(count)) + ", 1.0"
     return (
@@ -594,6 +606,15 @@ def _oracle_bodies() -> dict[str, tuple[str | None, str]]:
             f"{_KNN} select p_partkey, p_brand, p_type, {_r('coalesce(p_size, f.v)')} as p_size, "
             f"{_r('p_retailprice')} as p_retailprice from part_n left join f on p_partkey = f.rid",
         ),
+        "fill_na_knn_gaps": (
+            "part_k",
+            f"pr as (select r.p_partkey as rid, dn.p_size as v, sqrt(6.0 / (1 + {' + '.join(f'(r.{c} - dn.{c} is not null)::int' for c in _GAPS)}) * "
+            f"(power(r.p_partkey - dn.p_partkey, 2) + {' + '.join(f'coalesce(power(r.{c} - dn.{c}, 2), 0)' for c in _GAPS)})) as dist "
+            "from part_k r cross join part_k dn where r.p_size is null and dn.p_size is not null), "
+            "k as (select rid, v, row_number() over (partition by rid order by dist, v) as rn from pr), "
+            "f as (select rid, avg(v) as v from k where rn <= 5 group by rid) "
+            f"select p_partkey, {_r('coalesce(p_size, f.v)')} as p_size, {', '.join(f'{_r(c)} as {c}' for c in _GAPS)} from part_k left join f on p_partkey = f.rid",
+        ),
         "extract_date_parts": (
             "orders_s",
             f"select o_orderkey, year({date}) as o_date_year, month({date}) as o_date_month, "

@@ -19,12 +19,15 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.lookup import Kept, lookup_join
+from sparkprep.functions.ranks import passed, running_start
 
 ACCURACY = 10_000  # sketch rank error is rows / ACCURACY
 FETCH_ROWS = 200_000  # values read to the driver in one pass, at most
 DIRECT_ROWS = 2_000  # columns this short are read out without a sketch
 SAMPLE_ROWS = 100_000  # sketch at least this many rows, ...
 SAMPLE_SHARE = 0.05  # ... or this share of a larger table
+MANY = 64  # ranks of one column; more are found by running totals
+NESTED = 64  # points compared in nested expressions; more are searched in an array
 SMALL_GROUP = 2 * ACCURACY  # groups up to this size skip the sketch bracket
 BRACKET_ROWS = 1_000_000  # narrow group brackets that may hold more rows
 GRID = 1_000  # steps of one narrowing
@@ -90,10 +93,13 @@ class Quantiles:
         # One narrow projection, so each value is prepared once per pass.
         narrow = df.select(*[self.columns[c].alias(f"q{i}") for i, c in enumerate(self.order)])
         searches: list[_Search] = []
+        values: dict[tuple[str, int], float] = {}
         for name, n in rows.items():
             wanted = sorted({r for p in self.probabilities[name] for r in rank_position(p, n)[:2]}) if n else []
-            searches += [_Search(name, ranks, None, None, 0, n) for ranks in _neighbours(wanted)]
-        values: dict[tuple[str, int], float] = {}
+            if len(wanted) > MANY and n > DIRECT_ROWS:
+                values |= {(name, r): v for r, v in self._ranked(narrow, name, wanted).items()}
+            else:
+                searches += [_Search(name, ranks, None, None, 0, n) for ranks in _neighbours(wanted)]
         while searches:
             self._aim(narrow, searches)
             searches = self._scan(narrow, searches, values)
@@ -105,6 +111,22 @@ class Quantiles:
                 found[name][p] = interpolate(values[name, first], values[name, last], fraction)
         return found
 
+    def _ranked(self, df: DataFrame, name: str, ranks: list[int]) -> dict[int, float]:
+        """The values at many ranks at once: values are counted, their running
+        totals formed range by range, and only those holding a wanted rank read."""
+        kept = Kept()
+        values = df.select(self.column(name).alias("x")).where("x is not null")
+        counts = kept.keep(values.groupBy("x").agg(F.count(F.lit(1)).alias("c")))
+        placed = running_start(counts, "x", F.col("c"))
+        holds = passed(ranks, F.col("start") + F.col("c") - 1) > passed(ranks, F.col("start") - 1)
+        found = placed.where(holds).select("x", "start", "c").collect()  # as many as ranks, at most
+        kept.release()
+        out = {}
+        for r in found:
+            first, stop = bisect_left(ranks, r["start"]), bisect_left(ranks, r["start"] + r["c"])
+            out |= dict.fromkeys(ranks[first:stop], r["x"])
+        return out
+
     def _aim(self, df: DataFrame, searches: list[_Search]) -> None:
         """Choose what the next pass counts around, and whether it reads values.
 
@@ -172,7 +194,7 @@ class Quantiles:
         placed, cells = {}, []
         for i, name in enumerate(names):
             x = self.column(name)
-            placed[f"p{i}"] = F.when(x.isNotNull(), _segment(x, points[name], 0))
+            placed[f"p{i}"] = F.when(x.isNotNull(), _segment(x, points[name]))
             kept = F.when(F.col(f"p{i}").isin(sorted(read[name])), x) if read[name] else F.lit(None).cast("double")
             cells.append(F.struct(F.lit(i).alias("i"), F.col(f"p{i}").alias("part"), kept.cast("double").alias("v")))
         found = (
@@ -242,10 +264,18 @@ def _between(x: Column, low: float | None, high: float | None) -> Column:
     return keep
 
 
-def _segment(x: Column, at: list[float], first: int) -> Column:
-    """Which part of the line ``x`` lies in: odd at a point, even between two."""
+def _segment(x: Column, at: list[float], first: int = 0) -> Column:
+    """Which part of the line ``x`` lies in: odd at a point, even between two.
+
+    Few points become nested comparisons; many would outgrow the code that can
+    be compiled, so they are searched in a literal array.
+    """
     if not at:
         return F.lit(2 * first)
+    if len(at) > NESTED:
+        points = F.lit(at)
+        part = lambda i: F.when((i > 0) & (F.get(points, i - 1) == x), 2 * i - 1).otherwise(2 * i)
+        return F.get(F.transform(F.array(passed(at, x)), part), F.lit(0))
     middle = len(at) // 2
     point = F.lit(at[middle])
     return (

@@ -5,7 +5,8 @@ other numeric columns (unscaled; the distance over the coordinates both rows
 have is scaled up by the share that is missing).
 
 Rows that can donate a value are split into small cells: one tree of median cuts
-per pattern of missing coordinates.  A row in need is first compared with the
+per frequent pattern of missing coordinates, and one for all other patterns,
+which also cuts by whether a coordinate is missing.  A row in need is first compared with the
 cell it falls into; its fifth-best distance there then rules out every cell whose
 bounding box is farther away.  Only the remaining cells are joined, in bounded
 chunks.  The cuts come from a sample, but they only shape the cells: boxes and
@@ -45,15 +46,18 @@ class Sizes:
 
 @dataclass
 class Tree:
-    """A complete binary tree of median cuts over one missing pattern."""
+    """A complete binary tree of cuts over the donors of one missing pattern, or
+    of many."""
 
-    present: np.ndarray  # which coordinates its donors have
+    present: np.ndarray | None  # which coordinates its donors have; None: of many patterns
     axis: np.ndarray  # per inner node
     cut: np.ndarray
     first_cell: int
     low: np.ndarray | None = None  # per node, filled from the real donors
     high: np.ndarray | None = None
     count: np.ndarray | None = None
+    sure: np.ndarray | None = None  # coordinates all donors of the node have
+    some: np.ndarray | None = None  # coordinates any of them has
 
     @property
     def inner(self) -> int:
@@ -62,32 +66,38 @@ class Tree:
     def cells(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), dtype=np.int64)
         for _ in range(int(np.log2(self.inner + 1))):
-            right = x[np.arange(len(x)), self.axis[node]] > self.cut[node]
+            value = x[np.arange(len(x)), self.axis[node]]
+            right = np.where(np.isnan(value), np.inf, value) > self.cut[node]  # missing: beyond every number
             node = 2 * node + 1 + right
         return node - self.inner + self.first_cell
 
-    def set_boxes(self, boxes: dict[int, tuple[int, list[float], list[float]]], width: int) -> None:
+    def set_boxes(self, boxes: dict[int, tuple[int, list[int], list[float], list[float]]], width: int) -> None:
+        """``boxes`` per cell: donors, how many have each coordinate, and its ends."""
         nodes = 2 * self.inner + 1
         self.count = np.zeros(nodes, dtype=np.int64)
         self.low, self.high = np.full((nodes, width), np.inf), np.full((nodes, width), -np.inf)
-        for cell, (count, low, high) in boxes.items():
+        self.sure, self.some = np.ones((nodes, width), dtype=bool), np.zeros((nodes, width), dtype=bool)
+        for cell, (count, given, low, high) in boxes.items():
             node = cell - self.first_cell + self.inner
             if self.inner <= node < nodes:
                 self.count[node] = count
-                self.low[node] = np.where(self.present, np.array(low, dtype=float), 0.0)
-                self.high[node] = np.where(self.present, np.array(high, dtype=float), 0.0)
+                self.sure[node], self.some[node] = np.array(given) == count, np.array(given) > 0
+                self.low[node] = np.where(self.sure[node], np.array(low, dtype=float), 0.0)
+                self.high[node] = np.where(self.sure[node], np.array(high, dtype=float), 0.0)
         for node in range(self.inner - 1, -1, -1):
             a, b = 2 * node + 1, 2 * node + 2
             self.count[node] = self.count[a] + self.count[b]
             self.low[node] = np.minimum(self.low[a], self.low[b])
             self.high[node] = np.maximum(self.high[a], self.high[b])
+            self.sure[node], self.some[node] = self.sure[a] & self.sure[b], self.some[a] | self.some[b]
 
     def gap(self, x: np.ndarray, node: np.ndarray | int) -> np.ndarray:
-        """Least possible distance from each row of ``x`` to the node's donors."""
-        shared = ~np.isnan(x) & self.present
+        """Least possible distance from each row of ``x`` to the node's donors: the
+        coordinates all of them have, scaled for as many as any of them has."""
+        shared = ~np.isnan(x) & self.sure[node]
         away = np.maximum(np.maximum(self.low[node] - x, x - self.high[node]), 0.0)
         squares = np.where(shared, away, 0.0)
-        parts = shared.sum(axis=1)
+        parts = (~np.isnan(x) & self.some[node]).sum(axis=1)
         # Added in the order of :func:`distances`, so rounding cannot pass it.
         total = np.zeros(len(x))
         for j in range(x.shape[1]):
@@ -96,24 +106,33 @@ class Tree:
             return np.where(parts > 0, np.sqrt((x.shape[1] + 1.0) / parts * total), np.inf)
 
 
-def grow(sample: np.ndarray, present: np.ndarray, depth: int, first_cell: int) -> Tree:
-    """Cut at the median of the widest coordinate, ``depth`` times."""
+def grow(sample: np.ndarray, present: np.ndarray | None, depth: int, first_cell: int) -> Tree:
+    """Cut the widest coordinate ``depth`` times: off the rows that lack it, where
+    some do, else at its median."""
     inner = 2**depth - 1
     axis, cut = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
     members: list[np.ndarray | None] = [sample] + [None] * (2 * inner)
     for node in range(inner):
         rows = members[node]
         if rows is not None and len(rows) > 1:
-            spread = np.where(present, rows.max(axis=0) - rows.min(axis=0), -1.0)
+            lacking = np.isnan(rows)
+            high, low = np.where(lacking, -np.inf, rows).max(axis=0), np.where(lacking, np.inf, rows).min(axis=0)
+            spread = high - low  # -inf where no row has it
             best = int(np.argmax(spread))
             if spread[best] > 0:
                 values = rows[:, best]
-                middle = np.median(values)
-                # A median equal to the maximum would leave the right side empty.
-                axis[node], cut[node] = best, middle if middle < values.max() else values[values < middle].max()
-        axis[node] = axis[node] if np.isfinite(cut[node]) else int(np.argmax(present))
+                axis[node] = best
+                if lacking[:, best].any():
+                    cut[node] = np.finfo(float).max
+                else:
+                    middle = np.median(values)
+                    # A median equal to the maximum would leave the right side empty.
+                    cut[node] = middle if middle < values.max() else values[values < middle].max()
+        if not np.isfinite(cut[node]) and present is not None:
+            axis[node] = int(np.argmax(present))
         if rows is not None:
-            right = rows[:, axis[node]] > cut[node]
+            value = rows[:, axis[node]]
+            right = np.where(np.isnan(value), np.inf, value) > cut[node]
             members[2 * node + 1], members[2 * node + 2] = rows[~right], rows[right]
             members[node] = None
     return Tree(present, axis, cut, first_cell)
@@ -151,19 +170,20 @@ def nearest(needy: np.ndarray, donors: np.ndarray, values: np.ndarray, k: int, p
 
 
 class CellMap:
-    """All trees together with one cell for the rare missing patterns."""
+    """All trees together; the last one may hold every rarer missing pattern."""
 
-    def __init__(self, trees: list[Tree], rest_cell: int, rest_rows: int, k: int):
-        self.trees, self.rest_cell, self.rest_rows, self.k = trees, rest_cell, rest_rows, k
+    def __init__(self, trees: list[Tree], k: int):
+        self.trees, self.k = trees, k
 
     def cell_of(self, x: np.ndarray) -> np.ndarray:
         """The cell every donor belongs to."""
-        out = np.full(len(x), self.rest_cell, dtype=np.int64)
-        present = ~np.isnan(x)
+        out = np.zeros(len(x), dtype=np.int64)
+        present, left = ~np.isnan(x), np.ones(len(x), dtype=bool)
         for tree in self.trees:
-            own = (present == tree.present).all(axis=1)
+            own = left & (present == tree.present).all(axis=1) if tree.present is not None else left
             if own.any():
                 out[own] = tree.cells(x[own])
+            left = left & ~own
         return out
 
     def home(self, x: np.ndarray) -> np.ndarray:
@@ -208,8 +228,6 @@ class CellMap:
                 else:
                     cell = node - tree.inner + tree.first_cell
                     visit(rows[home[rows] != cell], cell)
-        if self.rest_rows:
-            visit(np.arange(len(x)), self.rest_cell)
         return np.concatenate(rows_out), np.concatenate(cells_out)
 
 
@@ -316,31 +334,33 @@ def _build_cells(donors: DataFrame, width: int, k: int, sizes: Sizes, kept: Kept
     names = [f"x{j}" for j in range(width)]
     pattern = F.concat(*[F.when(F.col(n).isNull(), "0").otherwise("1") for n in names])
     patterns = donors.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    patterns = kept.keep(patterns)
     common = patterns.orderBy(F.desc("n"), "pattern").limit(sizes.max_trees).collect()
-    total = sum(r["n"] for r in common)
+    total = patterns.agg(F.sum("n")).first()[0] or 0
     max_cells = max(2, min(sizes.max_cells, 2 * sizes.sample_values // width))
     share = min(1.0, sizes.sample_values / width / max(1, total))
     rows = donors.select(*names).sample(share, seed=7).limit(2 * sizes.sample_values // width).toPandas()
     sample = _matrix(rows, width)
     known = ~np.isnan(sample)
     trees, first = [], 0
-    for r in common:
-        present = np.array([c == "1" for c in r["pattern"]])
-        mine = sample[(known == present).all(axis=1)]
-        wanted = min(r["n"] / sizes.cell_rows, max_cells * r["n"] / total, max(1, len(mine)) / 4)
+    groups = [(np.array([c == "1" for c in r["pattern"]]), r["n"]) for r in common]
+    if (rare := total - sum(n for _, n in groups)) > 0:
+        groups.append((None, rare))
+    others = np.ones(len(sample), dtype=bool)
+    for present, rows_here in groups:
+        own = others & (known == present).all(axis=1) if present is not None else others
+        others = others & ~own
+        wanted = min(rows_here / sizes.cell_rows, max_cells * rows_here / total, max(1, own.sum()) / 4)
         depth = max(0, int(np.log2(max(1.0, wanted))))
-        trees.append(grow(mine, present, depth, first))
+        trees.append(grow(sample[own], present, depth, first))
         first += 2**depth
-    cells = CellMap(trees, first, 0, k)
+    cells = CellMap(trees, k)
     placed = kept.keep(_map_cells(donors, cells, width))
-    ends = [f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]
+    ends = [f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.count, F.min, F.max)]
     boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *ends).collect()
-    table = {
-        r["cell"]: (r["n"], [r[f"min_{n}"] for n in names], [r[f"max_{n}"] for n in names]) for r in boxes
-    }
+    table = {r["cell"]: (r["n"], *([r[f"{f}_{n}"] for n in names] for f in ("count", "min", "max"))) for r in boxes}
     for tree in trees:
         tree.set_boxes(table, width)
-    cells.rest_rows = table.get(cells.rest_cell, (0,))[0]
     return cells, placed
 
 

@@ -116,3 +116,38 @@ def test_other_columns_and_rows_survive(spark, step):
 def test_infinite_coordinates_are_refused(make, step):
     df = make("x double, y double", x=[1.0, None], y=[float("inf"), 1.0])
     assert "infinite" in step(df, "fill_na_knn", "x")
+
+
+def test_many_missing_patterns(spark):
+    """Far more patterns than trees, and gaps in nine columns of ten."""
+    data = gappy(8, 1200, 10, 0.25)
+    assert len({tuple(p) for p in np.isnan(data[:, 1:])}) > 100
+    assert filled(frame(spark, data), TINY) == pytest.approx(brute(data, 0), rel=1e-12)
+
+
+def test_rare_patterns_are_pruned_too():
+    """Donors of 400 patterns in one tree: rows visit few of its cells."""
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(20_000, 8)) * [100, 60, 1, 1, 1, 1, 1, 1]
+    data[rng.random(data.shape) < 0.2] = np.nan
+    data = data[~np.isnan(data).all(axis=1)]
+    tree = knn.grow(data[:4000], None, 8, 0)
+    cells = knn.CellMap([tree], 5)
+    own = cells.cell_of(data)
+    boxes = {}
+    for c in np.unique(own).tolist():
+        part = data[own == c]
+        with np.errstate(invalid="ignore"):
+            low, high = np.where(np.isnan(part), np.inf, part).min(axis=0), np.where(np.isnan(part), -np.inf, part).max(axis=0)
+        boxes[c] = (len(part), (~np.isnan(part)).sum(axis=0).tolist(), low.tolist(), high.tolist())
+    tree.set_boxes(boxes, 8)
+    needy = data[:200]
+    home = cells.home(needy)
+    limit = np.array([np.sort(knn.distances(needy[i : i + 1], data[own == home[i]])[0])[4] for i in range(200)])
+    rows, found = cells.reachable(needy, limit, home)
+    compared = sum(boxes[c][0] for c in found.tolist())
+    assert compared < 0.35 * 200 * len(data)
+    least = np.sort(knn.distances(needy, data), axis=1)[:, 4]  # what a cell left out holds is farther
+    for i in range(200):
+        seen = np.isin(own, [*found[rows == i], home[i]])
+        assert np.sort(knn.distances(needy[i : i + 1], data[seen])[0])[4] == least[i]

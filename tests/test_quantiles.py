@@ -72,3 +72,12 @@ def test_group_quantile(spark, monkeypatch, accuracy, small_group, bracket_rows)
     expected = {g: np.median(values[groups == g]) for g in np.unique(groups)} | {"f": 2.0}
     assert {r["g"]: r["q"] for r in out} == pytest.approx(expected)
     assert sum(r["n"] for r in out) == 4_001
+
+
+def test_many_ranks_by_running_totals(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(size=4000), np.full(2000, 0.25)])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(5)
+    wanted = [i / 300 for i in range(301)]
+    found = q.quantiles(df, {"x": F.col("x")}, {"x": wanted})["x"]
+    assert [found[p] for p in wanted] == pytest.approx(np.quantile(values, wanted).tolist(), rel=1e-12)
