@@ -3,7 +3,8 @@
 A table beyond the broadcast limit is joined by shuffle, except for its heavy
 keys: a key owning more than one in ``HEAVY_SHARE`` rows can occur at most
 ``HEAVY_SHARE`` times among the keys, so that part is always small enough to
-broadcast, and the hot rows never meet in one shuffle partition.
+broadcast unless its texts are very long, and the hot rows never meet in one
+shuffle partition.
 """
 
 from __future__ import annotations
@@ -84,6 +85,8 @@ def lookup_join(
         return attach(keyed, F.broadcast(side), how)
     total = table.agg(F.sum(col(count))).first()[0] or 0
     heavy = kept.keep(side.where(F.col("__n") > F.lit(total / HEAVY_SHARE)))
+    if not fits_broadcast(heavy):  # few but very long keys: one shuffle, whose skewed partitions adaptive execution splits
+        return attach(keyed, side, how)
     light = side.where(F.col("__n") <= F.lit(total / HEAVY_SHARE))
     hot = attach(keyed, F.broadcast(heavy), "inner")
     others = keyed.join(F.broadcast(heavy), matches(), "left_anti")

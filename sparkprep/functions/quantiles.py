@@ -331,13 +331,22 @@ def group_quantile(
     missed = picked.where("q is null")
     if missed.isEmpty():
         return picked
-    # The sketch bracket missed the rank: redo those groups over their whole range.
+    # The sketch bracket missed the rank: those groups start again from their whole range, narrowed like any other.
     wide = kept.keep(
         brackets.join(missed.select("g"), "g", "left_semi").select(
             "g", "n", "mn", "mx", F.col("mn").alias("lo"), F.col("mx").alias("hi")
         )
     )
-    return picked.where("q is not null").unionByName(_pick(base, wide, p, kept))
+    again, expected = wide, wide.agg(F.max("n")).first()[0]
+    while expected > bracket_rows:
+        again = kept.keep(_narrowed(base, again, p, accuracy, kept))
+        expected *= min(0.5, 4 / GRID + 2 * slack)
+    found = picked.where("q is not null")
+    if again is wide:
+        return found.unionByName(_pick(base, wide, p, kept))
+    more = kept.keep(_pick(base, again, p, kept))
+    lost = wide.join(more.where("q is null").select("g"), "g", "left_semi")  # missed twice: read whole
+    return found.unionByName(more.where("q is not null")).unionByName(_pick(base, lost, p, kept))
 
 
 def _narrowed(base: DataFrame, brackets: DataFrame, p: float, accuracy: int, kept: Kept) -> DataFrame:

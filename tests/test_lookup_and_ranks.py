@@ -65,3 +65,15 @@ def test_codes_need_no_shared_folder(spark, monkeypatch):
     assert [r.status for r in fitted.results] == ["applied"]
     assert fitted.output.where("k <> id").isEmpty()
     fitted.release()
+
+
+def test_heavy_keys_too_long_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 64)
+    keys = ["k" * 200, "m" * 200, "n"]
+    df = spark.createDataFrame([(keys[i % 3], i) for i in range(30)] + [(None, 99)], "k string, i long")
+    table = df.groupBy("k").agg(F.count("*").alias("c"), F.max("i").alias("top")).where("k is not null")
+    kept = Kept()
+    out = lookup_join(df, table, {"k": F.col("k")}, "c", kept)
+    got = {r["i"]: r["top"] for r in out.collect()}
+    assert got == {i: 27 + i % 3 for i in range(30)} | {99: None}
+    kept.release()
