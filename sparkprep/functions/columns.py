@@ -7,7 +7,7 @@ keep their raw form and filters on them still reach the parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def tells_case(spark: SparkSession) -> bool:
+    """Whether the session tells names apart that differ only in case."""
+    return str(spark.conf.get("spark.sql.caseSensitive")).lower() == "true"
+
+
 def type_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

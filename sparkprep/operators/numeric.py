@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.functions.columns import INTEGRAL, TIMES, col, is_infinite, is_numeric, number_of, type_of, value_of
+from sparkprep.functions.columns import INTEGRAL, TIMES, col, is_infinite, is_numeric, number_of, tells_case, type_of, value_of
 from sparkprep.functions.ranks import passed
 from sparkprep.operators.base import Fit, SkipStep, StepPlan, Transform, as_flag, require_numeric, simple
 
@@ -124,6 +124,9 @@ def create_interaction(df: DataFrame, column: str, params: dict[str, Any]) -> St
         raise SkipStep(f"unknown operator '{sign}'")
     if not name:
         raise SkipStep("new_name is missing")
+    alike = [c for c in df.columns if c != name and c.lower() == name.lower()]
+    if alike and not tells_case(df.sparkSession):
+        raise SkipStep(f"'{name}' would replace the column '{alike[0]}'")
 
     def combine(t: DataFrame) -> Column:
         types = [type_of(t, left), type_of(t, right)]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.functions.columns import TIMES, TIMESTAMP_TEXT, col
+from sparkprep.functions.columns import TIMES, TIMESTAMP_TEXT, col, tells_case
 
 # Texts read as missing.
 NULL_TOKENS = (
@@ -31,18 +31,21 @@ class NotACsv(ValueError):
     """The input is not a valid CSV table."""
 
 
-def header_names(raw: Sequence[str | None]) -> list[str]:
-    """Column names from header cells: empty cells are numbered, repeats suffixed."""
+def header_names(raw: Sequence[str | None], exact: bool = False) -> list[str]:
+    """Column names from header cells: empty cells are numbered, repeats suffixed.
+    Names that differ only in case count as repeats, unless the session tells them
+    apart (``exact``)."""
+    fold = str if exact else str.lower
     taken: set[str] = set()
     repeats: dict[str, int] = {}
     given = [cell if cell else f"Unnamed: {i}" for i, cell in enumerate(raw)]
     out = []
     for name in given:
         unique = name
-        while unique in taken:
+        while fold(unique) in taken:
             repeats[name] = repeats.get(name, 0) + 1
             unique = f"{name}.{repeats[name]}"
-        taken.add(unique)
+        taken.add(fold(unique))
         out.append(unique)
     return out
 
@@ -85,7 +88,7 @@ def read_csv(
         raise NotACsv(f"cannot read {path}: {error}") from error
     if head is None:
         raise NotACsv(f"{path} is empty")
-    names = header_names(list(head))
+    names = header_names(list(head), tells_case(spark))
     texts = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_BAD, T.StringType())])
     reader = spark.read.options(**_options(multiline), columnNameOfCorruptRecord=_BAD)
     raw = reader.schema(texts).csv(path, header=True)

@@ -129,3 +129,16 @@ def test_given_schema_skips_inference(spark, tmp_path):
     path.write_text("a,b\n1,2\n")
     schema = spark.range(0).selectExpr("'' as a", "1.0d as b").schema
     assert read_csv(spark, str(path), schema=schema).first() == ("1", 2.0)
+
+
+def test_names_that_differ_in_case(spark, tmp_path):
+    path = tmp_path / "case.csv"
+    path.write_text("a,A,a\n1,x,2\n")
+    df = read_csv(spark, str(path))
+    assert df.columns == ["a", "A.1", "a.2"]
+    assert tuple(df.first()) == (1, "x", 2)
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        assert read_csv(spark, str(path)).columns == ["a", "A", "a.1"]
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")

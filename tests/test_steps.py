@@ -410,3 +410,9 @@ def test_unseen_category_gets_the_prior(make):
     fitted = fit_recipe(df, Recipe.of(("target_encode", "k", {"target_col": "y"})))
     assert fitted.transform(make("k string, y double", k=["new"], y=[0.0])).first()["k"] == 3.0
     fitted.release()
+
+
+def test_interaction_never_replaces_another_case(make, step):
+    df = make("a double, b double", a=[1.0], b=[2.0])
+    assert "would replace" in step(df, "create_interaction", col1="a", math_op="+", col2="b", new_name="A")
+    assert step(df, "create_interaction", col1="a", math_op="+", col2="b", new_name="a").first()["a"] == 3.0
