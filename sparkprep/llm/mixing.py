@@ -48,19 +48,34 @@ def rake(tokens: Mapping[tuple[str, ...], int], targets: Targets, rounds: int =
 
 
 def full_targets(targets: Targets) -> dict[str, dict[str, float]]:
-    """Targets with the rest category: what the given shares leave of 1."""
+    """Targets with the rest category: its share if given as ``REST``, else what the given shares leave of 1."""
     out = {}
     cells = 1
     for name, shares in targets.items():
         if any(s < 0 for s in shares.values()) or sum(shares.values()) > 1 + 1e-9:
             raise ValueError(f"target shares of {name} must be positive and add to 1 at most")
-        out[name] = dict(shares) | {REST: max(0.0, 1 - sum(shares.values()))}
+        out[name] = {REST: max(0.0, 1 - sum(shares.values()))} | dict(shares)
         cells *= len(out[name])
     if cells > MAX_CELLS:
         raise ValueError(f"{cells} cells of targets; at most {MAX_CELLS}")
     return out
 
 
+def with_rest(tokens: Mapping[tuple[str, ...], int], targets: Targets) -> dict[str, dict[str, float]]:
+    """Full targets; a rest category that is left nothing keeps its share of the tokens, and the named ones share the others.
+
+    So a margin whose shares add to 1 loses no row outside its list; only a
+    ``REST`` share of 0 that is given takes them out.
+    """
+    total = sum(tokens.values())
+    out = full_targets(targets)
+    for axis, (name, shares) in enumerate(out.items()):
+        if REST not in targets[name] and shares[REST] < 1e-9 and total:
+            own = sum(n for cell, n in tokens.items() if cell[axis] == REST) / total
+            out[name] = {c: s * (1 - own) for c, s in shares.items()} | {REST: own}
+    return out
+
+
 def calibrate(docs: DataFrame, targets: Targets, tokens: str = "n_tokens", rounds: int = ROUNDS) -> dict[tuple[str, ...], float]:
     """Raked weight of every cell of the margins (columns named as in ``targets``) that holds documents.
 
@@ -68,10 +83,10 @@ def calibrate(docs: DataFrame, targets: Targets, tokens: str = "n_tokens", round
     category, so there are no more cells than combinations of targets, however
     many the data hold.  Only these sums reach the driver.
     """
-    targets = full_targets(targets)
-    keys = [margin(name, shares).alias(f"m{i}") for i, (name, shares) in enumerate(targets.items())]
+    keys = [margin(name, shares).alias(f"m{i}") for i, (name, shares) in enumerate(full_targets(targets).items())]
     sums = docs.select(*keys, col(tokens).alias("n")).groupBy(*[f"m{i}" for i in range(len(keys))]).agg(F.sum("n"))
-    return rake({tuple(r[:-1]): int(r[-1] or 0) for r in sums.collect()}, targets, rounds)
+    cells = {tuple(r[:-1]): int(r[-1] or 0) for r in sums.collect()}
+    return rake(cells, with_rest(cells, targets), rounds)
 
 
 def margin(name: str, shares: Mapping[str, float]) -> Column:
@@ -91,7 +106,10 @@ def mix(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str
     ``weight`` is the raked weight of the row's cell of source, language and
     topic, ``probability`` the weight over the largest one, so that kept tokens
     meet all margins in expectation; ``kept`` holds if the id's uniform number
-    is below it.  Null sources and languages are in the rest category.  Empty
+    is below it.  Null and unlisted sources and languages are in the rest
+    category, which gets its share as ``REST`` or what the shares leave of 1; if
+    they leave nothing, it keeps its share of the tokens, so none is lost for its
+    language alone.  Empty
     texts have no tokens and their cell's weight.  Repeated rows and ids share
     one decision.  ``row`` holds all columns given; an empty table gives an
     empty one.

@@ -237,6 +237,21 @@ def test_sample_meets_targets_and_edge_cases(spark):
         mixing.full_targets({"s": {"a": 0.8, "b": 0.8}})
 
 
+def test_null_and_unlisted_languages_can_be_kept(spark):
+    langs = ["en", "de", "fr", "es", None, "it"]
+    rows = [(i, "some plain words", langs[i % 6], "src1", "k", True, "w", "h", 1, 2) for i in range(1_200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix(docs, TARGETS).where("kept").groupBy("lang").agg(F.sum("n_tokens").alias("n")).collect()
+    n = {r["lang"]: r["n"] for r in mixed}
+    total = sum(n.values())
+    assert n[None] > 0 and n["it"] > 0
+    assert (n[None] + n["it"]) / total == pytest.approx(1 / 3, abs=0.08)
+    assert n["en"] / total == pytest.approx(0.6 * 2 / 3, abs=0.08)
+    assert mixing.mix(docs.where("lang = 'it'"), TARGETS).where("not kept").isEmpty()
+    refused = TARGETS | {"lang": TARGETS["lang"] | {mixing.REST: 0.0}}
+    assert mixing.mix(docs, refused).where("kept and (lang is null or lang = 'it')").isEmpty()
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
