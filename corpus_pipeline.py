@@ -34,10 +34,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by their calibrated probability."""
+    """Documents sampled by their calibrated probability, none twice."""
     return mixing.mix(docs.select(*COLUMNS), TARGETS).where("kept").select("row.*").select(*COLUMNS)
 
 
+def mix_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many tokens as are given, in copies by weight: a row of a scarce cell comes several times."""
+    mixed = mixing.mix(docs.select(*COLUMNS), TARGETS).where("copies > 0")
+    return mixed.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids as digests, with those of the decoded bytes."""
     return bpe.round_trip(docs, **byte_bpe())
@@ -50,13 +56,15 @@ STAGES = [
     ("mixing", mix_sources),
     ("byte_bpe", encode),
 ]
+#: The same with a corpus that keeps its tokens; one document can have several rows.
+STAGES_WITH_COPIES = [(name, mix_copies if stage is mix_sources else stage) for name, stage in STAGES]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list | None = None) -> DataFrame:
     """The stages one after the other, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{required_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for place, (name, stage) in enumerate(STAGES):
+    for place, (name, stage) in enumerate(stages or STAGES):
         path = f"{folder}/{place}-{name}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)

@@ -76,8 +76,8 @@ def with_rest(tokens: Mapping[tuple[str, ...], int], targets: Targets) -> dict[s
     return out
 
 
-def calibrate(docs: DataFrame, targets: Targets, tokens: str = "n_tokens", rounds: int = ROUNDS) -> dict[tuple[str, ...], float]:
-    """Raked weight of every cell of the margins (columns named as in ``targets``) that holds documents.
+def calibrate(docs: DataFrame, targets: Targets, tokens: str = "n_tokens", rounds: int = ROUNDS) -> tuple[dict[tuple[str, ...], tuple[float, int]], int]:
+    """Raked weight and tokens of every cell of the margins (columns named as in ``targets``) that holds documents; all tokens.
 
     Categories not named in a margin's targets, and nulls, belong to the rest
     category, so there are no more cells than combinations of targets, however
@@ -86,7 +86,7 @@ def calibrate(docs: DataFrame, targets: Targets, tokens: str = "n_tokens", round
     keys = [margin(name, shares).alias(f"m{i}") for i, (name, shares) in enumerate(full_targets(targets).items())]
     sums = docs.select(*keys, col(tokens).alias("n")).groupBy(*[f"m{i}" for i in range(len(keys))]).agg(F.sum("n"))
     cells = {tuple(r[:-1]): int(r[-1] or 0) for r in sums.collect()}
-    return rake(cells, with_rest(cells, targets), rounds)
+    return {c: (w, cells[c]) for c, w in rake(cells, with_rest(cells, targets), rounds).items()}, sum(cells.values())
 
 
 def margin(name: str, shares: Mapping[str, float]) -> Column:
@@ -100,13 +100,17 @@ def uniform(id_col: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", seed: str = "mix:", rounds: int = ROUNDS) -> DataFrame:
-    """``(doc_id, source, lang, topic, n_tokens, weight, probability, kept, row)`` per row of ``docs``.
+def mix(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", seed: str = "mix:", rounds: int = ROUNDS, budget: int | None = None) -> DataFrame:
+    """``(doc_id, source, lang, topic, n_tokens, weight, probability, kept, copies, row)`` per row of ``docs``.
 
     ``weight`` is the raked weight of the row's cell of source, language and
-    topic, ``probability`` the weight over the largest one, so that kept tokens
-    meet all margins in expectation; ``kept`` holds if the id's uniform number
-    is below it.  Null and unlisted sources and languages are in the rest
+    topic, ``probability`` the weight over the largest one of a cell with tokens,
+    so that kept tokens meet all margins in expectation; ``kept`` holds if the
+    id's uniform number is below it.  That is the largest sample without
+    repeats, and its size hangs on the scarcest cell.  ``copies`` meets the
+    margins at ``budget`` tokens instead (by default as many as ``docs`` hold):
+    the weight, scaled to it, in whole copies and one more if the id's uniform
+    number is below what is left.  Texts without tokens have one copy at most.  Null and unlisted sources and languages are in the rest
     category, which gets its share as ``REST`` or what the shares leave of 1; if
     they leave nothing, it keeps its share of the tokens, so none is lost for its
     language alone.  Empty
@@ -119,11 +123,15 @@ def mix(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str
         col(id_col).cast("long").alias("doc_id"), F.col("source"), F.col("lang"),
         topic(col(text_col)).alias("topic"), n_tokens(col(text_col)).alias("n_tokens"), F.struct("*").alias("row"),
     )
-    weights = calibrate(rows.drop("row"), targets, rounds=rounds)
-    most = max(weights.values(), default=0.0) or 1.0
+    weights, total = calibrate(rows.drop("row"), targets, rounds=rounds)
+    most = max((w for w, n in weights.values() if n), default=0.0) or 1.0
+    rate = 1.0 if budget is None else budget / max(1, total)
     cells = [f"m{i}" for i in range(len(targets))]
-    table = rows.sparkSession.createDataFrame([(*c, float(w)) for c, w in weights.items()], ", ".join(f"{c} string" for c in cells) + ", weight double")
+    table = rows.sparkSession.createDataFrame([(*c, float(w)) for c, (w, _) in weights.items()], ", ".join(f"{c} string" for c in cells) + ", weight double")
     rows = rows.withColumns({c: margin(n, full_targets(targets)[n]) for c, n in zip(cells, targets)})
-    rows = rows.join(F.broadcast(table), cells).withColumn("probability", F.col("weight") / F.lit(most))  # MAX_CELLS rows at most
-    rows = rows.withColumn("kept", uniform(F.col("doc_id"), seed) < F.col("probability"))
-    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept", "row")
+    rows = rows.join(F.broadcast(table), cells).withColumn("probability", F.least(F.col("weight") / F.lit(most), F.lit(1.0)))  # MAX_CELLS rows at most
+    want = F.when(F.col("n_tokens") > 0, F.col("weight") * rate).otherwise(F.least(F.col("weight") * rate, F.lit(1.0)))
+    rows = rows.withColumn("u", uniform(F.col("doc_id"), seed)).withColumn("want", want)
+    rows = rows.withColumn("kept", F.col("u") < F.col("probability"))
+    rows = rows.withColumn("copies", F.floor("want") + (F.col("u") < F.col("want") - F.floor("want")).cast("long"))
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept", "copies", "row")

@@ -64,10 +64,15 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), TARGETS).drop("row")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), TARGETS).drop("row", "copies")
     return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
+def op7_mixing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), TARGETS)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), "copies")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
@@ -81,7 +86,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_toxicity, op2_line_dedup, op3_simhash, op4_embeddings, op5_lattice, op6_urls, op7_mixing, op8_fingerprints, op9_bpe, op10_substring_dedup)
+    found = (op1_toxicity, op2_line_dedup, op3_simhash, op4_embeddings, op5_lattice, op6_urls, op7_mixing, op7_mixing_copies, op8_fingerprints, op9_bpe, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 

@@ -37,3 +37,13 @@ def test_stages_keep_columns_and_do_their_work(spark):
     want = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).collect()}
     assert {r["doc_id"]: r["decoded_sha256"] for r in last.collect()} == want
     assert corpus_pipeline.run(spark, folder).count() == sizes[4]
+
+
+def test_copies_stage_repeats_rows_by_copies(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.mix_copies(spark, docs, folder)
+    assert got.columns == corpus_pipeline.COLUMNS
+    copies = {r["doc_id"]: r["copies"] for r in queries.op7_mixing_copies(spark, folder).where("copies > 0").collect()}
+    assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == copies
+    assert max(copies.values()) > 1

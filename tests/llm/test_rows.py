@@ -252,6 +252,21 @@ def test_null_and_unlisted_languages_can_be_kept(spark):
     assert mixing.mix(docs, refused).where("kept and (lang is null or lang = 'it')").isEmpty()
 
 
+def test_copies_meet_targets_and_budget_on_skewed_sources(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("source != 'src19' or crc32(cast(doc_id as string)) % 20 = 0")
+    total = docs.agg(F.sum(mixing.n_tokens(F.col("text")))).first()[0]
+    for budget in (None, total // 2):
+        rows = mixing.mix(docs, TARGETS, budget=budget)
+        n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n")).collect()}
+        assert sum(n.values()) == pytest.approx(budget or total, rel=0.05)
+        for lang, share in TARGETS["lang"].items():
+            assert n[lang] / sum(n.values()) == pytest.approx(share, abs=0.03)
+    empty = [(i, "one two", "en", "src1", "k", True, "w", "h", 1, 2) for i in range(50)] + [(99, "", "de", "src2", "k", True, "w", "h", 1, 2)]
+    rows = mixing.mix(spark.createDataFrame(empty, DOCS), TARGETS).collect()
+    assert all(r["probability"] == 1 and r["copies"] == 1 for r in rows if r["n_tokens"])
+    assert all(r["copies"] <= 1 and r["probability"] <= 1 for r in rows)
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
