@@ -19,7 +19,8 @@ HIDDEN, WORD, CHAR, ATTEND = 8, 6, 10, 8
 VOCABULARY = 4000
 STEPS = 300  # updates at least
 SURE = 0.8  # of a toxic document's strongest cue, what its second window must hold
-CLEAR = 0.2  # of the strongest cue of all, below which a toxic document has no window to learn from
+CLEAR = 0.2  # of the strongest cue, from which a cue is clear without more evidence
+CHANCE = 0.01  # that any cue of a sample with labels by chance passes for a clear one
 DECAY = 0.02  # of embeddings in an update, so that chance words of few windows weigh little
 CUES = 3000
 
@@ -318,8 +319,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     """A network fitted on the bounded sample.
 
     Cues (words and character grams) are counted by class over the sample's
-    documents.  A toxic document gives the windows where the strongest cues
-    stand, if it has clear ones, any other its hardest window and one by hash; these windows, a few MB
+    documents.  A cue is clear if labels by chance would hardly give its counts
+    (Chernoff's bound for its documents, over all cues counted), however common
+    others are, or if it is among the strongest.  A toxic document gives the windows where the strongest clear
+    cues stand, if it has any, any other its hardest window and one by hash; these windows, a few MB
     at most, are all of the texts that reaches the driver.
     """
     import math
@@ -347,10 +350,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     counts = kept(found.select("toxic", "text").mapInArrow(count, "cue binary, others long, toxic long").groupBy("cue").agg(F.sum("others").alias("others"), F.sum("toxic").alias("toxic")))
     total = found.agg(F.count(F.when(F.col("toxic") > 0, 1)).alias("y"), F.count(F.when(F.col("toxic") <= 0, 1)).alias("n")).first()
     odds = F.log((F.col("toxic") + 0.5) / F.lit(total["y"] + 1.0)) - F.log((F.col("others") + 0.5) / F.lit(total["n"] + 1.0))
-    strong = counts.withColumn("gain", odds * F.sqrt("toxic")).where((F.col("toxic") >= 3) & (odds > math.log(3)))
-    cues = {bytes(r["cue"]): r["gain"] for r in strong.orderBy(F.desc("gain"), "cue").limit(CUES).collect()}
+    base = total["y"] / max(1, total["y"] + total["n"])
+    n = F.col("toxic") + F.col("others")
+    part = lambda k, share: F.when(k > 0, k * F.log(k / n / F.lit(max(share, 1e-9)))).otherwise(0.0)
+    evidence = part(F.col("toxic"), base) + part(F.col("others"), 1 - base)
+    strong = counts.withColumns({"gain": odds * F.sqrt("toxic"), "evidence": evidence}).where((F.col("toxic") >= 3) & (odds > math.log(3)))
+    rows = strong.orderBy(F.desc("gain"), "cue").limit(CUES).collect()
+    cues = {bytes(r["cue"]): r["gain"] for r in rows}
+    need = math.log(max(1, counts.count()) / CHANCE)
+    floor = CLEAR * max(cues.values(), default=0.0)
+    clear = {bytes(r["cue"]): r["gain"] for r in rows if r["evidence"] >= need or r["gain"] >= floor}  # other labels are taken for noise
     common = counts.where("substring(cue, 1, 1) = x'77' and toxic + others >= 3").orderBy(F.desc(F.expr("toxic + others")), "cue").limit(VOCABULARY)
-    floor = -CLEAR * max(cues.values(), default=0.0)  # labels without any such cue are taken for noise
     vocabulary = sorted({bytes(r["cue"])[1:] for r in common.collect()} | {c[1:] for c in cues if c[:1] == b"w"})
 
     def choose(batches: Iterator) -> Iterator:
@@ -362,12 +372,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
                 label, text = [], []
                 for i, y, t in zip(ids, toxic, texts):
                     ws = tokens(t)
-                    gain = {w: max((cues.get(c, 0.0) for c in cues_of({w})), default=0.0) for w in set(ws)}
+                    known = clear if y else cues
+                    gain = {w: max((known.get(c, 0.0) for c in cues_of({w})), default=0.0) for w in set(ws)}
                     spans = window_spans(len(ws))
                     rated = sorted(((-max((gain[w] for w in ws[a:b]), default=0.0), a, b) for a, b in spans))
                     taken = rated[:DOC_WINDOWS] if y else [rated[0], (0.0, *spans[xxhash.xxh64_intdigest(str(i)) % len(spans)])]
                     for g, a, b in taken:
-                        if not y or (g <= floor and (g <= SURE * rated[0][0] or (a, b) == rated[0][1:])):
+                        if not y or ((g < 0 or not clear) and (g <= SURE * rated[0][0] or (a, b) == rated[0][1:])):
                             joined = b" ".join(ws[a:b])
                             if len(joined) <= SAMPLE_BYTES:
                                 label.append(1 if y else 0)

@@ -175,6 +175,28 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert toxicity.score(odd.limit(0), few).count() == 0
 
 
+def test_a_rare_toxic_vocabulary_is_learned(spark):
+    """One toxic document in fifty uses words of its own."""
+    rng = random.Random(11)
+    plain = [f"{a}{b}{c}" for a in "blmnrst" for b in "aeiou" for c in ("lo", "mi", "ran", "tep", "sul")]
+    common, rare = ["zxcurse", "zxvile", "zxhate"], ["qwgrim", "qwfoul", "qwspite"]
+    rows, marks = [], []
+    for i in range(6_000):
+        ws = [rng.choice(plain) for _ in range(40)]
+        if i % 3 == 0:
+            at = rng.randrange(36)
+            ws[at : at + 3] = rng.sample(rare if i % 150 == 0 else common, 3)
+        rows.append((i, " ".join(ws)))
+        marks.append((i, int(i % 3 == 0)))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    found = toxicity.score(frame(spark, rows), labels).where("held_out").collect()
+    caught = lambda chosen: [r["predicted"] for r in found if chosen(r["doc_id"])]
+    second = caught(lambda i: i % 150 == 0)
+    assert len(second) >= 5 and np.mean(second) >= 0.9
+    assert np.mean(caught(lambda i: i % 3 == 0)) >= 0.95
+    assert np.mean(caught(lambda i: i % 3)) <= 0.01
+
+
 # ---------------------------------------------------------------- URLs
 
 
