@@ -85,8 +85,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), fine=True)
+
+
 def queries() -> dict:
-    found = (op1_toxicity, op2_line_dedup, op3_simhash, op4_embeddings, op5_lattice, op6_urls, op7_mixing, op7_mixing_copies, op8_fingerprints, op9_bpe, op10_substring_dedup)
+    found = (op1_toxicity, op2_line_dedup, op3_simhash, op4_embeddings, op5_lattice, op6_urls, op7_mixing, op7_mixing_copies, op8_fingerprints, op9_bpe, op10_substring_dedup, op10_substring_dedup_fine)
     return {f.__name__: f for f in found}
 
 

@@ -350,3 +350,19 @@ def test_passage_edge_cases(spark):
     got = sorted((r["doc_id"], r["text"] == "") for r in substring_dedup.remove_repeats(twice).collect())
     assert got[:3] == [(1, False), (1, False), (2, True)]
     assert substring_dedup.remove_repeats(twice.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("end", [" ", "! ", "? "])
+def test_fine_units_find_passages_without_a_whole_sentence(spark, end):
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(20):
+        passage = words(50)
+        passage[20] += end.strip()
+        for k in (2 * i, 2 * i + 1):
+            rows.append((k, " ".join(words(rng.randrange(5, 30)) + passage + words(15))))
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(frame(spark, rows), fine=True).collect()}
+    for k, text in rows:
+        assert (got[k]["n_spans"] > 0) == (k % 2 == 1) and got[k]["n_chars"] == len(text)
+        assert "".join(substring_dedup.split_long(text)) == text
