@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = registered.queries().keys()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and "pipeline" not in registered.oracle_sql()
 
 

@@ -158,8 +158,16 @@ def test_scores_are_those_of_the_worst_window():
 
 
 def test_held_out_accuracy_and_edge_cases(spark):
-    folder = "/root/testdata/check_s"  # the smaller tables have labels that no text bears out
-    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rng = random.Random(8)
+    plain = [f"{a}{b}{c}" for a in "blmnrst" for b in "aeiou" for c in ("lo", "mi", "ran", "tep", "sul")]
+    rows, marks = [], []
+    for i in range(4_000):
+        words = [rng.choice(plain) for _ in range(rng.choice([5, 40, 200]))]
+        for _ in range(2 if i % 3 == 0 else 0):
+            words[rng.randrange(len(words))] = rng.choice(["zxcurse", "zxvile", "zxhate"])
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i % 3 == 0)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
     found = toxicity.score(docs, labels)
     assert found.count() == docs.count()
     held = found.where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
