@@ -171,6 +171,16 @@ def sample_round_trip(df: DataFrame) -> DataFrame:
     return read_csv(df.sparkSession, folder)
 
 
+def listed(df: DataFrame, codes: str) -> DataFrame:
+    """One row per code of a row, and one for a row without."""
+    return df.withColumn(codes, F.explode_outer(codes))
+
+
+def dummy_codes(df: DataFrame) -> DataFrame:
+    """What the codes of the remaining text columns stand for."""
+    return transform_table(df.select("c_custkey", "c_name", "c_mktsegment"), sp.Recipe([]), form="codes").fitted.tables["dummy_codes"]
+
+
 BOX_GATE = ("box_cox_transform", "l_extendedprice", {"skew_threshold": 0.5})
 KNN = ("fill_na_knn", "p_size")
 STRICT = (
@@ -249,8 +259,9 @@ def queries() -> dict[str, Query]:
         "extract_date_us": steps("orders_us", ("extract_date_parts", "o_date", {"drop_original": "True"})),
         "fill_na_mean_long": steps("orders", ("fill_na_mean", "o_orderkey"), keep=["o_orderkey", "o_orderstatus"]),
         "label_encode_many": steps("names", ("label_encode", "c_name")),
-        "one_hot_wide": steps("names", ("one_hot_encode", "c_name")),
-        "auto_dummy_wide": query("names", lambda df: transform_table(df, sp.Recipe([])).output),
+        "one_hot_wide": query("names", lambda df: listed(sp.apply_recipe(df, sp.Recipe.of(("one_hot_encode", "c_name", {"form": "codes"}))), "c_name_codes")),
+        "auto_dummy_wide": query("customer", lambda df: listed(transform_table(df.select("c_custkey", "c_name", "c_mktsegment"), sp.Recipe([]), form="codes").output, "dummy_codes")),
+        "auto_dummy_codes": query("customer", dummy_codes),
         "interaction_boolean": steps("items_b", ("create_interaction", "", {"col1": "l_big", "math_op": "*", "col2": "l_extendedprice", "new_name": "mix"})),
         # binning and maths
         "bin_quantile": steps("part_n", ("bin_numeric", "p_retailprice")),
@@ -518,12 +529,19 @@ def _oracle_bodies() -> dict[str, tuple[str | None, str]]:
         "label_encode_many": ("names", "select c_custkey, rank() over (order by c_name) - 1 as c_name from names"),
         "one_hot_wide": (
             None,
-            "select * exclude (least_name) from (pivot (select c_custkey, case when c_name = (select min(c_name) from customer) "
-            "then 'least_name' else 'c_name_' || c_name end as k from customer) on k using count(*) > 0 group by c_custkey)",
+            "r as (select c_custkey, dense_rank() over (order by c_name) - 2 as k from customer) select c_custkey, case when k >= 0 then k end as c_name_codes from r",
         ),
         "auto_dummy_wide": (
             None,
-            "select * from (pivot (select c_custkey, 'c_name_' || c_name as k from customer) on k using count(*) > 0 group by c_custkey)",
+            "r as (select c_custkey, dense_rank() over (order by c_name) - 1 as k from customer union all "
+            "select c_custkey, dense_rank() over (order by c_mktsegment) - 1 + (select count(distinct c_name) from customer) from customer) "
+            "select c_custkey, k as dummy_codes from r",
+        ),
+        "auto_dummy_codes": (
+            None,
+            "r as (select 'c_name' as \"column\", c_name as v, count(*) as n, 0 as i from customer group by 2 union all "
+            "select 'c_mktsegment', c_mktsegment, count(*), 1 from customer group by 2) "
+            "select row_number() over (order by i, v) - 1 as code, \"column\", v as value, n as rows from r",
         ),
         "interaction_boolean": ("items_b", f"select l_big, {_r('l_extendedprice')} as l_extendedprice, {_r('l_big::int * l_extendedprice')} as mix from items_b"),
         "table_stats": (

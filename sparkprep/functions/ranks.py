@@ -23,15 +23,16 @@ def passed(bounds: list[Any], x: Column, test=lambda x, bound: x >= bound) -> Co
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
 
 
-def running_start(df: DataFrame, order: str, weight: Column, range_rows: int = RANGE_ROWS) -> DataFrame:
+def running_start(df: DataFrame, order: str, weight: Column, range_rows: int = RANGE_ROWS, rows: int | None = None) -> DataFrame:
     """``df`` plus ``start``: the sum of ``weight`` over all smaller ``order`` keys.
 
     ``order`` must be unique and not null.  Keys fall into ranges by bounds taken
     from the keys with the smallest hash, so a key's range is the same in every
     pass and after a lost executor.  Each range sums its own keys in order;
-    one total per range reaches the driver.  All sizes take this way.
+    one total per range reaches the driver.  All sizes take this way; ``rows``
+    saves the count where it is known, and a single range needs no totals.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     ranges = min(MAX_RANGES, rows // range_rows + 1)
     bounds: list[Any] = []
     if ranges > 1:
@@ -39,7 +40,7 @@ def running_start(df: DataFrame, order: str, weight: Column, range_rows: int = R
         keys = [r[0] for r in picked.orderBy(order).collect()]
         bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)]
     placed = df.withColumn("__w", weight.cast("long")).withColumn("__part", passed(bounds, F.col(order)))
-    totals = {r["__part"]: r["t"] for r in placed.groupBy("__part").agg(F.sum("__w").alias("t")).collect()}
+    totals = {r["__part"]: r["t"] for r in placed.groupBy("__part").agg(F.sum("__w").alias("t")).collect()} if bounds else {}
     offsets = [0, *accumulate(totals.get(i, 0) for i in range(len(bounds)))]
     inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("__w").over(inside), F.lit(0)) + F.get(F.lit(offsets), F.col("__part"))

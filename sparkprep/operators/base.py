@@ -24,6 +24,7 @@ class Fit:
     quantiles: Mapping[float, float | None]
     kept: Kept
     shuffled: bool = False  # the step joins by shuffling the whole table
+    tables: dict[str, DataFrame] = field(default_factory=dict)  # by output column: what its codes stand for
 
 
 Transform = Callable[[DataFrame], DataFrame]

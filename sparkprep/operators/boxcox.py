@@ -2,8 +2,9 @@
 
 The power maximises the correlation between the transformed, sorted values and
 the normal order-statistic medians.  Box-Cox keeps the order of positive values,
-so the table is ranked once; after that every candidate power needs only three
-sums over the distinct values, gathered for a whole grid of powers per pass.
+so the table is ranked once.  Sums of Chebyshev polynomials of the logarithms then
+give the correlation for every power, and a second pass computes it exactly around
+the peak.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from sparkprep.functions.ranks import running_start
 from sparkprep.operators.base import Fit, SkipStep, StepPlan, Transform, require_numeric
 from sparkprep.operators.numeric import positive_shift
 
-GRID = 33  # candidate powers per pass
+TERMS = 24  # of the series
+REACH = 8.0  # power times half the range of the logarithms, up to which the series serves
+TIED = 64  # rows per distinct value from which a value's ranks are spread
+GRID = 33  # candidate powers per pass where the series does not serve
 FINE_STEP = 1e-3  # below this spacing the peak is taken from a parabola
 WIDEST = 1e3  # give up widening beyond this range of powers
 RUN_PIECE = 1_000_000  # ranks of one tied value handled per task row
@@ -90,15 +94,17 @@ def normal_scores(values: DataFrame, distinct: int, rows: int) -> DataFrame:
     """Per distinct ``x`` with count ``c``: the sum ``z`` and sum of squares ``zz``
     of the normal scores of its ranks.
 
-    Ranks of one value are handled in pieces spread over the cluster, so a value
-    shared by a third of the table is many small rows rather than one task.
+    Ranks of one value are handled in pieces; where values have many ranks each,
+    the pieces are spread over the cluster, so a value shared by a third of the
+    table is many small rows rather than one task.
     """
-    ranked = running_start(values, "x", F.col("c"))
+    ranked = running_start(values, "x", F.col("c"), rows=distinct)
     end = F.col("start") + F.col("c") - 1
     pieces = ranked.select(
         "x", "c", end.alias("last"), F.explode(F.sequence("start", end, F.lit(RUN_PIECE).cast("long"))).alias("first")
     )
-    pieces = pieces.repartition("x", "first")
+    if rows > TIED * distinct:
+        pieces = pieces.repartition("x", "first")
     stop = F.least(F.col("last"), F.col("first") + RUN_PIECE - 1)
     ranks = pieces.select("x", "c", F.explode(F.sequence("first", stop)).alias("rank"))
     z = normal_quantile(order_medians(F.col("rank"), rows))
@@ -108,51 +114,120 @@ def normal_scores(values: DataFrame, distinct: int, rows: int) -> DataFrame:
     )
 
 
-def best_power(scored: DataFrame, rows: int) -> float | None:
-    """The power with the highest correlation; None when there is none."""
-    base = scored.agg(F.sum("zz").alias("zz"), (F.sum(F.col("c") * F.log("x")) / F.lit(rows)).alias("centre")).first()
-    u = F.log("x") - F.lit(base["centre"])
+class Moments:
+    """Sums over the values of Chebyshev polynomials of their logarithm ``u = middle + half * t``.
+
+    ``exp(p * u) = exp(p * middle) * (I0(p * half) + 2 * sum of Ik(p * half) * Tk(t))`` with
+    Bessel functions ``Ik`` gives the correlation for every power from one pass.
+    The series is used up to ``|p * half| = REACH``.
+    """
+
+    def __init__(self, scored: DataFrame, rows: int, low: float, high: float):
+        self.rows, self.middle, self.half = rows, (low + high) / 2, (high - low) / 2
+        t = (F.log("x") - F.lit(self.middle)) / F.lit(self.half)
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), t)))
+        terms = [F.cos(F.lit(float(k)) * angle) for k in range(1, 2 * TERMS + 1)]
+        own = [F.sum(F.col("c") * x).alias(f"c{k}") for k, x in enumerate(terms, 1)]
+        crossed = [F.sum(F.col("z") * x).alias(f"z{k}") for k, x in enumerate(terms[:TERMS], 1)]
+        sums = scored.agg(F.sum("zz").alias("zz"), *own, *crossed).first()
+        self.zz, self.z = sums["zz"], [sums[f"z{k}"] for k in range(1, TERMS + 1)]
+        m = [float(rows)] + [sums[f"c{k}"] for k in range(1, 2 * TERMS + 1)]
+        self.spread = [[(m[j + k] + m[abs(j - k)]) / 2 - m[j] * m[k] / rows for k in range(1, TERMS + 1)] for j in range(1, TERMS + 1)]
+
+    def correlation(self, power: float) -> float:
+        """Of the normal scores with ``exp(power * u) / power``; for power 0 with ``u``."""
+        weights = bessel(abs(power) * self.half, TERMS)[1:] if power else [1.0] + [0.0] * (TERMS - 1)
+        if power < 0:  # Tk(-t) has the sign of (-1)^k; dividing by the power turns all signs once more
+            weights = [w if k % 2 else -w for k, w in enumerate(weights, 1)]
+        along = sum(w * z for w, z in zip(weights, self.z))
+        spread = sum(a * b * s for a, row in zip(weights, self.spread) for b, s in zip(weights, row))
+        return along / math.sqrt(self.zz * spread) if spread > 0 else -math.inf
+
+    def peak(self) -> float:
+        """The power with the highest correlation, as far as the series reaches."""
+        edge = REACH / self.half
+        low, high = -edge, edge
+        for _ in range(8):
+            step = (high - low) / 64
+            powers = [low + i * step for i in range(65)]
+            best = max(powers, key=lambda p: (self.correlation(p), -abs(p)))
+            low, high = max(best - step, -edge), min(best + step, edge)
+        return best
+
+
+def bessel(x: float, count: int) -> list[float]:
+    """``Ik(x)`` for k from 0 to ``count``, all divided by the same number, by the backward recurrence of the ratios."""
+    if x == 0:
+        return [1.0] + [0.0] * count
+    above, ratios = 0.0, []
+    for k in range(count + 40 + int(x), 0, -1):
+        above = 1.0 / (2.0 * k / x + above)  # Ik / I(k-1)
+        ratios.append(above)
+    values = [1.0]
+    for r in reversed(ratios[-count:]):
+        values.append(values[-1] * r)
+    return values
+
+
+def best_power(scored: DataFrame, rows: int, low: float, high: float) -> float | None:
+    """The power with the highest correlation; None when there is none.
+
+    ``low`` and ``high`` are the least and greatest logarithm.  The moments place
+    the peak, a second pass over the values computes the correlation exactly at a
+    few powers around it.  If the peak is not among them (values over so many
+    magnitudes that the series does not reach it), a grid of exact powers in each
+    pass finds it.
+    """
+    centre = (low + high) / 2
+    u = F.log("x") - F.lit(centre)
 
     def correlations(powers: list[float]) -> dict[float, float]:
-        grid = scored.select("c", "z", u.alias("u"), F.explode(F.array(*[F.lit(p) for p in powers])).alias("p"))
-        y = F.when(F.col("p") == 0, F.col("u")).otherwise(F.expm1(F.col("p") * F.col("u")) / F.col("p"))
-        sums = (
-            grid.withColumn("y", y)
-            .groupBy("p")
-            .agg(
-                F.sum(F.col("c") * F.col("y")).alias("y1"),
-                F.sum(F.col("c") * F.col("y") * F.col("y")).alias("y2"),
-                F.sum(F.col("z") * F.col("y")).alias("zy"),
-            )
-            .collect()
-        )
+        aggs = [F.sum("zz").alias("zz")]
+        for i, p in enumerate(powers):
+            y = F.expm1(F.lit(p) * u) / F.lit(p) if p else u
+            aggs += [F.sum(F.col("c") * y).alias(f"a{i}"), F.sum(F.col("c") * y * y).alias(f"b{i}"), F.sum(F.col("z") * y).alias(f"d{i}")]
+        sums = scored.agg(*aggs).first()
         out = {}
-        for s in sums:
-            spread = s["y2"] - s["y1"] * s["y1"] / rows
+        for i, p in enumerate(powers):
+            spread = sums[f"b{i}"] - sums[f"a{i}"] * sums[f"a{i}"] / rows
             if spread > 0 and math.isfinite(spread):
-                out[s["p"]] = s["zy"] / math.sqrt(base["zz"] * spread)
+                out[p] = sums[f"d{i}"] / math.sqrt(sums["zz"] * spread)
         return out
 
+    def top(scores: dict[float, float], step: float) -> tuple[float, bool]:
+        """The best power, between its neighbours by a parabola; whether it has two."""
+        ordered = sorted(scores)
+        best = max(scores, key=lambda p: (scores[p], -abs(p)))
+        place = ordered.index(best)
+        if place in (0, len(ordered) - 1):
+            return best, False
+        left, right = scores[ordered[place - 1]], scores[ordered[place + 1]]
+        bend = left - 2 * scores[best] + right
+        return best + (step / 2 * (left - right) / bend if bend else 0.0), True
+
+    near = lambda p: 0.0 if abs(p) < 1e-12 else p
+    guess = Moments(scored, rows, low, high).peak()
+    step = FINE_STEP / 2
+    scores = correlations([near(guess + i * step) for i in (-2, -1, 0, 1, 2)])
+    if len(scores) == 5:
+        best, inside = top(scores, step)
+        if inside:
+            return best
     low, high = -2.0, 2.0
     while True:
         step = (high - low) / (GRID - 1)
-        powers = [low + i * step for i in range(GRID)]
-        scores = correlations([0.0 if abs(p) < 1e-12 else p for p in powers])
+        scores = correlations([near(low + i * step) for i in range(GRID)])
         if not scores:
             return None
-        best = max(scores, key=lambda p: (scores[p], -abs(p)))
-        ordered = sorted(scores)
-        place = ordered.index(best)
-        if place in (0, len(ordered) - 1):
+        best, inside = top(scores, step)
+        if not inside:
             if high - low > WIDEST:
                 return best
             low, high = best - (high - low), best + (high - low)  # the search is not bounded
         elif step > FINE_STEP:
             low, high = best - step, best + step
         else:
-            left, right = scores[ordered[place - 1]], scores[ordered[place + 1]]
-            bend = left - 2 * scores[best] + right
-            return best + (step / 2 * (left - right) / bend if bend else 0.0)
+            return best
 
 
 def boxcox_power(df: DataFrame, values: Column, kept: Kept) -> float | None:
@@ -160,11 +235,12 @@ def boxcox_power(df: DataFrame, values: Column, kept: Kept) -> float | None:
     counts = kept.keep(
         df.select(values.alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     )
-    size = counts.agg(F.count(F.lit(1)).alias("distinct"), F.sum("c").alias("rows")).first()
-    if size["distinct"] < 2:
+    ends = [F.log(F.min("x")).alias("low"), F.log(F.max("x")).alias("high")]
+    size = counts.agg(F.count(F.lit(1)).alias("distinct"), F.sum("c").alias("rows"), *ends).first()
+    if size["distinct"] < 2 or not size["low"] < size["high"]:
         return None
     scored = kept.keep(normal_scores(counts, size["distinct"], size["rows"]))
-    return best_power(scored, size["rows"])
+    return best_power(scored, size["rows"], size["low"], size["high"])
 
 
 def boxcox1p(x: Column, power: float) -> Column:

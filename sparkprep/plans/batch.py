@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sparkprep.operators.base import Fit
 from sparkprep.operators.encoding import auto_dummies
 from sparkprep.plans.recipe import Recipe
 from sparkprep.plans.runner import FittedRecipe, fit_recipe
@@ -40,18 +41,41 @@ def transform_table(
     auto_dummy: bool = True,
     on_error: str = "skip",
     max_columns: int | None = None,
+    form: str = "auto",
 ) -> BatchResult:
-    """The recipe followed by dummy columns for every remaining text column."""
+    """The recipe followed by dummy columns for every remaining text column.
+
+    ``form`` is as for the one-hot step: ``'codes'`` and, where there are too many
+    values for columns, ``'auto'`` give the array ``dummy_codes`` instead.
+    """
     fitted = fit_recipe(df, recipe, mode=mode, on_error=on_error)
-    output = auto_dummies(fitted.output, max_columns) if auto_dummy else fitted.output
+    if not auto_dummy:
+        return BatchResult(fitted.output, fitted)
+    fit = Fit({}, {}, fitted.kept)
+    try:
+        output = auto_dummies(fitted.output, fit, max_columns, form)
+    except Exception:
+        fitted.release()
+        raise
+    fitted.tables |= fit.tables
     return BatchResult(output, fitted)
 
 
+def codes_path(target: str, column: str) -> str:
+    """Beside the result: the folder that says what the codes in ``column`` stand for."""
+    base, end = target.rstrip("/"), ""
+    for known in (".parquet", ".csv"):
+        if base.endswith(known):
+            base, end = base[: -len(known)], known
+    return f"{base}-{column}{end}"
+
+
 def run_batch(spark: SparkSession, source: str, recipe: Recipe, target: str, **options) -> BatchResult:
     """Read ``source`` (CSV or Parquet), apply the recipe, write ``target``.
 
     The format of each end follows its name: ``.parquet`` is Parquet, anything
-    else CSV.  ``rows`` counts what was written.
+    else CSV.  ``rows`` counts what was written.  Columns of codes have their
+    tables written beside, see :func:`codes_path`.
     """
     table = read_table(spark, source)
     if not is_parquet(source):
@@ -62,6 +86,9 @@ def run_batch(spark: SparkSession, source: str, recipe: Recipe, target: str, **o
     seen = Observation()
     try:
         write_table(result.output.observe(seen, F.count(F.lit(1)).alias("rows")), target)
+        for column, codes in result.fitted.tables.items():
+            if column in result.output.columns:
+                write_table(codes, codes_path(target, column))
         result.rows = seen.get["rows"]  # counted while writing, not by another read
     finally:
         result.fitted.release()

@@ -51,6 +51,7 @@ class FittedRecipe:
     output: DataFrame  # the fitting table, transformed (lazy)
     passes: int  # shared fitting passes over the table
     kept: Kept = field(default_factory=Kept)
+    tables: dict[str, DataFrame] = field(default_factory=dict)  # by output column: ``(code, column, value, rows)``
 
     def transform(self, df: DataFrame) -> DataFrame:
         for apply in self.transforms:
@@ -85,6 +86,7 @@ class _Fitting:
         self.batch: list[_Pending] = []
         self.written: set[str] = set()
         self.passes = 0
+        self.tables: dict[str, DataFrame] = {}
         self.uncut = False  # the frame carries a whole-table shuffle worth keeping
 
     def add(self, step: Step) -> None:
@@ -144,6 +146,7 @@ class _Fitting:
                 continue
             self.df = changed
             self.transforms.append(transform)
+            self.tables |= fit.tables
             self.uncut = self.uncut or pending.plan.shuffles_table or fit.shuffled
 
     def _gather_alone(self, pending: _Pending) -> Fit | None:
@@ -195,7 +198,7 @@ def fit_recipe(
     except Exception:
         fitting.kept.release()
         raise
-    return FittedRecipe(fitting.transforms, fitting.results, fitting.df, fitting.passes, fitting.kept)
+    return FittedRecipe(fitting.transforms, fitting.results, fitting.df, fitting.passes, fitting.kept, fitting.tables)
 
 
 def apply_recipe(df: DataFrame, recipe: Recipe, **options: Any) -> DataFrame:

@@ -141,13 +141,15 @@ def _typed(value: Column, data_type: T.DataType) -> Column:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV files with a header; flags as ``True``/``False``, times as
-    ``yyyy-MM-dd HH:mm:ss``, missing as an empty field."""
+    ``yyyy-MM-dd HH:mm:ss``, arrays with spaces between, missing as an empty field."""
 
     def text(field: T.StructField) -> Column:
         if isinstance(field.dataType, T.BooleanType):
             return F.initcap(col(field.name).cast("string")).alias(field.name)
         if isinstance(field.dataType, TIMES):
             return F.date_format(col(field.name), TIMESTAMP_TEXT).alias(field.name)
+        if isinstance(field.dataType, T.ArrayType):
+            return F.array_join(col(field.name).cast("array<string>"), " ").alias(field.name)
         return col(field.name)
 
     out = df.select(*[text(f) for f in df.schema.fields])

@@ -66,10 +66,43 @@ def test_power_does_not_depend_on_task_sizes(spark, monkeypatch):
     x = np.random.default_rng(6).integers(1, 30, 300).astype(float)
     whole = power_of(spark, x)
     monkeypatch.setattr(boxcox, "RUN_PIECE", 3)
-    monkeypatch.setattr(ranks.running_start, "__defaults__", (50,))  # many ranges
+    monkeypatch.setattr(ranks.running_start, "__defaults__", (50, None))  # many ranges
     assert power_of(spark, x) == pytest.approx(whole, abs=1e-9)
 
 
+@pytest.mark.parametrize("power", [-3.0, -1.0, -0.01, 0.0, 0.3, 1.0, 4.0])
+def test_moments_give_the_correlation(spark, power):
+    x = np.unique(np.random.default_rng(7).lognormal(1, 0.6, 300))
+    c, z = np.arange(len(x)) % 3 + 1, np.linspace(-2, 2, len(x))
+    z -= (c * z).sum() / c.sum()  # normal scores add up to nothing
+    scored = spark.createDataFrame([(float(a), int(b), float(b * d), float(b * d * d)) for a, b, d in zip(x, c, z)], "x double, c long, z double, zz double")
+    moments = boxcox.Moments(scored, int(c.sum()), math.log(x[0]), math.log(x[-1]))
+    u = np.repeat(np.log(x), c)
+    own = np.repeat(z, c)
+    y = u if power == 0 else np.expm1(power * u) / power
+    assert moments.correlation(power) == pytest.approx(np.corrcoef(own, y)[0, 1], abs=1e-9)
+    assert abs(moments.peak()) <= boxcox.REACH / moments.half
+
+
+def test_bessel_ratios():
+    series = lambda k, x: sum((x / 2) ** (2 * m + k) / (math.factorial(m) * math.factorial(m + k)) for m in range(60))
+    for x in (0.01, 1.0, 8.0):
+        got = boxcox.bessel(x, 24)
+        assert got == pytest.approx([series(k, x) / series(0, x) for k in range(25)], rel=1e-12)
+
+
+def test_few_passes_and_the_way_without_moments(spark, monkeypatch):
+    x = np.random.default_rng(8).gamma(2.0, 3.0, 300)
+    want, asked = reference_power(x), []
+    real = boxcox.Moments.peak
+    monkeypatch.setattr(boxcox.Moments, "peak", lambda self: asked.append(1) or real(self))
+    assert power_of(spark, x) == pytest.approx(want, abs=2e-5) and asked == [1]
+    monkeypatch.setattr(boxcox.Moments, "peak", lambda self: 3.0)  # no peak there
+    assert power_of(spark, x) == pytest.approx(want, abs=2e-5)
+    wide = np.exp(np.random.default_rng(9).normal(0, 8, 300))
+    assert power_of(spark, wide) == pytest.approx(reference_power(wide), abs=2e-5)
+
+
 def test_no_power_for_constants(spark):
     assert power_of(spark, [3.0, 3.0]) is None
     assert power_of(spark, [3.0]) is None

@@ -7,7 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparkprep import Recipe, fit_recipe, read_table, run_batch, write_table
 from sparkprep.functions.columns import double_text
+from sparkprep.operators import dates, encoding
+from sparkprep.plans.batch import codes_path, transform_table
 
 NAN, INF = float("nan"), float("inf")
 
@@ -305,6 +308,63 @@ def test_one_hot_refuses_very_wide_tables(spark, make, step):
     assert len(step(many, "one_hot_encode", "x").columns) == 1_199
 
 
+def test_wide_categories_become_codes(spark, make, monkeypatch):
+    df = make("id long, a string, b string, x double", id=[0, 1, 2, 3], a=["q", None, "p", "r"], b=["z", "y", None, "z"], x=[1.0, 2.0, 2.0, None])
+    one = fit_recipe(df, Recipe.of(("one_hot_encode", "a", {"form": "codes"})))
+    assert one.output.columns == ["id", "b", "x", "a_codes"]
+    assert [r["a_codes"] for r in one.output.orderBy("id").collect()] == [[0], [], [], [1]]
+    numbers = fit_recipe(df, Recipe.of(("one_hot_encode", "x", {"form": "codes"})))
+    assert [r["x_codes"] for r in numbers.output.orderBy("id").collect()] == [[], [0], [0], []]
+    both = transform_table(df, Recipe([]), form="codes")
+    assert both.output.columns == ["id", "x", "dummy_codes"]
+    assert [r["dummy_codes"] for r in both.output.orderBy("id").collect()] == [[1, 4], [3], [0], [2, 4]]
+    names = both.fitted.tables["dummy_codes"].orderBy("code").collect()
+    assert [tuple(r) for r in names] == [(0, "a", "p", 1), (1, "a", "q", 1), (2, "a", "r", 1), (3, "b", "y", 1), (4, "b", "z", 2)]
+    new = both.fitted.transform(df)  # the dummies are no step of the recipe
+    assert new.columns == df.columns
+    monkeypatch.setattr(encoding, "DENSE_COLUMNS", 4)  # what does not fit turns to codes by itself
+    assert transform_table(df, Recipe([])).output.columns == ["id", "x", "dummy_codes"]
+    monkeypatch.setattr(encoding, "DENSE_COLUMNS", 1)
+    assert "too many for columns" in fit_recipe(df, Recipe.of(("one_hot_encode", "a", {"form": "columns"}))).results[0].reason
+    monkeypatch.setattr(encoding, "DENSE_COLUMNS", 2)
+    assert fit_recipe(df, Recipe.of(("one_hot_encode", "a"))).output.columns == ["id", "b", "x", "a_q", "a_r"]
+    empty = transform_table(df.limit(0), Recipe([]), form="codes")
+    assert empty.output.columns == ["id", "x", "dummy_codes"] and empty.output.count() == 0 and empty.fitted.tables["dummy_codes"].count() == 0
+
+
+def test_codes_use_a_free_name_and_equal_columns(spark, make):
+    rows = [f"v{i % 37}" for i in range(300)]
+    df = make("id long, x string, x_codes string", id=list(range(300)), x=rows, x_codes=["k"] * 300)
+    out = fit_recipe(df, Recipe.of(("one_hot_encode", "x", {"form": "codes"}))).output
+    assert out.columns == ["id", "x_codes", "x_codes_"]
+    dense = fit_recipe(df.drop("x_codes"), Recipe.of(("one_hot_encode", "x"))).output
+    flags = {r["id"]: [i for i, f in enumerate(r[1:]) if f] for r in dense.collect()}
+    assert {r["id"]: r["x_codes_"] for r in out.collect()} == flags
+
+
+def test_batch_writes_the_code_table(spark, make, tmp_path):
+    df = make("id long, x string", id=[1, 2], x=["b", "a"])
+    for end in (".parquet", ".csv"):
+        source, target = f"{tmp_path}/in{end}", f"{tmp_path}/out{end}"
+        write_table(df, source)
+        run_batch(spark, source, Recipe([]), target, form="codes")
+        assert sorted(str(r["dummy_codes"]).strip("[]") for r in read_table(spark, target).collect()) == ["0", "1"]
+        assert sorted(r["value"] for r in read_table(spark, codes_path(target, "dummy_codes")).collect()) == ["a", "b"]
+
+
+def test_day_and_month_by_all_values(make, step):
+    """Shapes, field maxima and exact counts agree with trying every layout on every value."""
+    columns = [
+        ["1/2/2024", "11/12/2024"], ["1/2/2024", "13/12/2024"], ["13/1/2024", "1/13/2024", "1/14/2024"], ["40/1/2024", "1/2/2024"], ["1/2/2024", "2024-01-05", "2024-01-06"],
+        ["2024-99-99", "2024-01-01"], ["5 May 2024", "6 Mai 2024"], ["May 5, 2024", "March 5, 2024"], ["99/99/2024", "31/12/2024", "2/30/2024"], ["x1", "20240105"],
+    ]
+    for texts in columns:
+        df = make("d string", d=texts)
+        counts = df.agg(*[F.count(dates.read(F.trim("d"), x)) for x in dates.FORMATS]).first()
+        assert dates.find_layout(df, "d") == dates.FORMATS[list(counts).index(max(counts))], texts
+    assert dates.find_layout(make("d string", d=["99/99/9999", "id 7"]), "d") is None
+
+
 @pytest.mark.parametrize(
     "kind,xs,want",
     [
