@@ -15,7 +15,9 @@ SLICE = 16 << 20  # bytes of text whose words are counted together
 OUT = 8192  # rows of a batch handed over
 MARK = "▁"
 PRIOR = 1000.0  # rank at which the prior weight of a piece has halved
-SMOOTH = 0.5
+SMOOTH = 1e-3
+LEAST_GAIN = 1e-3  # learning ends when held-out words get likelier by less, relatively
+CHECKED = 10  # one training word in so many checks the learning
 LN10 = math.log(10)
 END = ""  # the end of a text, counted as a token: no word is empty
 
@@ -28,8 +30,8 @@ class Pieces:
     learning the pieces' expected counts take their place.  A character without
     a piece is spelled in byte pieces, so every word has a probability.  Only a
     piece at the start of a word carries the word mark, hence a sequence of
-    pieces gives back its words, and all word sequences closed by one end
-    symbol have a total probability of at most one.
+    pieces gives back its words, and the probabilities of all words add up to at
+    most one.
     """
 
     def __init__(self, log_weights: dict[str, float], log_end: float = 0.0):
@@ -57,22 +59,49 @@ class Pieces:
         logs = {p: math.log(w) - total for p, w in weights.items()}
         return logs, logs.pop(END)
 
+    @staticmethod
+    def pieces_only(logs: dict[str, float], log_end: float) -> dict[str, float]:
+        """The pieces' log-weights without the end's share."""
+        rest = math.log1p(-math.exp(log_end))
+        return {p: w - rest for p, w in logs.items()}
+
+    def arcs(self, text: str, i: int) -> list[tuple[int, str | None, float]]:
+        """``(end, piece, weight)`` of the arcs from position ``i``; piece None: the character in byte pieces."""
+        found = []
+        for j in range(i + 1, min(len(text), i + self.longest) + 1):
+            weight = self.log.get(text[i:j])
+            if weight is not None:
+                found.append((j, text[i:j], weight))
+        if text[i] not in self.log:
+            found.append((i + 1, None, self.spelled(text[i])))
+        return found
+
+    def forwards(self, text: str) -> list[float]:
+        """Log sum over the ways to each position; sums for positions not yet reached are kept, arcs are not."""
+        sums = [-math.inf] * (len(text) + 1)
+        sums[0] = 0.0
+        for i in range(len(text)):
+            if sums[i] > -math.inf:
+                for j, _, weight in self.arcs(text, i):
+                    sums[j] = _add(sums[j], sums[i] + weight)
+        return sums
+
     def forward(self, word: str) -> float:
         """Natural log of the marginal probability: a recursion over positions in log space."""
+        return self.forwards(MARK + word)[-1]
+
+    def expect(self, word: str, times: float, into: dict[str, float]) -> None:
+        """Add the expected number of each piece; memory in proportion to the word."""
         text = MARK + word
-        n = len(text)
-        reach: list[list[float]] = [[] for _ in range(n + 1)]
-        reach[0].append(0.0)
-        for i in range(n):
-            if reach[i]:
-                at = _sum(reach[i])
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    weight = self.log.get(text[i:j])
-                    if weight is not None:
-                        reach[j].append(at + weight)
-                if text[i] not in self.log:
-                    reach[i + 1].append(at + self.spelled(text[i]))
-        return _sum(reach[n])
+        before = self.forwards(text)
+        after = [-math.inf] * len(text) + [0.0]
+        for i in reversed(range(len(text))):
+            if before[i] > -math.inf:
+                for j, piece, weight in self.arcs(text, i):
+                    after[i] = _add(after[i], weight + after[j])
+                    share = times * math.exp(before[i] + weight + after[j] - before[-1])
+                    for p in (piece,) if piece is not None else _bytes(text[i]):
+                        into[p] = into.get(p, 0.0) + share
 
     def spelled(self, character: str) -> float:
         return sum(self.log[b] for b in _bytes(character))
@@ -206,6 +235,12 @@ class Lattices:
         out = np.zeros(len(self.names))
         number = {p: i for i, p in enumerate(self.names)}
         for at, group in self._groups(words):
+            if len(group[0]) >= self.WIDEST:
+                long: dict[str, float] = {}
+                for i, w in zip(at, group):
+                    self.model.expect(w, float(counts[i]), long)
+                out[[number[p] for p in long]] += list(long.values())
+                continue
             longest = max(map(len, group))
             step = max(1, (1 << 21) // (longest + 1))  # very long words a few at a time
             for k in range(0, len(group), step):
@@ -228,12 +263,9 @@ class Lattices:
         return out
 
 
-def _sum(values: list[float]) -> float:
-    """log(sum(exp(v)))"""
-    if len(values) == 1:
-        return values[0]
-    top = max(values)
-    return top + math.log(sum([math.exp(v - top) for v in values]))
+def _add(a: float, b: float) -> float:
+    """log(exp(a) + exp(b)); a can be minus infinity."""
+    return max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf else b
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
@@ -241,14 +273,20 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, rounds: int = 8) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs``.
 
     Texts are lower-cased (A-Z), cut into words at white space and closed by one
     end token.  ``base_score`` is the log10 probability under smoothed counts of
     whole tokens in the training rows, ``score`` that of the lattice model: the
-    product over the words of their marginal probability over all
-    segmentations, times the end's.  A null text is empty and holds the end
+    product over the words of their marginal probability over all ways through
+    the lattice, times the end's.  A training word is an arc of its own with its
+    discounted count; what the discounts leave goes to the segmentations into
+    pieces.  The discount comes from the words seen once and twice.  Piece weights
+    start from the vocabulary's and are learnt from the distinct training words,
+    in at most ``rounds`` rounds, until held-out words gain nothing more.  The
+    probabilities of all texts add up to one at most; the base's do not, as every
+    unseen word has the share of half an occurrence.  A null text is empty and holds the end
     alone.  Repeated rows count and come back as often as given; an empty table
     gives an empty one.  Other columns are not read.
 
@@ -304,19 +342,29 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     words = counted.where("word is not null").select("slice", "word", "place", "trained")
     documents = counted.where("word is null").select("slice", "doc_id", "held", "places", "counts")
     corpus = kept(words.groupBy("word").agg(F.sum("trained").alias("c")))
-    n, v, ends = corpus.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
+    times = lambda k: F.count(F.when((F.col("c") == k) & (F.length("word") > 0), 1))
+    n, v, ends, once, twice = corpus.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0)), times(1), times(2)).first()
+    discount = once / (once + 2 * twice) if once else 0.5
+    log_all = math.log(n + 2)
+    log_end, log_pieces = math.log(ends + 0.5) - log_all, math.log(discount * max(v - 1, 0) + 1.5) - log_all
 
-    logs, log_end = Pieces.vocabulary(vocabulary)
+    logs, reached = Pieces.pieces_only(*Pieces.vocabulary(vocabulary)), -math.inf
     for _ in range(rounds):
-        logs, log_end = _learn(corpus, logs, log_end, ends)
+        learnt, likely = _learn(corpus, logs)
+        if learnt is None or likely - reached < LEAST_GAIN * abs(likely):
+            break
+        logs, reached = learnt, likely
 
     def weigh(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        model = Lattices(Pieces(logs, log_end))
+        model = Lattices(Pieces(logs))
         for batch in batches:
             words = batch.column(0).to_pylist()
-            found = model.forward([w.decode("utf-8", "replace") for w in words])
+            found = model.forward([w.decode("utf-8", "replace") for w in words]) + log_pieces
+            c = batch.column(1).to_numpy()
+            found[c > 0] = np.logaddexp(found[c > 0], np.log(c[c > 0] - discount) - log_all)
             found[[i for i, w in enumerate(words) if not w]] = log_end
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found / LN10)], ["word", "c", "lattice"])
 
@@ -338,26 +386,38 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
             out.append((i, h, int(k.sum()), int(known), n, base, lattice))
         return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    named = documents.withColumn("doc_id", F.col("doc_id").cast("string"))
-    scored = named.groupBy("slice").cogroup(weighed.groupBy("part")).applyInPandas(add, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = max(documents.select("slice").distinct().count() // 2, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = documents.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(parts, "slice")
+    scored = named.groupBy("slice").cogroup(weighed.repartition(parts, "part").groupBy("part")).applyInPandas(add, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _learn(corpus: DataFrame, logs: dict[str, float], log_end: float, ends: int) -> tuple[dict[str, float], float]:
-    """One round of expectation-maximisation over all distinct words, weighted by their training counts."""
+def _learn(corpus: DataFrame, logs: dict[str, float]) -> tuple[dict[str, float] | None, float]:
+    """One round of expectation-maximisation over the distinct training words, each
+    counting once, as an unseen word resembles the rare ones.  Returns the new
+    weights and the mean log-probability, under the old ones, of the words kept aside."""
 
     def expect(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        model, into = Lattices(Pieces(logs, log_end)), 0.0
+        model = Lattices(Pieces(logs))
+        into, likely, aside = np.zeros(len(model.names)), 0.0, 0
         for batch in batches:
-            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            into = into + model.expected(words, batch.column(1).to_numpy().astype(float))
-        if not isinstance(into, float):
-            yield pa.RecordBatch.from_arrays([pa.array(model.names), pa.array(into)], ["piece", "n"])
-
-    rows = corpus.where("c > 0 and length(word) > 0").select("word", "c").mapInArrow(expect, "piece string, n double")
-    got = {r["piece"]: r["n"] for r in rows.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-    weights = {p: got.get(p, 0.0) + SMOOTH for p in logs}
-    total = math.log(sum(weights.values()) + ends + SMOOTH)
-    return {p: math.log(w) - total for p, w in weights.items()}, math.log(ends + SMOOTH) - total
+            words, checks = ([w.decode("utf-8", "replace") for w, c in zip(*(x.to_pylist() for x in batch.columns)) if c == want] for want in (False, True))
+            into += model.expected(words, np.ones(len(words)))
+            likely, aside = likely + float(model.forward(checks).sum()), aside + len(checks)
+        used = np.flatnonzero(into)
+        names = [None, *(model.names[i] for i in used)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([likely, *into[used]]), pa.array([aside] + [0] * len(used), pa.int64())], ["piece", "n", "aside"])
+
+    check = F.pmod(F.xxhash64("word"), F.lit(CHECKED)) == 0
+    rows = corpus.where("c > 0 and length(word) > 0").select("word", check.alias("check")).mapInArrow(expect, "piece string, n double, aside long")
+    got = rows.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("aside").alias("aside")).collect()
+    counts = {r["piece"]: r["n"] for r in got if r["piece"] is not None}
+    if not counts:
+        return None, -math.inf
+    likely, aside = next((r["n"], r["aside"]) for r in got if r["piece"] is None)
+    weights = {p: counts.get(p, 0.0) + SMOOTH for p in logs}
+    total = math.log(sum(weights.values()))
+    return {p: math.log(w) - total for p, w in weights.items()}, likely / max(aside, 1)

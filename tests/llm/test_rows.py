@@ -98,6 +98,33 @@ def test_whole_vocabulary_by_rows_and_one_by_one():
     assert lattice.Lattices(model).forward(words) == pytest.approx([model.forward(w) for w in words])
 
 
+def test_long_words_count_like_short_ones(monkeypatch):
+    logs, end = lattice.Pieces.vocabulary(pieces())
+    table = lattice.Lattices(lattice.Pieces(lattice.Pieces.pieces_only(logs, end)))
+    words = ["hello", "straße🎉", "x" * 40, "日本語", "abababab" * 5]
+    rows = table.expected(words, np.arange(1.0, 6.0))
+    monkeypatch.setattr(lattice.Lattices, "WIDEST", 1)
+    assert table.expected(words, np.arange(1.0, 6.0)) == pytest.approx(rows)
+    assert math.isfinite(table.forward(["y" * 100_000])[0])
+
+
+def test_probabilities_of_all_words_stay_below_one(spark):
+    """Known words by their arcs, all others by their pieces: what is left for a word list is at most one."""
+    docs = frame(spark, [(i, "ab ba ab aab" if i % 3 else "ab b") for i in range(30)])
+    listed = ["".join(w) for n in range(1, 6) for w in itertools.product("ab", repeat=n)]
+    asked = docs.union(frame(spark, [(None, w) for w in [*listed, ""]]))
+    scores = [10 ** r["score"] for r in lattice.score(asked.where("doc_id is not null or text = ''"), pieces()).where("doc_id is null").collect()]
+    assert 0 < scores[0] < 1  # the end alone
+    found = lattice.score(asked, pieces(), folds=1, fold=1).where("doc_id is null and n_tokens = 2").collect()
+    assert len(found) == len(listed) and sum(10 ** r["score"] for r in found) < 1
+
+
+def test_frequent_words_beat_their_pieces(spark):
+    docs = frame(spark, [(i, "straightforward " * 5 + f"unseen{i}") for i in range(50)])
+    rows = lattice.score(docs, pieces()).where("held_out").collect()
+    assert rows and all(r["score"] > -5 * 1.0 - 25 for r in rows)
+
+
 def test_base_score_by_plain_counting(spark):
     from zlib import crc32
 
