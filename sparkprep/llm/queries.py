@@ -190,19 +190,25 @@ from k join w using (m0, m1, m2)
 
 
 def _op8() -> str:
-    steps = [(k, s) for k in range(fingerprints.WORDS) for s in range(fingerprints.STEPS)]
-    word = lambda k: f"('0x' || substr(md5(u), {1 + 15 * k}, 15))::bigint"
-    sums = ", ".join(f"coalesce(sum((w{k} >> {s}) & {fingerprints.MASK}), 0)::bigint" for k, s in steps)
-    lanes = " || ".join(f"list_transform(v[1:{len(steps)}], lambda x: ((x >> {fingerprints.LANE * j}) & {(1 << fingerprints.LANE) - 1}) * 2 - v[{len(steps) + 1}])" for j in range(3))
+    lanes, bits, signs, half = fingerprints.LANES, fingerprints.BITS, fingerprints.SIGNS, fingerprints.HALF
+    word = lambda digest, k: f"('0x' || substr({digest}, {1 + 15 * k}, 15))::bigint"
+    digests = [f"sha256('{mark}' || u)" for mark in "ab"]
+    wide = ", ".join(f"case when whole then {word(digests[k // 4], k % 4)} end as w{k}" for k in range(8))
+    fine = ", ".join(f"case when not whole then {word('md5(u)', k)} end as w{8 + k}" for k in range(2))
+    sums = [f"(coalesce(sum((w{k // 2} >> {bits * (k % 2)}) & {half}), 0) % {1 << bits})::bigint" for k in range(lanes)]
+    sums += [f"coalesce(sum((w{8 + k} >> {s}) & {fingerprints.PAIR}), 0)::bigint" for k in range(2) for s in range(bits)]
+    signed = " || ".join(f"list_transform(v[{lanes + 1}:{lanes + signs}], lambda x: ((x >> {s}) & {half}) * 2 - v[{lanes + signs + 1}])" for s in (0, bits))
+    hexed = lambda part, digits: f"array_to_string(list_transform({part}, lambda x: lpad(lower(to_hex(x)), {digits}, '0')), '')"
     near = lambda x: f"case when a.t = {x}.t then 1.0 else greatest(0.0, least(1.0, coalesce(2.0 * list_dot_product(a.l, {x}.l) / nullif(list_dot_product(a.l, a.l) + list_dot_product({x}.l, {x}.l), 0), 0.0))) end"
     return f"""
 with d as (select doc_id, text, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as next, length(text) // 2 as h from documents),
 e as (select *, left(text, length(text) - h) || left(next, h) as edited from d),
 x as (select doc_id, 'a' as which, text as t from e union all select doc_id, 'b', edited from e union all select doc_id, 'c', next from e),
-y as (select doc_id, which, unnest(case when t = '' then [''] else string_split(replace(t, '. ', '.' || chr(10)), chr(10)) end) as u from x),
-z as (select doc_id, which, {", ".join(f"case when u <> '' then {word(k)} end as w{k}" for k in range(fingerprints.WORDS))} from y),
-g as (select doc_id, which, [{sums}, count(w0)] as v from z group by all),
-f as (select doc_id, which, array_to_string(list_transform(v, lambda x: lpad(lower(to_hex(x)), 15, '0')), '') as t, list_transform({lanes}, lambda x: x::double) as l from g)
+y as (select doc_id, which, unnest(string_split(t, chr(10))) as u, true as whole from x union all
+  select doc_id, which, unnest(string_split(replace(t, '. ', '.' || chr(10)), chr(10))), false from x),
+z as (select doc_id, which, {wide}, {fine} from (select doc_id, which, nullif(u, '') as u, whole from y)),
+g as (select doc_id, which, [{", ".join(sums)}, count(w8)] as v from z group by all),
+f as (select doc_id, which, {hexed(f"v[1:{lanes}]", 8)} || {hexed(f"v[{lanes + 1}:]", 15)} as t, list_transform({signed}, lambda x: x::double) as l from g)
 select e.doc_id, length(text)::bigint as n_chars, sha256(edited) as edited_sha256, a.t as fingerprint, b.t as edited_fingerprint, {near("b")} as near_edited, {near("c")} as near_next
 from e join f a on a.doc_id = e.doc_id and a.which = 'a' join f b on b.doc_id = e.doc_id and b.which = 'b' join f c on c.doc_id = e.doc_id and c.which = 'c'
 """

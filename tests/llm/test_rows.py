@@ -327,14 +327,51 @@ def test_copies_meet_targets_and_budget_on_skewed_sources(spark):
 # ---------------------------------------------------------------- fingerprints
 
 
+def plain_fingerprint(paragraphs):
+    """The hash part, by whole numbers."""
+    lanes = [0] * fingerprints.LANES
+    for p in paragraphs:
+        digits = [hashlib.sha256((mark + p).encode()).hexdigest() for mark in "ab"]
+        for k in range(8):
+            word = int(digits[k // 4][15 * (k % 4) : 15 * (k % 4) + 15], 16)
+            for half in (0, 1):
+                lanes[2 * k + half] = (lanes[2 * k + half] + (word >> 30 * half) % (1 << 30)) % (1 << 30)
+    return lanes
+
+
 def test_fingerprints_add_and_ignore_order(spark):
-    docs = spark.createDataFrame([(1, "a line\nb line. Next\n\nc"), (2, "c\nNext\na line\nb line."), (3, "a line\nc"), (4, "b line. Next"), (5, None), (6, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a line\nb line. Next\n\nc"), (2, "c\nb line. Next\na line"), (3, "a line\nc"), (4, "b line. Next"), (5, None), (6, ""), (7, "c\nNext\na line\nb line.")], "doc_id long, text string")
     v = {r["doc_id"]: r["vector"] for r in fingerprints.fingerprint(docs).collect()}
-    assert v[1] == v[2] != v[3] and v[5] == v[6] and not any(v[5])
+    assert v[1] == v[2] and len({str(v[i]) for i in (1, 3, 4, 7)}) == 4 and v[5] == v[6] and not any(v[5])
+    assert v[1][: fingerprints.LANES] == plain_fingerprint(["a line", "b line. Next", "c"])
+    assert v[1][fingerprints.LANES :] == v[7][fingerprints.LANES :]  # the same sentences
     both = spark.createDataFrame([(v[1], v[3], v[4])], "a array<long>, b array<long>, c array<long>")
     assert both.select(fingerprints.insert(F.col("b"), F.col("c")) == F.col("a"), fingerprints.delete(F.col("a"), F.col("c")) == F.col("b")).first() == (True, True)
 
 
+def test_sums_wrap_at_the_modulus(spark):
+    """Over 2^20 equal units, and lanes that pass their modulus, inserted and deleted one after the other."""
+    n = 1_200_000
+    found = fingerprints.fingerprint(spark.createDataFrame([(1, "zeta\n" * n)], "doc_id long, text string")).first()
+    one = plain_fingerprint(["zeta"])
+    assert found["n_units"] == n and found["vector"][: fingerprints.LANES] == [x * n % (1 << 30) for x in one]
+    bits = int(hashlib.md5(b"zeta").hexdigest()[:15], 16)
+    assert found["vector"][fingerprints.LANES] == ((bits >> 30) & 1) * n << 30 | (bits & 1) * n
+    rng = random.Random(3)
+    parts = [[f"line {rng.randrange(50)}" for _ in range(rng.randint(0, 40))] for _ in range(12)]
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(parts)] + [(99, "\n".join(sum(parts, [])))], "doc_id long, text string")
+    v = {r["doc_id"]: r["vector"] for r in fingerprints.fingerprint(docs).collect()}
+    rows = spark.createDataFrame([([v[i] for i in range(12)], v[99])], "parts array<array<long>>, whole array<long>")
+    zero = F.lit([0] * len(v[99])).cast("array<long>")
+    added = F.aggregate("parts", zero, lambda s, x: fingerprints.insert(s, x))
+    left = F.aggregate("parts", F.col("whole"), lambda s, x: fingerprints.delete(s, x))
+    assert rows.select(added == F.col("whole"), left == zero).first() == (True, True)
+    # lanes that are about to pass the modulus
+    top = spark.createDataFrame([([(1 << 30) - 1] * 16 + [(1 << 60) - 1] * 60 + [5], [1] * 77)], "a array<long>, b array<long>")
+    moved = top.select(fingerprints.insert(F.col("a"), F.col("b")).alias("c"), "a", "b").select("c", (fingerprints.delete(F.col("c"), F.col("b")) == F.col("a")).alias("back")).first()
+    assert moved["c"] == [0] * 16 + [((1 << 30) - 1) << 30] * 60 + [6] and moved["back"]
+
+
 def test_likeness_follows_the_share_of_common_units(spark):
     line = lambda k: f"line number {k} of the text"
     docs = spark.createDataFrame([(n, "\n".join(line(k) for k in [*range(n), *range(1_000 + n * 100, 1_000 + n * 100 + 40 - n)])) for n in range(0, 41, 10)], "doc_id long, text string")
@@ -348,9 +385,10 @@ def test_likeness_follows_the_share_of_common_units(spark):
 @pytest.mark.parametrize("per_range", [512, 2])
 def test_next_document_over_range_borders(spark, monkeypatch, per_range):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", per_range)
-    rows = [(i * i - 40, f"text {i}" * (i % 4)) for i in range(30)] + [(None, None), (-40, "z"), (9, "long " * 20_000)]
+    rows = [(i * i - 40, f"text {i}" * (i % 4)) for i in range(30)] + [(None, None), (-40, "z"), (9, "long " * 20_000), *((77, f"same id {i}") for i in range(12)), *((77, "same id 3") for i in range(3))]
     found = fingerprints.edit_report(frame(spark, rows)).collect()
-    ordered = sorted(((-(1 << 63) if i is None else i, t or "") for i, t in rows))
+    hashes = {r["text"]: r["h"] for r in frame(spark, [(0, t or "") for _, t in rows]).select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(((-(1 << 63) if i is None else i, t or "") for i, t in rows), key=lambda r: (r[0], hashes[r[1]]))
     want = []
     for (i, t), (_, after) in zip(ordered, [*ordered[1:], ordered[0]]):
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
