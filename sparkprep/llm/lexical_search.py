@@ -20,7 +20,7 @@ from sparkprep.llm.common import col, kept, slices, union_all
 
 SLICE = 2 << 20  # bytes of text in a row of the index
 QUERY_BYTES = 4 << 20  # bytes of query text searched in one pass
-INDEX = "doc_ids binary, nulls binary, sizes binary, n_docs long, n_terms long, terms array<string>, starts binary, docs binary, tfs binary"
+INDEX = "doc_ids binary, nulls binary, sizes binary, n_docs long, n_terms long, terms string, starts binary, docs binary, tfs binary"
 
 
 def split_terms(texts: list[str]):
@@ -67,10 +67,10 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 starts = np.searchsorted(codes // len(ids), np.arange(len(coded.dictionary) + 1))
                 cells = [
                     np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], "?").tobytes(), sizes.astype("<i8").tobytes(),
-                    int((sizes > 0).sum()), int(sizes.sum()), coded.dictionary.to_pylist(),
+                    int((sizes > 0).sum()), int(sizes.sum()), " ".join(coded.dictionary.to_pylist()),
                     starts.astype("<i8").tobytes(), (codes % len(ids)).astype("<i4").tobytes(), tfs.astype("<i4").tobytes(),
                 ]
-                kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+                kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds)], names)
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -166,7 +166,7 @@ def _block(found: DataFrame, asked: list, block: int, n: int, total: int, k: int
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        terms = pa.array(row["terms"], pa.large_string())
+        terms = pc.ascii_split_whitespace(pa.array([row["terms"]] if row["terms"] else [], pa.large_string())).flatten()
         return pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
 
     def frequencies(batches: Iterator) -> Iterator:
