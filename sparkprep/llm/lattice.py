@@ -13,6 +13,8 @@ from sparkprep.llm.common import col, kept, slices
 
 SLICE = 16 << 20  # bytes of text whose words are counted together
 OUT = 8192  # rows of a batch handed over
+TOGETHER = 1 << 19  # bytes of words learnt from together
+CELLS = 1 << 18  # word positions of a table
 MARK = "▁"
 PRIOR = 1000.0  # rank at which the prior weight of a piece has halved
 SMOOTH = 1e-3
@@ -210,9 +212,10 @@ class Lattices:
         sizes: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             sizes.setdefault(max(3, len(w).bit_length()), []).append(i)
-        for group in sizes.values():
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
+        for bits, group in sizes.items():
+            step = max(1, CELLS >> bits)
+            for k in range(0, len(group), step):
+                part = group[k : k + step]
                 yield part, [words[i] for i in part]
 
     def forward(self, words: list[str]):
@@ -241,25 +244,24 @@ class Lattices:
                     self.model.expect(w, float(counts[i]), long)
                 out[[number[p] for p in long]] += list(long.values())
                 continue
-            longest = max(map(len, group))
-            step = max(1, (1 << 21) // (longest + 1))  # very long words a few at a time
-            for k in range(0, len(group), step):
-                part = group[k : k + step]
-                times = counts[at[k : k + step]]
-                alpha, lengths, arcs, table = self._run(part)
-                beta = np.full(alpha.shape, -np.inf)
-                beta[np.arange(len(part)), lengths] = 0.0
-                total = alpha[np.arange(len(part)), lengths]
-                for i, n, r, q, weight in reversed(arcs):
-                    beta[r, i] = np.logaddexp(beta[r, i], beta[r, i + n] + weight)
-                for i, n, r, q, weight in arcs:
-                    share = times[r] * np.exp(alpha[r, i] + weight + beta[r, i + n] - total[r])
-                    if q is not None:
-                        out += np.bincount(q, share, len(out))
-                    else:
-                        for ch, x in zip(table[r, i].tolist(), share.tolist()):
-                            for b in _bytes(chr(ch)):
-                                out[number[b]] += x
+            part, times = group, counts[at]
+            alpha, lengths, arcs, table = self._run(part)
+            beta = np.full(alpha.shape, -np.inf)
+            beta[np.arange(len(part)), lengths] = 0.0
+            total = alpha[np.arange(len(part)), lengths]
+            for i, n, r, q, weight in reversed(arcs):
+                beta[r, i] = np.logaddexp(beta[r, i], beta[r, i + n] + weight)
+            found = []
+            for i, n, r, q, weight in arcs:
+                share = times[r] * np.exp(alpha[r, i] + weight + beta[r, i + n] - total[r])
+                if q is not None:
+                    found.append((q, share))
+                else:
+                    for ch, x in zip(table[r, i].tolist(), share.tolist()):
+                        for b in _bytes(chr(ch)):
+                            out[number[b]] += x
+            if found:
+                out += np.bincount(*map(np.concatenate, zip(*found)), len(out))
         return out
 
 
@@ -392,6 +394,19 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _joined(batches: Iterator, size: int) -> Iterator[list[tuple]]:
+    """Rows of the batches, at least ``size`` bytes of the first column at a time but for the last: many words share each step."""
+    rows, held = [], 0
+    for batch in batches:
+        rows += zip(*(x.to_pylist() for x in batch.columns))
+        held += batch.column(0).nbytes
+        if held >= size:
+            yield rows
+            rows, held = [], 0
+    if rows:
+        yield rows
+
+
 def _learn(corpus: DataFrame, logs: dict[str, float]) -> tuple[dict[str, float] | None, float]:
     """One round of expectation-maximisation over the distinct training words, each
     counting once, as an unseen word resembles the rare ones.  Returns the new
@@ -403,8 +418,8 @@ def _learn(corpus: DataFrame, logs: dict[str, float]) -> tuple[dict[str, float]
 
         model = Lattices(Pieces(logs))
         into, likely, aside = np.zeros(len(model.names)), 0.0, 0
-        for batch in batches:
-            words, checks = ([w.decode("utf-8", "replace") for w, c in zip(*(x.to_pylist() for x in batch.columns)) if c == want] for want in (False, True))
+        for rows in _joined(batches, TOGETHER):
+            words, checks = ([w.decode("utf-8", "replace") for w, c in rows if c == want] for want in (False, True))
             into += model.expected(words, np.ones(len(words)))
             likely, aside = likely + float(model.forward(checks).sum()), aside + len(checks)
         used = np.flatnonzero(into)
