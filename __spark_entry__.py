@@ -171,6 +171,23 @@ def sample_round_trip(df: DataFrame) -> DataFrame:
     return read_csv(df.sparkSession, folder)
 
 
+def saved_and_loaded(df: DataFrame) -> DataFrame:
+    """The table under a recipe that was fitted on it, saved, and loaded again."""
+    folder = folder_for(df, "fitted")
+    fitted = sp.fit_recipe(df, sp.Recipe.of(*STRICT))
+    sp.save_fitted(fitted, df.sparkSession, folder)
+    fitted.release()
+    return sp.load_fitted(df.sparkSession, folder).transform(df)
+
+
+def saved_batch(df: DataFrame) -> DataFrame:
+    """The same for the batch job, its dummy columns included."""
+    source, folder = f"{folder_for(df, 'in')}.parquet", folder_for(df, "fitted")
+    sp.write_table(df, source)
+    sp.run_batch(df.sparkSession, source, sp.Recipe.of(*PHASED), f"{folder_for(df, 'out')}.parquet", save_to=folder)
+    return sp.load_fitted(df.sparkSession, folder).transform(df)
+
+
 def listed(df: DataFrame, codes: str) -> DataFrame:
     """One row per code of a row, and one for a row without."""
     return df.withColumn(codes, F.explode_outer(codes))
@@ -302,6 +319,8 @@ def queries() -> dict[str, Query]:
         "preview": query("orders", lambda df: sp.preview(df, sp.Recipe.of(*PREVIEW), order_by=["o_orderkey"]).data),
         "csv_round_trip": query("part_n", csv_round_trip),
         "recipe_strict": steps("part_n", *STRICT),
+        "saved_recipe": query("part_n", saved_and_loaded),
+        "saved_batch": query("part_n", saved_batch),
         "recipe_phased": query("part_n", lambda df: transform_table(df, sp.Recipe.of(*PHASED)).output),
         "recipe_lenient": steps("part_n", *LENIENT),
     } | ({**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {})
@@ -744,6 +763,8 @@ def _oracle_bodies() -> dict[str, tuple[str | None, str]]:
         "preview": (None, _PREVIEW),
         "csv_round_trip": ("part_n", f"select {part()} from part_n"),
         "recipe_strict": ("part_n", _STRICT),
+        "saved_recipe": ("part_n", _STRICT),
+        "saved_batch": ("part_n", _PHASED),
         "recipe_phased": ("part_n", _PHASED),
         "recipe_lenient": ("part_n", f"select {part(p_type="coalesce(p_type, 'UNKNOWN')")} from part_n"),
     }

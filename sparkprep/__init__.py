@@ -6,6 +6,7 @@ from sparkprep.plans.preview import preview, sanitise, write_sample
 from sparkprep.plans.profile import profile
 from sparkprep.plans.recipe import Recipe, Step
 from sparkprep.plans.runner import FittedRecipe, apply_recipe, fit_recipe
+from sparkprep.plans.saved import load_fitted, save_fitted
 from sparkprep.sources.tables import read_table, write_table
 
 __all__ = [
@@ -15,11 +16,13 @@ __all__ = [
     "apply_recipe",
     "catalogue",
     "fit_recipe",
+    "load_fitted",
     "preview",
     "profile",
     "read_table",
     "run_batch",
     "sanitise",
+    "save_fitted",
     "write_sample",
     "write_table",
 ]

@@ -25,6 +25,21 @@ class Fit:
     kept: Kept
     shuffled: bool = False  # the step joins by shuffling the whole table
     tables: dict[str, DataFrame] = field(default_factory=dict)  # by output column: what its codes stand for
+    values: dict[str, Any] = field(default_factory=dict)  # found by own jobs
+    learnt: dict[str, DataFrame] = field(default_factory=dict)  # likewise, as tables
+    saved: bool = False  # values and tables come from a saved recipe: nothing is computed again
+
+    def value(self, name: str, compute: Callable[[], Any]) -> Any:
+        """What ``compute`` finds, or found when the recipe was fitted."""
+        if not self.saved:
+            self.values[name] = compute()
+        return self.values[name]
+
+    def table(self, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
+        """The same for a table."""
+        if not self.saved:
+            self.learnt[name] = compute()
+        return self.learnt[name]
 
 
 Transform = Callable[[DataFrame], DataFrame]

@@ -281,7 +281,7 @@ def box_cox_transform(df: DataFrame, column: str, params: dict[str, Any]) -> Ste
             sample = number_of(table, column)
             if stand_in is not None:
                 sample = F.coalesce(sample, F.lit(stand_in))
-            power = boxcox_power(table, sample + F.lit(shift), fit.kept)
+            power = fit.value("power", lambda: boxcox_power(table, sample + F.lit(shift), fit.kept))
             if power is not None and params.get("digits") is not None:
                 power = round(power, int(params["digits"]))
         if power is None:  # constant or empty column

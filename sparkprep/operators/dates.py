@@ -119,7 +119,7 @@ def extract_date_parts(df: DataFrame, column: str, params: dict[str, Any]) -> St
     is_text = isinstance(type_of(df, column), T.StringType)
 
     def learn(table: DataFrame, fit: Fit) -> Transform:
-        layout = find_layout(table, column) if is_text else None
+        layout = fit.value("layout", lambda: find_layout(table, column) if is_text else None)
         if is_text and layout is None and not table.where(col(column).isNotNull()).isEmpty():
             raise SkipStep(f"no date layout fits column '{column}'")
 

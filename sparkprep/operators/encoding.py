@@ -51,7 +51,7 @@ def learn_dummies(table: DataFrame, columns: list[str], fit: Fit, out: str, drop
     """
     if form not in ("auto", "columns", "codes"):
         raise SkipStep(f"unknown form '{form}'")
-    counts = fit.kept.keep(category_counts(table, columns))
+    counts = fit.kept.keep(fit.table("counts", lambda: category_counts(table, columns)))
     sizes = {r["i"]: r for r in counts.groupBy("i").agg(F.count(F.lit(1)).alias("values"), F.sum(F.octet_length(F.col("v").cast("string"))).alias("bytes")).collect()}
     widths = [max(sizes[i]["values"] - drop_first, 0) if i in sizes else 0 for i in range(len(columns))]
     longest = max((c for c in range(len(columns))), key=widths.__getitem__, default=0)
@@ -121,10 +121,12 @@ def auto_dummies(df: DataFrame, fit: Fit, limit: int | None = None, form: str =
 
 def _codes(table: DataFrame, value: Column, fit: Fit) -> DataFrame:
     """Distinct values ``v`` with row count ``n`` and 0-based rank ``start``."""
-    counts = fit.kept.keep(
-        table.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    return fit.kept.keep(running_start(counts, "v", F.lit(1)))
+
+    def codes() -> DataFrame:
+        counts = table.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        return running_start(fit.kept.keep(counts), "v", F.lit(1))
+
+    return fit.kept.keep(fit.table("codes", codes))
 
 
 def _encode(column: str, codes: DataFrame, key, kind: str, fit: Fit) -> Transform:
@@ -177,11 +179,9 @@ def target_encode(df: DataFrame, column: str, params: dict[str, Any]) -> StepPla
         n, mean = F.col("seen").cast("double"), F.col("mean")
         weight = F.lit(1.0) / (F.lit(1.0) + F.exp(-(n - F.lit(MIN_SAMPLES_LEAF)) / F.lit(SMOOTHING)))
         groups = table.select(value_of(table, column).alias("v"), number_of(table, target).alias("y")).groupBy("v")
-        encoded = fit.kept.keep(
-            groups.agg(F.count(F.lit(1)).alias("__tn"), F.count("y").alias("seen"), F.avg("y").alias("mean")).select(
-                "v", "__tn", (F.lit(prior) * (F.lit(1.0) - weight) + mean * weight).alias("__te")
-            )
-        )
+        means = groups.agg(F.count(F.lit(1)).alias("__tn"), F.count("y").alias("seen"), F.avg("y").alias("mean"))
+        shrunk = (F.lit(prior) * (F.lit(1.0) - weight) + mean * weight).alias("__te")
+        encoded = fit.kept.keep(fit.table("means", lambda: means.select("v", "__tn", shrunk)))
         small = fits_broadcast(encoded)
         fit.shuffled = not small
 

@@ -63,7 +63,7 @@ def most_frequent(df: DataFrame, value: Column) -> Any:
 
 def fill_na_mode(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
     def learn(table: DataFrame, fit: Fit) -> Transform:
-        mode = most_frequent(table, value_of(table, column))
+        mode = fit.value("mode", lambda: most_frequent(table, value_of(table, column)))
         if mode is None:
             return lambda t: t
         return lambda t: t.withColumn(
@@ -148,7 +148,7 @@ def fill_na_groupby(df: DataFrame, column: str, params: dict[str, Any]) -> StepP
     def learn(table: DataFrame, fit: Fit) -> Transform:
         if isinstance(type_of(df, column), INTEGRAL) and not fit.stats["missing"]:
             return lambda t: t  # nothing to fill: the integers stay exact
-        groups = fit.kept.keep(group_statistic(table, group, column, strategy, fit.kept))
+        groups = fit.kept.keep(fit.table("groups", lambda: group_statistic(table, group, column, strategy, fit.kept)))
         lookup = groups.select("g", F.col("n").alias("__gn"), F.col("q").alias("__gq"))
         small = fits_broadcast(lookup)
         fit.shuffled = not small
@@ -161,17 +161,18 @@ def fill_na_groupby(df: DataFrame, column: str, params: dict[str, Any]) -> StepP
             filled = joined.withColumn(column, F.coalesce(current(joined), F.col("__gq")))
             return filled.drop("__gq", "__gn")
 
-        filled = from_group(table)
-        x = current(filled)
-        gaps = filled.where(x.isNull())
-        rest = None
-        if not gaps.isEmpty():
+        def overall() -> Any:
+            filled = from_group(table)
+            x = current(filled)
+            if filled.where(x.isNull()).isEmpty():
+                return None
             if strategy == "mean":
-                rest = filled.agg(F.avg(x)).first()[0]
-            elif strategy == "median":
-                rest = quantiles(filled, {column: x}, {column: [0.5]})[column][0.5]
-            else:
-                rest = most_frequent(filled, x)
+                return filled.agg(F.avg(x)).first()[0]
+            if strategy == "median":
+                return quantiles(filled, {column: x}, {column: [0.5]})[column][0.5]
+            return most_frequent(filled, x)
+
+        rest = fit.value("rest", overall)
 
         def transform(t: DataFrame) -> DataFrame:
             out = from_group(t)

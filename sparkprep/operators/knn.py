@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.functions.columns import is_infinite, number_of, numeric_columns
+from sparkprep.functions.columns import col, is_infinite, number_of, numeric_columns
 from sparkprep.functions.lookup import Kept, lookup_join
 from sparkprep.operators.base import Fit, SkipStep, StepPlan, Transform, require_numeric
 
@@ -419,6 +419,7 @@ def fill_na_knn(df: DataFrame, column: str, params: dict[str, Any], sizes: Sizes
         if any(fit.stats[f"i{j}"] for j in range(len(numbers))):
             raise SkipStep("the numeric columns hold infinite values")
         mean = fit.stats["mean"]
+        donors = fit.table("donors", lambda: table.select(*[col(n) for n in (column, *names)]).where(numbers[column].isNotNull()))
 
         def transform(t: DataFrame) -> DataFrame:
             x = number_of(t, column)
@@ -426,7 +427,7 @@ def fill_na_knn(df: DataFrame, column: str, params: dict[str, Any], sizes: Sizes
                 return t.withColumn(column, x)
             if not names or (t is table and not fit.stats["missing"]):
                 return t.withColumn(column, F.coalesce(x, F.lit(mean)))
-            means = fit.kept.keep(neighbour_means(table, t, column, names, fit.kept, NEIGHBOURS, sizes))
+            means = fit.kept.keep(neighbour_means(donors, t, column, names, fit.kept, NEIGHBOURS, sizes))
             lookup = means.withColumnsRenamed({"n": "__kn", "q": "__kq"})
             keys = dict(zip([f"x{j}" for j in range(len(names))], [number_of(t, n) for n in names]))
             gaps = t.where(x.isNull())

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkprep.operators.base import Fit
 from sparkprep.operators.encoding import auto_dummies
-from sparkprep.plans.recipe import Recipe
+from sparkprep.plans.recipe import Recipe, Step
 from sparkprep.plans.runner import FittedRecipe, fit_recipe
+from sparkprep.plans.saved import AUTO_DUMMIES, save_fitted
 from sparkprep.session import cut_lineage
 from sparkprep.sources.tables import is_parquet, read_table, write_table
 
@@ -58,6 +59,7 @@ def transform_table(
         fitted.release()
         raise
     fitted.tables |= fit.tables
+    fitted.learnt.append((Step("dummies", AUTO_DUMMIES, "", {"form": form, "max_columns": max_columns}), fit))
     return BatchResult(output, fitted)
 
 
@@ -70,12 +72,13 @@ def codes_path(target: str, column: str) -> str:
     return f"{base}-{column}{end}"
 
 
-def run_batch(spark: SparkSession, source: str, recipe: Recipe, target: str, **options) -> BatchResult:
+def run_batch(spark: SparkSession, source: str, recipe: Recipe, target: str, save_to: str | None = None, **options) -> BatchResult:
     """Read ``source`` (CSV or Parquet), apply the recipe, write ``target``.
 
     The format of each end follows its name: ``.parquet`` is Parquet, anything
     else CSV.  ``rows`` counts what was written.  Columns of codes have their
-    tables written beside, see :func:`codes_path`.
+    tables written beside, see :func:`codes_path`.  ``save_to`` names a folder for
+    what the job learnt, which :func:`load_fitted` applies to other tables.
     """
     table = read_table(spark, source)
     if not is_parquet(source):
@@ -89,6 +92,8 @@ def run_batch(spark: SparkSession, source: str, recipe: Recipe, target: str, **o
         for column, codes in result.fitted.tables.items():
             if column in result.output.columns:
                 write_table(codes, codes_path(target, column))
+        if save_to is not None:
+            save_fitted(result.fitted, spark, save_to)
         result.rows = seen.get["rows"]  # counted while writing, not by another read
     finally:
         result.fitted.release()

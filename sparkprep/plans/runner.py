@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from sparkprep.functions.lookup import Kept
 from sparkprep.functions.quantiles import Quantiles
@@ -51,6 +52,8 @@ class FittedRecipe:
     output: DataFrame  # the fitting table, transformed (lazy)
     passes: int  # shared fitting passes over the table
     kept: Kept = field(default_factory=Kept)
+    learnt: list[tuple[Step, Fit]] = field(default_factory=list)  # applied steps and what they found
+    schema: T.StructType | None = None  # of the fitting table
     tables: dict[str, DataFrame] = field(default_factory=dict)  # by output column: ``(code, column, value, rows)``
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -87,6 +90,8 @@ class _Fitting:
         self.written: set[str] = set()
         self.passes = 0
         self.tables: dict[str, DataFrame] = {}
+        self.learnt: list[tuple[Step, Fit]] = []
+        self.schema = df.schema
         self.uncut = False  # the frame carries a whole-table shuffle worth keeping
 
     def add(self, step: Step) -> None:
@@ -147,6 +152,7 @@ class _Fitting:
             self.df = changed
             self.transforms.append(transform)
             self.tables |= fit.tables
+            self.learnt.append((pending.result.step, fit))
             self.uncut = self.uncut or pending.plan.shuffles_table or fit.shuffled
 
     def _gather_alone(self, pending: _Pending) -> Fit | None:
@@ -198,7 +204,7 @@ def fit_recipe(
     except Exception:
         fitting.kept.release()
         raise
-    return FittedRecipe(fitting.transforms, fitting.results, fitting.df, fitting.passes, fitting.kept, fitting.tables)
+    return FittedRecipe(fitting.transforms, fitting.results, fitting.df, fitting.passes, fitting.kept, fitting.learnt, fitting.schema, fitting.tables)
 
 
 def apply_recipe(df: DataFrame, recipe: Recipe, **options: Any) -> DataFrame:
