@@ -170,6 +170,20 @@ def test_line_edge_cases(spark):
         line_dedup.dedup_lines(docs, max_edits=2)
 
 
+@pytest.mark.parametrize("edits", [0, 1])
+def test_documents_without_an_id_of_their_own(spark, edits):
+    """Null and repeated ids: a line stays once over all different texts; equal rows keep the same."""
+    shared = "the same long line here"
+    rows = [(None, f"{shared}\nfirst of no name"), (None, f"{shared}\nsecond of no name"), (7, f"third, of seven\n{shared}"), (7, f"fourth, of seven too\n{shared}"), (9, "a line of nine, twice"), (9, "a line of nine, twice")]
+    rows += [(None, f"{shared}\nnumber {i} {'abcdefghij'[i % 10] * 9}{i}") for i in range(40)]
+    got = line_dedup.dedup_lines(frame(spark, rows), max_edits=edits).collect()
+    assert len(got) == len(rows)
+    assert sum(shared in r["text"] for r in got) == 1 and next(r["doc_id"] for r in got if shared in r["text"]) is None
+    assert [r["text"] for r in got if r["doc_id"] == 9] == ["a line of nine, twice"] * 2
+    for own in ("first of no name", "third, of seven", "number 39 jjjjjjjjj39"):
+        assert sum(own in r["text"] for r in got) == 1
+
+
 # ---------------------------------------------------------------- embeddings
 
 
