@@ -263,6 +263,55 @@ def test_rules_against_trying_all(spark, monkeypatch, sample):
     assert urls.judge(pages.limit(0), rules).count() == 0
     with pytest.raises(ValueError):
         urls.judge(pages, [("allow", "a", "/"), ("block", "a", "/")])
+    with pytest.raises(ValueError):
+        urls.judge(pages, [("allow", "a", "/"), ("block", None, "/")])
+    assert {r["verdict"] for r in urls.judge(pages, []).collect()} == {"allow"}
+
+
+def test_least_characters_in_hosts(spark):
+    rules = [("block", "a", ""), ("block", "x\x01.a", "/"), ("allow", "b\x00c", "/")]
+    made = ["http://a\x00b/", "http://a\x01/", "http://x\x01.a/", "http://y.b\x00c/", "http://c/", "http://b.a/", "http://x\x00.a/"]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    got = sorted(tuple(r) for r in urls.judge(pages, rules).collect())
+    assert got == [(i, *plain_verdict(u, rules)) for i, u in enumerate(made)]
+
+
+def test_very_many_rules_on_one_host(spark, monkeypatch):
+    """Rules as a table, most of them on the host that also holds most pages: the parts inside it take only rules of their paths."""
+    monkeypatch.setattr(urls, "PAGES_PER_TASK", 1_000)
+    rng = random.Random(8)
+    rules = {("hot.com", f"/{a}/{b}/"): rng.choice(["allow", "block"]) for a in range(400) for b in range(250)}
+    rules |= {("hot.com", f"/{a}/"): "block" for a in range(0, 400, 3)} | {("com", "/7/"): "allow", ("www.hot.com", "/7/7/"): "block", ("z.org", ""): "block"}
+    made = [(rng.choice(["hot.com"] * 8 + ["www.hot.com", "other.com", "a.z.org"]), f"/{rng.randrange(420)}/{rng.randrange(260)}/{rng.choice(['', 'x'])}") for _ in range(12_000)]
+    made += [("hot.com", "/5/5/same")] * 4_000  # one url on a quarter of the rows
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(made)], "page_id long, url string")
+    table = spark.createDataFrame([(v, h, p) for (h, p), v in rules.items()], "verdict string, host string, path string").repartition(4)
+
+    def plain(host, path):
+        labels = host.split(".")
+        fits = [(len(h) + n, len(h), h + path[:n], rules[h, path[:n]]) for i in range(len(labels)) for h in [".".join(labels[i:])] for n in range(len(path) + 1) if (h, path[:n]) in rules]
+        return max(fits)[2:] if fits else (None, "allow")
+
+    judged = urls.judge(pages, table)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judged.collect()}
+    assert got == {i: plain(h, p) for i, (h, p) in enumerate(made)}
+    sizes = [r["count"] for r in judged.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2_000
+
+
+def test_parts_of_a_rule_against_trying_all():
+    rng = random.Random(9)
+    text = lambda: "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(4)))
+    for _ in range(300):
+        hosts = [".".join(rng.choice("ab") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 4))]
+        pages = sorted((urls.host_key(rng.choice(hosts)).encode(), text().encode(), rng.randrange(9)) for _ in range(40))
+        bounds = sorted(rng.sample(pages, 12))
+        key, path = urls.host_key(rng.choice(hosts)), text()
+        where = list(urls.parts_of(key, path, bounds))
+        assert where == sorted(set(where))
+        for page in pages:
+            if page[0].startswith(key.encode()) and page[1].startswith(path.encode()):
+                assert urls.bisect_right(bounds, page) in where
 
 
 # ---------------------------------------------------------------- mixing
