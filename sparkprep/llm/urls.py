@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
@@ -145,6 +146,17 @@ def _rules(spark: SparkSession, rules: DataFrame | Sequence[Rule]) -> DataFrame:
     return each.select("verdict", "host", "path")
 
 
+def _bounds(heads: DataFrame, total: int, tasks: int) -> list[Bound]:
+    """Cuts of ``(key, path, salt)`` into ``tasks`` parts of about as many rows, from about ``SAMPLE`` rows chosen by a hash of
+    their salt.  Equal rows are counted on Spark, so no repetition makes what reaches the driver longer."""
+    if tasks == 1:
+        return []
+    chosen = heads.where(F.pmod(F.xxhash64("salt", F.lit(6)), F.lit(total)) < SAMPLE).groupBy("key", "path", "salt").count()
+    rows = sorted((r["key"].encode(), r["path"].encode(), r["salt"], r["count"]) for r in chosen.collect())
+    ends = list(itertools.accumulate(r[3] for r in rows))
+    return [rows[bisect_right(ends, ends[-1] * i // tasks)][:3] for i in range(1, tasks)] if rows else []
+
+
 def judge(pages: DataFrame, rules: DataFrame | Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """``(page_id, host, path, rule, verdict)``, one row per row of ``pages``.
 
@@ -160,8 +172,8 @@ def judge(pages: DataFrame, rules: DataFrame | Sequence[Rule], id_col: str = "pa
     Pages and rules are the two sides of a sort-merge join.  Both are cut into
     parts by the same bounds on the reversed-host key, the path and a hash of
     the page, so a host or url with any share of the pages spreads over as many
-    tasks as it fills; the bounds come from the ``SAMPLE`` pages with the
-    smallest hash.  A rule goes to the parts its interval meets: to the one it
+    tasks as it fills; the bounds come from about ``SAMPLE`` pages chosen
+    by another hash.  A rule goes to the parts its interval meets: to the one it
     starts in and to those at whose lower bound it is open.  Each task merges
     its sorted rows and holds the rules of the hosts open at the moment.
     """
@@ -173,9 +185,7 @@ def judge(pages: DataFrame, rules: DataFrame | Sequence[Rule], id_col: str = "pa
     heads = rows.select(F.substring("key", 1, HEAD).alias("key"), F.substring("path", 1, HEAD).alias("path"), "salt")
     total = rows.count()
     tasks = max(1, -(-total // PAGES_PER_TASK), min(spark.sparkContext.defaultParallelism, total // 1000))
-    chosen = heads.orderBy("salt", "key", "path").limit(SAMPLE).collect() if tasks > 1 else []
-    sample = sorted((r["key"].encode(), r["path"].encode(), r["salt"]) for r in chosen)
-    bounds: list[Bound] = [sample[len(sample) * i // tasks] for i in range(1, tasks)] if sample else []
+    bounds = _bounds(heads, total, tasks)
 
     def place_pages(batches: Iterator) -> Iterator:
         import pyarrow as pa

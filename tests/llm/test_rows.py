@@ -276,8 +276,10 @@ def test_least_characters_in_hosts(spark):
     assert got == [(i, *plain_verdict(u, rules)) for i, u in enumerate(made)]
 
 
-def test_very_many_rules_on_one_host(spark, monkeypatch):
+@pytest.mark.parametrize("sample", [20_000, 2_000])
+def test_very_many_rules_on_one_host(spark, monkeypatch, sample):
     """Rules as a table, most of them on the host that also holds most pages: the parts inside it take only rules of their paths."""
+    monkeypatch.setattr(urls, "SAMPLE", sample)
     monkeypatch.setattr(urls, "PAGES_PER_TASK", 1_000)
     rng = random.Random(8)
     rules = {("hot.com", f"/{a}/{b}/"): rng.choice(["allow", "block"]) for a in range(400) for b in range(250)}
