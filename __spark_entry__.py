@@ -67,6 +67,7 @@ VIEWS = {
         "select o_orderkey, cast(month(o_orderdate) as string) || '/' || cast(day(o_orderdate) as string) || '/' || "
         "cast(year(o_orderdate) as string) || ' 8:26' as o_date from {source}",
     ),
+    "docs_l": ("documents", "select doc_id, '\"Text\", ' || replace(text, '. ', '.' || chr(10)) as text, lang, n_chars from {source}"),
     "items_b": ("lineitem", "select l_extendedprice, l_quantity > 25 as l_big from {source}"),
     "odd": (
         "lineitem",
@@ -318,6 +319,7 @@ def queries() -> dict[str, Query]:
         "head_sample": query("orders", lambda df: head_sample(df, 1000, ["o_orderkey"])),
         "preview": query("orders", lambda df: sp.preview(df, sp.Recipe.of(*PREVIEW), order_by=["o_orderkey"]).data),
         "csv_round_trip": query("part_n", csv_round_trip),
+        "csv_multiline": query("docs_l", csv_round_trip),
         "recipe_strict": steps("part_n", *STRICT),
         "saved_recipe": query("part_n", saved_and_loaded),
         "saved_batch": query("part_n", saved_batch),
@@ -762,6 +764,7 @@ def _oracle_bodies() -> dict[str, tuple[str | None, str]]:
         ),
         "preview": (None, _PREVIEW),
         "csv_round_trip": ("part_n", f"select {part()} from part_n"),
+        "csv_multiline": ("docs_l", "select doc_id, text, lang, n_chars from docs_l"),
         "recipe_strict": ("part_n", _STRICT),
         "saved_recipe": ("part_n", _STRICT),
         "saved_batch": ("part_n", _PHASED),

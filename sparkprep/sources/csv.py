@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep.functions.columns import TIMES, TIMESTAMP_TEXT, col, tells_case
+from sparkprep.sources.multiline import read_records, splittable
 
 # Texts read as missing.
 NULL_TOKENS = (
@@ -58,13 +59,16 @@ def _check_name(path: str) -> None:
 
 def _has_multiline_fields(spark: SparkSession, path: str) -> bool:
     """Whether a quoted field spans lines: then some line has an odd number of
-    quotes.  Only such files need the reader that cannot split a file."""
+    quotes.  Only such files need their records found first."""
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
 
 
+_TEXT_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
 def _options(multiline: bool) -> dict[str, object]:
-    return {"multiLine": multiline, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "enforceSchema": True}
+    return {**_TEXT_OPTIONS, "multiLine": multiline, "enforceSchema": True}
 
 
 def read_csv(
@@ -76,8 +80,9 @@ def read_csv(
     """A CSV file or folder of them, typed as pandas would type it.
 
     Columns come as long, double, boolean or string; missing tokens are NULL.
-    ``multiline=None`` looks for fields that span lines; ``schema`` skips the
-    type inference pass.
+    ``multiline=None`` looks for fields that span lines; files with such fields
+    are cut into records block by block (:mod:`sparkprep.sources.multiline`).
+    ``schema`` skips the type inference pass.
     """
     _check_name(path)
     try:
@@ -90,11 +95,14 @@ def read_csv(
         raise NotACsv(f"{path} is empty")
     names = header_names(list(head), tells_case(spark))
     texts = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_BAD, T.StringType())])
-    reader = spark.read.options(**_options(multiline), columnNameOfCorruptRecord=_BAD)
-    raw = reader.schema(texts).csv(path, header=True)
     values = {n: F.when(~col(n).isin(*NULL_TOKENS), col(n)) for n in names}
-    types = {f.name: f.dataType for f in schema.fields} if schema else _infer(raw, names, values, path)
-    clean = spark.read.options(**_options(multiline)).schema(T.StructType(texts.fields[:-1])).csv(path, header=True)
+    if multiline and splittable(spark, path):
+        records = read_records(spark, path)
+        parse = lambda shape, **more: records.select(F.from_csv("record", shape.toDDL(), {**_TEXT_OPTIONS, **more}).alias("r")).select("r.*")
+    else:
+        parse = lambda shape, **more: spark.read.options(**_options(multiline), **more).schema(shape).csv(path, header=True)
+    types = {f.name: f.dataType for f in schema.fields} if schema else _infer(parse(texts, columnNameOfCorruptRecord=_BAD), names, values, path)
+    clean = parse(T.StructType(texts.fields[:-1]))
     return clean.select(*[_typed(values[n], types[n]).alias(n) for n in names])
 
 

@@ -1,11 +1,13 @@
 """The CSV reader against pandas."""
 
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from sparkprep.sources import multiline
 from sparkprep.sources.csv import NULL_TOKENS, NotACsv, header_names, read_csv, write_csv
 
 KINDS = {"int64": "bigint", "float64": "double", "bool": "boolean", "object": "string"}
@@ -142,3 +144,89 @@ def test_names_that_differ_in_case(spark, tmp_path):
         assert read_csv(spark, str(path)).columns == ["a", "A", "a.1"]
     finally:
         spark.conf.set("spark.sql.caseSensitive", "false")
+
+
+def cells_of(rng, n):
+    """Awkward cells: line breaks, quotes within plain fields, commas, blanks, quotes at every place."""
+    odd = ["", "a", 'say ""hi""', "x, y", "line\nbreak", "\n", "\n\n", '""', '"",""', '\n""\n', "two\r\nlines", "ünï", "  "]
+    return ["".join(rng.choice(odd, rng.integers(0, 4))) for _ in range(n)]
+
+
+@pytest.fixture
+def small_blocks(spark):
+    def size(n):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+    yield size
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("block,broadcast", [(37, 100_000), (150, 0)])
+def test_fields_with_line_breaks_in_many_blocks(spark, tmp_path, small_blocks, monkeypatch, block, broadcast):
+    monkeypatch.setattr(multiline, "BROADCAST_BLOCKS", broadcast)
+    rng = np.random.default_rng(block)
+    rows = []
+    for i, cell in enumerate(cells_of(rng, 60)):
+        plain = ['5" pipe', 'a"b"c', "p", 'q"', "NA"][rng.integers(5)]
+        rows.append(f'{i},{plain},"{cell}"' + ["\n", "\n\n", "\r\n"][rng.integers(3)])
+    path = tmp_path / "big.csv"
+    path.write_bytes(('\n\n"the\nnumber",plain,"te""xt"\n' + "".join(rows)).encode())
+    small_blocks(block)
+    assert multiline.splittable(spark, str(path)) and spark.read.text(str(path)).rdd.getNumPartitions() > 8
+    check(spark, path)
+
+
+def test_files_are_cut_on_their_own(spark, tmp_path, small_blocks):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    want = []
+    for f in range(3):
+        pdf = pd.DataFrame({"k": range(f * 40, f * 40 + 40), "s": [["plain", 'x"\n"y', "\n", "z,\n1,2"][i % 4] * (1 + i % 3) for i in range(40)]})
+        pdf.to_csv(folder / f"{f}.csv", index=False)
+        want += list(pdf.itertuples(index=False, name=None))
+    (folder / "empty.csv").write_text("")
+    (folder / "header.csv").write_text("k,s\n")
+    small_blocks(64)
+    got = read_csv(spark, str(folder))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_a_quote_never_closed_runs_to_the_end_of_its_file(spark, tmp_path, small_blocks):
+    folder = tmp_path / "open"
+    folder.mkdir()
+    (folder / "a.csv").write_text('k,s\n1,x\n2,"open\n' + "3,y\n" * 60)
+    (folder / "b.csv").write_text('k,s\n4,"u\nv"\n')
+    small_blocks(50)
+    got = sorted(map(tuple, multiline.read_records(spark, str(folder)).collect()))
+    assert got == [("1,x",), ('2,"open\n' + "\n".join(["3,y"] * 60),), ('4,"u\nv"',)]
+
+
+def test_states_of_lines_against_a_machine():
+    """Every line of up to seven characters, from both states, against one character at a time."""
+
+    def machine(line, inside):
+        state = "quoted" if inside else "start"
+        for c in line:
+            if state == "quoted":
+                state = "quote" if c == '"' else "quoted"
+            elif state == "quote" and c == '"':
+                state = "quoted"
+            elif c == ",":
+                state = "start"
+            else:
+                state = "quoted" if state == "start" and c == '"' else "plain"
+        return state == "quoted"
+
+    for n in range(8):
+        for line in itertools.product('",a', repeat=n):
+            for inside in (False, True):
+                assert multiline.ends_inside("".join(line), inside) == machine(line, inside), (line, inside)
+
+
+def test_lone_carriage_returns_use_the_reader_of_whole_files(spark, tmp_path):
+    path = tmp_path / "cr.csv"
+    path.write_bytes(b'a,b\r1,"x\ny"\r2,z\r')
+    assert not multiline.splittable(spark, str(path))
+    check(spark, path)
