@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
+        # different edges look alike with a chance of about 2^-128 a round: sums of two 64-bit hashes, without overflow
+        sums = [F.sum(F.xxhash64("a", "b", F.lit(seed)).cast("decimal(20,0)")) for seed in (1, 2)]
+        return tuple(df.agg(F.count("*"), *sums).first())
 
     edges = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(edges)
