@@ -71,7 +71,9 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """
     if max_bits < 0 or max_bits % 2:
         raise ValueError("max_bits must be even: a ball around the middle has half of it as radius")
-    distinct = prints.select("fp").distinct()
+    # a given number of partitions is not merged by size: the rows grow 65-fold behind it
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = prints.select("fp").repartition(tasks, "fp").distinct()
     variants = distinct.select("fp", F.explode(F.expr(ball(max_bits // 2))).alias("variant"))
     before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
     pairs = variants.select("fp", before.alias("b")).where("b is not null").select(F.col("fp").alias("a"), "b").distinct()
