@@ -33,6 +33,7 @@ from sparkprep.operators.numeric import even_bin, evenly_spaced
 
 HISTOGRAM_BINS = 10
 TOP_VALUES = 20
+WHOLE_REALS = 2.0**45  # below it, hundredths of a real are exact whole numbers
 HEAD = 48  # characters of a text that are counted as they are
 
 TABLE_SCHEMA = (
@@ -101,6 +102,40 @@ def _text_key(text: Column) -> list[Column]:
     return [F.substring(text, 1, HEAD).alias("v"), *hashes, F.when(long, F.length(text)).alias("size")]
 
 
+def distinct_words(df: DataFrame, kind: str, family: list[tuple[int, Column]]) -> DataFrame:
+    """The different numbers of each column, 64 neighbours to a word: ``i, w, bits``.
+
+    Keys and codes lie close together, so a task sends one word for up to 64 of
+    them; where they lie apart, a word holds one number and costs no more than the
+    number would.  Reals that are whole hundredths (prices, rates) count as these;
+    others, under the column's own number instead of one past all columns, keep
+    their value as the key.
+    """
+    cells = [F.struct(F.lit(i).alias("i"), value.alias("v")) for i, value in family]
+    values = _unpivoted(df, cells).where("v is not null")
+    v, i = F.col("v"), F.col("i")
+    if kind == "whole":
+        return _words(values.select(i, F.shiftright(v, 6).alias("w"), _bit(v).alias("bit")))
+    hundredths = F.rint(v * 100)
+    exact = (F.abs(v) < WHOLE_REALS) & (hundredths / 100 == v)
+    whole = F.when(exact, hundredths).try_cast("long")
+    return _words(
+        values.select(
+            F.when(exact, i + len(df.columns)).otherwise(i).alias("i"),
+            F.when(exact, F.shiftright(whole, 6).cast("double")).otherwise(v).alias("w"),
+            F.when(exact, _bit(whole)).otherwise(F.lit(1).cast("long")).alias("bit"),
+        )
+    )
+
+
+def _bit(whole: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), whole.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
+def _words(values: DataFrame) -> DataFrame:
+    return values.groupBy("i", "w").agg(F.bit_or("bit").alias("bits"))
+
+
 def _top(counts: DataFrame) -> DataFrame:
     """The most frequent values per column, smaller ones first among equals: ``i, place, v, n``.
     The window keeps 20 rows per column and task before anything is shuffled."""
@@ -127,7 +162,14 @@ def _top_texts(df: DataFrame, family: list[tuple[int, Column]], counts: DataFram
 def _distinct_and_top(df: DataFrame) -> tuple[dict[int, int], dict[int, list[tuple[str, int]]]]:
     """Distinct values per column, and the top values of categorical columns."""
     parts, kept = [], Kept()
-    for kind, counts in value_counts(df).items():
+    families, frames = _families(df), value_counts(df)
+    for kind in ("whole", "real"):
+        if kind in frames:
+            del frames[kind]
+            words = distinct_words(df, kind, families[kind])
+            unique = words.groupBy((F.col("i") % len(df.columns)).alias("i")).agg(F.sum(F.bit_count("bits")).alias("n"))
+            parts.append(unique.select("i", F.lit(0).alias("place"), F.lit(None).cast("string").alias("label"), "n"))
+    for kind, counts in frames.items():
         topped = kind in ("time", "text")
         if kind == "text":
             counts = kept.keep(counts)  # read once for the numbers, once for the top
@@ -137,7 +179,7 @@ def _distinct_and_top(df: DataFrame) -> tuple[dict[int, int], dict[int, list[tup
         parts.append(unique.select("i", F.lit(0).alias("place"), F.lit(None).cast("string").alias("label"), "n"))
         if topped:
             label = F.date_format(F.timestamp_micros("v"), TIMESTAMP_TEXT) if kind == "time" else F.col("v")
-            top = _top_texts(df, _families(df)["text"], counts, kept) if kind == "text" else _top(counts)
+            top = _top_texts(df, families["text"], counts, kept) if kind == "text" else _top(counts)
             parts.append(top.select("i", "place", label.alias("label"), "n"))
     rows = reduce(DataFrame.unionByName, parts).collect()
     kept.release()

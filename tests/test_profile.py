@@ -5,10 +5,11 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import sparkprep as sp
 from sparkprep.functions import quantiles as q
-from sparkprep.plans.profile import HEAD, value_counts
+from sparkprep.plans.profile import HEAD, distinct_words, value_counts
 
 
 def rows(df):
@@ -130,3 +131,19 @@ def test_long_texts_are_counted_by_hash(spark, make):
     exchange = value_counts(df)["text"]._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in exchange.splitlines() if "hashpartitioning" in line]
     assert shuffles and all("h1" in line for line in shuffles)
+
+
+def test_distinct_numbers_by_words(spark, make):
+    reals = [0.0, -0.0, 0.01, -0.01, 0.29, 0.1 + 0.2, 0.3, 1e300, -1e300, 2.0**45, 2.0**45 + 0.25, 1 / 3, float("nan"), None, float("inf"), 655.36, -0.64, 655.36]
+    wholes = [0, -1, 63, 64, -64, -65, 2**63 - 1, -(2**63), 2**62, None, 64, 63, -1, 5, 6, 7, 8, 9]
+    found = rows(make("x double, i long", 5, x=reals, i=wholes))
+    assert found["x"]["unique"] == len({v for v in reals if v is not None and v == v})
+    assert found["i"]["unique"] == len(set(wholes) - {None})
+
+
+def test_neighbouring_numbers_share_words(spark):
+    df = spark.range(64_000).selectExpr("id", "id / 100 as cents", "id / 7 as odd")
+    words = distinct_words(df, "whole", [(0, F.col("id"))])
+    assert words.count() == 1000
+    assert distinct_words(df, "real", [(1, F.col("cents"))]).count() == 1000
+    assert [r["unique"] for r in sp.profile(df).columns.collect()] == [64_000] * 3
