@@ -142,6 +142,23 @@ def bars_of(column: str) -> Callable[[DataFrame], DataFrame]:
     return lambda df: sp.profile(df.select(column)).distributions()
 
 
+def in_files(df: DataFrame, key: str, end: str = ".parquet") -> DataFrame:
+    """The table in several files whose rows follow ``key``, read without it."""
+    folder = folder_for(df, "files") + end
+    sp.write_table(df.repartitionByRange(8, key).sortWithinPartitions(key), folder)
+    return sp.read_table(df.sparkSession, folder)
+
+
+def numbered(end: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: sp.with_row_numbers(in_files(df, "o_orderkey", end)).select("o_orderkey", "o_custkey", "row")
+
+
+def first_of_each(df: DataFrame) -> DataFrame:
+    """Duplicate rows dropped so that the first one in the files stays, by its row number."""
+    rows = sp.with_row_numbers(in_files(df, "o_orderkey")).select("o_orderstatus", "o_orderpriority", "o_custkey", "row")
+    return sp.apply_recipe(rows, sp.Recipe.of(("drop_duplicates", "", {"position": "row"})))
+
+
 def csv_round_trip(df: DataFrame) -> DataFrame:
     folder = f"{required_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
     write_csv(df, folder)
@@ -318,6 +335,11 @@ def queries() -> dict[str, Query]:
         "profile_flags": query("flags", lambda df: sp.profile(df).select("Categorical").select(*CATEGORICAL_STATS)),
         "head_sample": query("orders", lambda df: head_sample(df, 1000, ["o_orderkey"])),
         "preview": query("orders", lambda df: sp.preview(df, sp.Recipe.of(*PREVIEW), order_by=["o_orderkey"]).data),
+        "row_numbers": query("orders", numbered(".parquet")),
+        "row_numbers_csv": query("orders", numbered(".csv")),
+        "keep_first": query("orders", first_of_each),
+        "head_in_file_order": query("orders", lambda df: head_sample(in_files(df, "o_orderkey"), 1000)),
+        "preview_in_file_order": query("orders", lambda df: sp.preview(in_files(df, "o_orderkey"), sp.Recipe.of(*PREVIEW)).data),
         "csv_round_trip": query("part_n", csv_round_trip),
         "csv_multiline": query("docs_l", csv_round_trip),
         "recipe_strict": steps("part_n", *STRICT),
@@ -500,6 +522,7 @@ select p_partkey, cast(code as bigint) as p_brand, {_r("p_size")} as p_size, {_r
 from s3 join codes on s3.p_brand = codes.b
 """
 
+_ROW_NUMBERS = "select o_orderkey, o_custkey, row_number() over (order by o_orderkey) - 1 as row from orders"
 _PREVIEW = f"""
 h as (select * from orders order by o_orderkey limit 1000),
 r as (select min(o_totalprice) as mn, max(o_totalprice) as mx from h),
@@ -763,6 +786,19 @@ def _oracle_bodies() -> dict[str, tuple[str | None, str]]:
             "o_orderpriority from orders order by o_orderkey limit 1000",
         ),
         "preview": (None, _PREVIEW),
+        "preview_in_file_order": (None, _PREVIEW),
+        "head_in_file_order": (
+            None,
+            f"select o_orderkey, o_custkey, o_orderstatus, {_r('o_totalprice')} as o_totalprice, o_orderdate, "
+            "o_orderpriority from orders order by o_orderkey limit 1000",
+        ),
+        "row_numbers": (None, _ROW_NUMBERS),
+        "row_numbers_csv": (None, _ROW_NUMBERS),
+        "keep_first": (
+            None,
+            "n as (select *, row_number() over (order by o_orderkey) - 1 as row from orders) "
+            "select o_orderstatus, o_orderpriority, o_custkey, min(row) as row from n group by all",
+        ),
         "csv_round_trip": ("part_n", f"select {part()} from part_n"),
         "csv_multiline": ("docs_l", "select doc_id, text, lang, n_chars from docs_l"),
         "recipe_strict": ("part_n", _STRICT),

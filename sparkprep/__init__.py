@@ -7,6 +7,7 @@ from sparkprep.plans.profile import profile
 from sparkprep.plans.recipe import Recipe, Step
 from sparkprep.plans.runner import FittedRecipe, apply_recipe, fit_recipe
 from sparkprep.plans.saved import load_fitted, save_fitted
+from sparkprep.sources.order import with_row_numbers
 from sparkprep.sources.tables import read_table, write_table
 
 __all__ = [
@@ -22,6 +23,7 @@ __all__ = [
     "read_table",
     "run_batch",
     "sanitise",
+    "with_row_numbers",
     "save_fitted",
     "write_sample",
     "write_table",

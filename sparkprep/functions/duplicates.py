@@ -15,22 +15,37 @@ from sparkprep.functions.columns import col, fold_nan
 from sparkprep.functions.lookup import Kept, fits_broadcast
 
 
-def _row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[col(c) for c in df.columns])
+def _row_hash(columns: list[str]) -> Column:
+    return F.xxhash64(*[col(c) for c in columns])
 
 
-def repeated_hashes(folded: DataFrame, kept: Kept) -> DataFrame | None:
+def repeated_hashes(folded: DataFrame, kept: Kept, columns: list[str] | None = None) -> DataFrame | None:
     """Row hashes seen more than once with their counts; None if too many."""
-    counts = folded.groupBy(_row_hash(folded).alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = folded.groupBy(_row_hash(columns or folded.columns).alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
     repeated = kept.keep(counts.where("__n > 1"))
     return repeated if fits_broadcast(repeated) else None
 
 
-def _behind(folded: DataFrame, repeated: DataFrame, kind: str) -> DataFrame:
-    keyed = folded.withColumn("__h", _row_hash(folded))
+def _behind(folded: DataFrame, repeated: DataFrame, kind: str, columns: list[str] | None = None) -> DataFrame:
+    keyed = folded.withColumn("__h", _row_hash(columns or folded.columns))
     return keyed.join(F.broadcast(repeated), "__h", kind).drop("__h")
 
 
+def first_of_equal(df: DataFrame, position: str, kept: Kept) -> DataFrame:
+    """Of rows equal but for ``position`` the one where it is smallest, so that
+    "keep the first" has a meaning; as below, only rows behind a repeated hash
+    are shuffled as long as these are few."""
+    folded = fold_nan(df)
+    values = [c for c in df.columns if c != position]
+    first = lambda rows: rows.groupBy(*[col(c) for c in values]).agg(F.min(col(position)).alias(position)).select(*[col(c) for c in df.columns])
+    repeated = repeated_hashes(folded, kept, values)
+    if repeated is None:
+        return first(folded)
+    if repeated.isEmpty():
+        return folded
+    return _behind(folded, repeated, "left_anti", values).unionByName(first(_behind(folded, repeated, "left_semi", values)))
+
+
 def without_duplicates(df: DataFrame, kept: Kept) -> DataFrame:
     """One row of every set of equal rows; NULL equals NULL and NaN."""
     folded = fold_nan(df)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.columns import INTEGRAL, col, number_of, type_of
-from sparkprep.functions.duplicates import without_duplicates
+from sparkprep.functions.duplicates import first_of_equal, without_duplicates
 from sparkprep.operators.base import Fit, StepPlan, Transform, require_numeric, simple
 
 
@@ -18,10 +18,21 @@ def drop_column(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
 
 
 def drop_duplicates(df: DataFrame, column: str, params: dict[str, Any]) -> StepPlan:
-    """Full-row distinct; NULL equals NULL and NaN."""
+    """Full-row distinct; NULL equals NULL and NaN.
+
+    ``position`` names a column (such as a row number) that plays no part in the
+    comparison: of equal rows the one with the smallest position stays.  A table
+    without that column is compared in full.
+    """
+    position = params.get("position")
 
     def learn(table: DataFrame, fit: Fit) -> Transform:
-        return lambda t: without_duplicates(t, fit.kept)
+        def transform(t: DataFrame) -> DataFrame:
+            if position in t.columns and len(t.columns) > 1:
+                return first_of_equal(t, position, fit.kept)
+            return without_duplicates(t, fit.kept)
+
+        return transform
 
     return StepPlan(learn, set(), set(), removes_rows=True, whole_row=True, shuffles_table=True)
 
