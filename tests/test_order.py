@@ -106,3 +106,11 @@ def test_an_own_column_called_metadata(spark, tmp_path):
     found = sp.with_row_numbers(spark.read.parquet(f"{tmp_path}/t.parquet"))
     assert rows(found.orderBy("row").select("id", "row")) == [(i, i) for i in range(30)]
     assert found.where(F.col("_metadata") != "x").isEmpty()
+
+
+def test_records_joined_from_blocks_have_no_order(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("x,k\n" + "".join(f'{i},"a\nb"\n' for i in range(10)))
+    df = sp.read_table(spark, f"{tmp_path}/t.csv")
+    assert head_sample(df, 4).count() == 4 and sp.preview(df, sp.Recipe([]), n=4).rows == 4
+    with pytest.raises(ValueError):
+        sp.with_row_numbers(df)
