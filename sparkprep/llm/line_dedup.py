@@ -9,6 +9,7 @@ from sparkprep.llm.common import col, kept, union_all
 
 #: Lines of fewer code points match exactly or not at all: one edit is too much of them.
 MIN_CHARS = 10
+MOST_EDITS = 3
 #: Members of a key from which the key is refined before pairs are formed.
 GROUP = 32
 PIECES = 16
@@ -35,26 +36,37 @@ def right(s: Column, n: Column) -> Column:
     return F.substring(s, F.length(s) - n + F.lit(1), n)
 
 
+def probes(max_edits: int) -> list[tuple[int, int, int]]:
+    """``(shorter, seg, shift)`` of a line's keys: its own segments first, then its substrings that may be a segment of an equally long or shorter line.
+
+    Of the ``max_edits + 1`` segments of a line, some segment ``seg`` stands in any
+    line within ``max_edits`` edits, with at most ``seg`` edits before it and at most
+    ``max_edits - seg`` behind it.  That bounds how far it is shifted.
+    """
+    found = [(shorter, seg, shift) for shorter in range(max_edits + 1) for seg in range(max_edits + 1) for shift in range(-seg, seg + 1) if abs(shorter - shift) <= max_edits - seg]
+    return sorted(found, key=lambda x: (x[0] > 0 or x[2] != 0, x))
+
+
+def cut(n: Column, seg: Column | int, parts: Column | int) -> Column:
+    """Where segment ``seg`` of ``parts`` starts in ``n`` characters."""
+    return F.floor(n * seg / parts).cast("int")
+
+
 def segment_keys(line: Column, length: Column, max_edits: int) -> Column:
-    """Array of ``(key, own, seg)``: the line's segments as index entries, and its substrings that probe for shorter lines.
+    """Array of ``(key, own, seg, shorter, shift)``: the line's segments as index entries, and its substrings that probe for lines up to ``max_edits`` shorter.
 
     A line of ``n`` characters is cut into ``max_edits + 1`` segments as even as
-    possible.  A line within ``max_edits`` edits holds one of them unchanged; with
-    one edit the segment before or behind the edit stands at the very start or
-    end.  So a line probes, for every length up to ``max_edits`` below its own, with
-    the prefix and the suffix as long as the segments of that length.  Probes
-    for its own length equal its index entries.
+    possible; ``probes`` says which substrings must be looked up.  With one edit
+    they are the prefix and the suffix.  Probes for the line's own length and
+    place equal its index entries.
     """
     entries = []
-    for shorter in range(max_edits + 1):
+    for shorter, seg, shift in probes(max_edits):
         n = length - shorter
-        if max_edits == 0:
-            parts = [line]
-        else:
-            first = F.floor(n / 2).cast("int")
-            parts = [left(line, first), right(line, n - first)]
-        for seg, part in enumerate(parts):
-            entries.append(F.struct(F.xxhash64(n, F.lit(seg), part).alias("key"), F.lit(shorter == 0).alias("own"), F.lit(seg).alias("seg")))
+        start, stop = cut(n, seg, max_edits + 1), cut(n, seg + 1, max_edits + 1)
+        part = F.substring(line, start + F.lit(shift + 1), stop - start)
+        own = shorter == 0 and shift == 0
+        entries.append(F.struct(F.xxhash64(n, F.lit(seg), part).alias("key"), F.lit(own).alias("own"), *[F.lit(v).alias(c) for c, v in (("seg", seg), ("shorter", shorter), ("shift", shift))]))
     return F.array(*entries)
 
 
@@ -70,7 +82,8 @@ def within(a: str, b: str, k: int) -> Column:
     diagonal, the top bit being row ``column + k``.  ``vp`` and ``vn`` mark vertical
     steps of +1 and -1.  The score follows the top diagonal while it lies inside
     the table (``j <= m - k``), then the last row, whose bit moves down a place
-    per column.
+    per column.  It loses at most one per column left there, so beyond
+    ``2k - (m - n)`` the pair is too far apart and the rest is passed over.
     """
     width = 2 * k + 2
     every = (1 << width) - 1
@@ -83,7 +96,7 @@ def within(a: str, b: str, k: int) -> Column:
         f"(shiftright(hp, greatest(0, {place})) & 1) - (shiftright(d0 & s.vp, greatest(0, {place})) & 1))"
     )
     after = f"named_struct('vp', ((d0 & s.vp) | ~(shiftright(d0, 1) | hp)) & {every}, 'vn', shiftright(d0, 1) & hp, 'score', {score})"
-    step = _let("x", match, _let("d0", f"((((x & s.vp) + s.vp) ^ s.vp) | x | s.vn) & {every}", _let("hp", f"(s.vn | ~(d0 | s.vp)) & {every}", after)))
+    step = f"if(s.score > {2 * k} - ({m} - {n}), s, " + _let("x", match, _let("d0", f"((((x & s.vp) + s.vp) ^ s.vp) | x | s.vn) & {every}", _let("hp", f"(s.vn | ~(d0 | s.vp)) & {every}", after))) + ")"
     start = f"named_struct('vp', {every & ~((1 << (width - k - 1)) - 1)}, 'vn', 0, 'score', {k})"
     run = f"aggregate(if({n} > 0, sequence(1, {n}), cast(array() as array<int>)), {start}, (s, j) -> {step}, s -> s.score)"
     return F.expr(f"case when {m} - {n} > {k} then false when {m} <= {k} then true else {run} <= {k} end")
@@ -97,7 +110,9 @@ def near_lines(candidates: DataFrame, docs: DataFrame, max_edits: int) -> DataFr
     cut into 16 pieces, and lines meet again if all but one piece agree; where
     that is still many, all but one character must agree.  The latter lines are
     one edit apart by construction, so they only need their earliest member as
-    witness.  Every pair is verified.
+    witness.  With more edits, both sides of the segment are partitioned by the
+    edits left to them and must share a segment each; what then still has many
+    members is paired.  Every pair is verified.
     """
     texts = docs.select("doc_id", "body", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     rows = candidates.select("h1", "h2", "at", *[F.col(f"at.{c}").alias(c) for c in PLACE])
@@ -107,6 +122,11 @@ def near_lines(candidates: DataFrame, docs: DataFrame, max_edits: int) -> DataFr
     n = F.length("line")
     keyed = rows.select("*", F.explode(segment_keys(F.col("line"), n, max_edits)).alias("k")).select("h1", "h2", "at", "line", "k.*")
     few, many = crowded(kept(keyed))
+    if max_edits > 1:
+        refined = many.select("h1", "h2", "at", "line", F.explode(side_keys("line", max_edits)).alias("k")).select("h1", "h2", "at", "line", "k.*")
+        few2, many2 = crowded(kept(refined.distinct()))
+        pairs = union_all([pair(few), pair(few2), pair(many2)]).dropDuplicates(["h1", "h2", "o1", "o2"])
+        return verified(pairs, max_edits).select("h1", "h2").distinct()
     # what the segment leaves: the suffix behind the first, the prefix before the last
     size = F.when(F.col("own"), n).otherwise(n - 1)
     rest = F.when(F.col("seg") == 0, right(F.col("line"), n - F.floor(size / 2).cast("int"))).otherwise(left(F.col("line"), n - (size - F.floor(size / 2).cast("int"))))
@@ -123,8 +143,35 @@ def crowded(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("members") <= GROUP).drop("members"), rows.where(F.col("members") > GROUP).drop("members")
 
 
+def side_keys(line: str, max_edits: int) -> Column:
+    """Array of ``(key, own)``: a segment of what stands before the shared one with a segment of what stands behind it.
+
+    Before segment ``seg`` there are at most ``seg`` edits, behind it at most
+    ``max_edits - seg``; either side is partitioned and probed like a line.
+    """
+    text, size = F.col(line), F.length(line)
+    n = size - F.col("shorter")
+    start, stop = cut(n, F.col("seg"), max_edits + 1), cut(n, F.col("seg") + 1, max_edits + 1)
+
+    def parts(side: Column, frame: Column, edits: Column) -> Column:
+        """The keys of one side, ``frame`` long in the index entry."""
+        entries = []
+        for seg in range(max_edits + 1):
+            first, last = cut(frame, seg, edits + 1), cut(frame, F.lit(seg + 1), edits + 1)
+            for shift in range(-seg, seg + 1):
+                fits = (F.abs(F.length(side) - frame - shift) <= edits - seg) & (first + shift >= 0) & (last + shift <= F.length(side))
+                part = F.substring(side, first + F.lit(shift + 1), last - first)
+                entries.append(F.when(fits, F.struct(F.xxhash64(F.lit(seg), part).alias("key"), F.lit(shift == 0).alias("own"))))
+        return F.array_compact(F.array(*entries))
+
+    before = parts(left(text, start + F.col("shift")), start, F.col("seg"))
+    behind = parts(right(text, size - stop - F.col("shift")), n - stop, F.lit(max_edits) - F.col("seg"))
+    both = lambda a, b: F.struct(F.xxhash64(F.col("key"), a["key"], F.lit(0), b["key"]).alias("key"), (F.col("own") & a["own"] & b["own"]).alias("own"))
+    return F.flatten(F.transform(before, lambda a: F.transform(behind, lambda b: both(a, b))))
+
+
 def pair(few: DataFrame) -> DataFrame:
-    """Later and earlier line of every pair of an index entry with a member of its key; ``GROUP`` members at most."""
+    """Later and earlier line of every pair of an index entry with a member of its key."""
     a = few.where("own").select("key", F.struct("at", "h1", "h2", "line").alias("a"))
     b = few.select("key", F.struct("at", "h1", "h2", "line").alias("b"))
     both = a.join(b, "key").where("(a.h1, a.h2) <> (b.h1, b.h2)")
@@ -179,20 +226,12 @@ def witness(last: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, max_edits: int) -> DataFrame:
-    """Pairs within ``max_edits``; common ends cannot change the distance and are cut off first."""
-
-    def prefix(a: str, b: str) -> str:
-        """Length of the common prefix, by binary steps."""
-        steps = ", ".join(str(1 << i) for i in reversed(range(30)))
-        fits = f"at + step <= least(length({a}), length({b})) and substring({a}, 1, at + step) = substring({b}, 1, at + step)"
-        return f"aggregate(array({steps}), 0, (at, step) -> if({fits}, at + step, at))"
-
-    chars = lambda t: f"filter(split({t}, ''), c -> c <> '')"
-    ends = "named_struct('a', substring(l, 1, length(l) - e), 'b', substring(o, 1, length(o) - e))"
-    cut = _let("e", prefix("rl", "ro"), ends)
-    for name, value in (("ro", "reverse(o)"), ("rl", "reverse(l)"), ("o", "substring(other, p + 1)"), ("l", "substring(line, p + 1)"), ("p", prefix("line", "other"))):
-        cut = _let(name, value, cut)
-    both = _let("x", cut, f"if(length(x.a) >= length(x.b), array({chars('x.a')}, {chars('x.b')}), array({chars('x.b')}, {chars('x.a')}))")
+    """Pairs within ``max_edits``, judged by the band from their first difference on."""
+    steps = ", ".join(str(1 << i) for i in reversed(range(30)))
+    fits = "at + step <= least(length(line), length(other)) and substring(line, 1, at + step) = substring(other, 1, at + step)"
+    prefix = f"aggregate(array({steps}), 0, (at, step) -> if({fits}, at + step, at))"  # length of the common prefix, by binary steps
+    chars = lambda t: f"filter(split(substring({t}, p + 1), ''), c -> c <> '')"
+    both = _let("p", prefix, f"if(length(line) >= length(other), array({chars('line')}, {chars('other')}), array({chars('other')}, {chars('line')}))")
     # an array column that is exploded to its single element: evaluated once, whatever reads it
     rest = pairs.select("h1", "h2", F.explode(F.array(F.expr(both))).alias("x")).select("h1", "h2", F.expr("x[0]").alias("a"), F.expr("x[1]").alias("b"))
     return rest.where(within("a", "b", max_edits))
@@ -203,8 +242,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``row`` holds the other columns.
 
-    A line goes if an equal line, or one within ``max_edits`` (0 or 1) edits,
+    A line goes if an equal line, or one within ``max_edits`` (0 to 3) edits,
     stands earlier anywhere: by doc_id (null first), then by place in the text.
+    More than one edit takes ``min_chars`` of 10 per edit at least.
     Lines of fewer than ``min_chars`` code points must be equal; lines of white
     space alone always stay.  Null texts come back empty with one empty line.
     Rows of one doc_id, or without any, are documents of their own, ordered by a
@@ -214,20 +254,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only hashes and key digests of lines are shuffled; texts move once for
     lines that share a key with another and once for the result.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
+    if max_edits not in range(MOST_EDITS + 1):
+        raise ValueError(f"max_edits is 0 to {MOST_EDITS}")
+    if max_edits > 1 and min_chars < MIN_CHARS * max_edits:
+        raise ValueError(f"{max_edits} edits take min_chars of {MIN_CHARS * max_edits} or more")
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("body"), F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("row"))
     line = F.col("line")
     lines = rows.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc_id"), "body", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(line.rlike(r"[^\x20\x09-\x0D]"))
     n = F.length(line)
-    keys = F.when(n >= min_chars, segment_keys(line, n, max_edits)) if max_edits else F.lit(None).cast("array<struct<key:bigint,own:boolean,seg:int>>")
-    lines = kept(lines.select(*PLACE, *hashes(line), *[F.get(keys, i)["key"].alias(f"k{i}") for i in range(4)]))
-    distinct = lines.groupBy("h1", "h2", *[f"k{i}" for i in range(4)]).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("at"))
+    names = [f"k{i}" for i in range(len(probes(max_edits)))] if max_edits else []
+    keys = F.when(n >= min_chars, segment_keys(line, n, max_edits))
+    lines = kept(lines.select(*PLACE, *hashes(line), *[F.get(keys, i)["key"].alias(k) for i, k in enumerate(names)]))
+    distinct = lines.groupBy("h1", "h2", *names).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("at"))
     distinct = kept(distinct)
     near = None
     if max_edits:
-        entries = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i < 2).alias("own")) for i in range(4)])
+        entries = F.array(*[F.struct(F.col(k).alias("key"), F.lit(i <= max_edits).alias("own")) for i, k in enumerate(names)])
         keyed = distinct.where("k0 is not null").select("h1", "h2", "at", F.explode(entries).alias("k")).select("h1", "h2", "at", "k.*")
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("own"), 1)).alias("entries")).where("n > 1 and entries > 0")
         candidates = keyed.join(sizes.select("key"), "key").select("h1", "h2", "at").distinct()

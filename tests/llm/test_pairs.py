@@ -140,6 +140,61 @@ def test_lines_against_brute_force(spark, monkeypatch, group, edits):
     assert got == plain_lines(docs, edits=edits)
 
 
+def long_docs(n, lines, most):
+    """Lines up to ``most`` edits and one more from a few texts, of like characters too."""
+    random.seed(12)
+    base = ["the quick brown fox jumps over the lazy dog", "ab" * 18, "z" * 33, "é日本" * 11, "0123456789" * 3 + "01", "shorter than the others", ""]
+    for i in range(n):
+        text = []
+        for _ in range(lines):
+            line = list(random.choice(base))
+            for _ in range(random.randint(0, most + 1)):
+                at = random.randint(0, len(line))
+                how = random.random()
+                line[at : at + (how < 0.7)] = random.choice("abxyzé") if how > 0.3 else ""
+            text.append("".join(line))
+        yield i, "\n".join(text)
+
+
+@pytest.mark.parametrize("group", [32, 1])
+@pytest.mark.parametrize("edits", [2, 3])
+def test_lines_of_more_edits_against_brute_force(spark, monkeypatch, group, edits):
+    """One segment more than edits, looked up wherever the edits can shift it."""
+    monkeypatch.setattr(line_dedup, "GROUP", group)
+    docs = list(long_docs(40, 4, edits))
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(frame(spark, docs), max_edits=edits, min_chars=10 * edits).collect()}
+    assert got == plain_lines(docs, min_chars=10 * edits, edits=edits)
+
+
+@pytest.mark.parametrize("edits", [2, 3])
+def test_edits_spread_so_that_one_segment_is_left(spark, edits):
+    """Each segment but one is edited; the one left is the first, one in the middle or the last, moved or not."""
+    random.seed(edits)
+    size, rows = 48 // (edits + 1), []
+    for spared in range(edits + 1):
+        for new, skip in (("#", 1), ("", 1), ("#", 0)):
+            line = "".join(random.choices("abcdefghijklmnop", k=48))
+            parts = [line[j : j + size] for j in range(0, 48, size)]
+            rows += [line, "".join(part if i == spared else part[: size // 2] + new + part[size // 2 + skip :] for i, part in enumerate(parts))]
+    assert all(distance(a, b) == edits for a, b in zip(rows[::2], rows[1::2]))
+    got = line_dedup.dedup_lines(frame(spark, list(enumerate(rows))), max_edits=edits, min_chars=10 * edits).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: i % 2 for i in range(len(rows))}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(frame(spark, []), max_edits=4, min_chars=100)
+
+
+def test_the_band_judges_the_pairs(spark, monkeypatch):
+    """Pairs come to the band with all that follows their first difference, none is decided before it."""
+    text = "one of many lines of this table"
+    others = [text[:i] + x + text[i + cut :] for i in (0, 9, 20) for x, cut in (("#", 1), ("", 1), ("#", 0), ("##", 2), ("#", 3))]
+    pairs = spark.createDataFrame([(i, i, text, o) for i, o in enumerate(others)], "h1 long, h2 long, line string, other string")
+    near = {r["h1"] for r in line_dedup.verified(pairs, 1).collect()}
+    assert near == {i for i, o in enumerate(others) if distance(text, o) <= 1}
+    seen = []
+    monkeypatch.setattr(line_dedup, "within", lambda a, b, k: seen.append(k) or F.least(F.size(a), F.size(b)) > k)
+    assert {r["h1"] for r in line_dedup.verified(pairs, 1).collect()} == set(range(len(others))) and seen == [1]
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_banded_distance(spark, k):
     random.seed(k)
