@@ -102,6 +102,34 @@ def within(a: str, b: str, k: int) -> Column:
     return F.expr(f"case when {m} - {n} > {k} then false when {m} <= {k} then true else {run} <= {k} end")
 
 
+def sharing(distinct: DataFrame, names: list[str], max_edits: int) -> DataFrame:
+    """``(h1, h2, at)`` of the distinct lines that share a key with another, one of the two as index entry.
+
+    There are several keys a line, so only half its hash goes with them: a line
+    of the same half comes along and shares no key later on.
+    """
+    entries = F.array(*[F.struct(F.col(k).alias("key"), F.lit(i <= max_edits).alias("own")) for i, k in enumerate(names)])
+    keyed = distinct.where("k0 is not null").select("h1", F.explode(entries).alias("k")).select("h1", "k.*")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("own"), 1)).alias("entries")).where("n > 1 and entries > 0")
+    shared = keyed.join(sizes.select("key"), "key").select("h1").distinct()
+    return distinct.where("k0 is not null").select("h1", "h2", "at").join(shared, "h1", "left_semi")
+
+
+def lines_at(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """``candidates (h1, h2, at)`` with the line that stands there, once for every row of its document.
+
+    Documents move whole and only to the places wanted of them; few lines are.
+    """
+    of = [F.col(f"at.{c}").alias(c) for c in PLACE[:2]]
+    wanted = candidates.groupBy(*of).agg(F.collect_list(F.struct("h1", "h2", "at")).alias("wanted"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc_id"), "body", lines_of(F.col("text")).alias("lines"))
+    found = F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["at"].alias("at"), F.get("lines", w["at"]["pos"]).alias("line")))
+    rows = texts.join(wanted, PLACE[:2]).select(F.explode(found).alias("x")).select("x.*")
+    # the hashes of two texts may be equal
+    h1, h2 = hashes(F.col("line"))
+    return rows.where((F.col("h1") == h1) & (F.col("h2") == h2))
+
+
 def near_lines(candidates: DataFrame, docs: DataFrame, max_edits: int) -> DataFrame:
     """``(h1, h2)`` of the distinct lines within ``max_edits`` of an earlier one.
 
@@ -114,11 +142,7 @@ def near_lines(candidates: DataFrame, docs: DataFrame, max_edits: int) -> DataFr
     edits left to them and must share a segment each; what then still has many
     members is paired.  Every pair is verified.
     """
-    texts = docs.select("doc_id", "body", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    rows = candidates.select("h1", "h2", "at", *[F.col(f"at.{c}").alias(c) for c in PLACE])
-    texts = texts.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc_id"), "body", "pos", "line", *hashes(F.col("line")))
-    rows = kept(rows.join(texts, [*PLACE, "h1", "h2"]).select("h1", "h2", "at", "line").dropDuplicates(["h1", "h2"]))
-
+    rows = kept(lines_at(candidates, docs).dropDuplicates(["h1", "h2"]))
     n = F.length("line")
     keyed = rows.select("*", F.explode(segment_keys(F.col("line"), n, max_edits)).alias("k")).select("h1", "h2", "at", "line", "k.*")
     few, many = crowded(kept(keyed))
@@ -251,8 +275,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash of their texts; only equal rows count as one, so that repeated rows
     keep or lose the same lines.  An empty table gives an empty one.
 
-    Only hashes and key digests of lines are shuffled; texts move once for
-    lines that share a key with another and once for the result.
+    Only hashes and key digests of lines are shuffled; texts move whole, once to
+    the places of lines that share a key with another and once for the result.
     """
     if max_edits not in range(MOST_EDITS + 1):
         raise ValueError(f"max_edits is 0 to {MOST_EDITS}")
@@ -270,10 +294,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = kept(distinct)
     near = None
     if max_edits:
-        entries = F.array(*[F.struct(F.col(k).alias("key"), F.lit(i <= max_edits).alias("own")) for i, k in enumerate(names)])
-        keyed = distinct.where("k0 is not null").select("h1", "h2", "at", F.explode(entries).alias("k")).select("h1", "h2", "at", "k.*")
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("own"), 1)).alias("entries")).where("n > 1 and entries > 0")
-        candidates = keyed.join(sizes.select("key"), "key").select("h1", "h2", "at").distinct()
+        candidates = sharing(distinct, names, max_edits)
         near = near_lines(candidates, rows, max_edits).withColumn("near", F.lit(True))
     marked = distinct.select("h1", "h2", "n", "at")
     marked = marked.join(near, ["h1", "h2"], "left") if near is not None else marked.withColumn("near", F.lit(None).cast("boolean"))

@@ -292,3 +292,24 @@ def test_estimates_are_unbiased_and_bounded():
     i, j = embeddings.estimate_links(np.zeros((2 * n, 1), np.int32), both, factors, np.vstack([rx, ry]).astype(np.float32), 0.95, 0)
     assert {(a, a + n) for a in range(n)} <= set(zip(i.tolist(), j.tolist()))
     assert len(i) < 2 * n  # of 320,000 pairs
+
+
+def test_lines_are_read_at_the_places_wanted(spark, monkeypatch):
+    """No text moves line by line to find the few lines that share a key."""
+    plans, kept = [], line_dedup.kept
+    monkeypatch.setattr(line_dedup, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    docs = frame(spark, [(1, "first of all these lines\n\nsecond of all these lines"), (1, "second of all these linez\nother"), (None, "first of all these lines!"), (None, "first of all these lines!"), (3, "third, unlike the others")])
+    got = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(docs).collect())
+    # null ids first; of the two texts with id 1 the one whose hash is lower
+    first = docs.where("doc_id = 1").orderBy(F.xxhash64("text")).first()["text"]
+    keep = ["second of all these linez\nother", ""] if first.endswith("other") else ["\nsecond of all these lines", "other"]
+    assert got == sorted([("None", "first of all these lines!")] * 2 + [("3", "third, unlike the others")] + [("1", t) for t in keep])
+    assert [i for i, p in enumerate(plans) if "posexplode" in p] == [0]  # the lines of all documents, hashed
+
+
+def test_places_of_texts_with_equal_hashes(spark):
+    """A place whose line has other hashes is of another text."""
+    docs = spark.createDataFrame([(None, 5, "one\ntwo"), (None, 5, "six\nten"), (None, 5, "six"), (2, 5, "two\none")], "doc_id long, body long, text string")
+    hashed = spark.createDataFrame([("two", (line_dedup.FIRST, 5, 1)), ("six", (line_dedup.FIRST, 5, 0)), ("one", (2, 5, 1))], "line string, at struct<doc_id: long, body: long, pos: int>")
+    got = line_dedup.lines_at(hashed.select("at", *line_dedup.hashes(F.col("line"))), docs).select("at.doc_id", "at.pos", "line").collect()
+    assert sorted(map(tuple, got)) == sorted([(line_dedup.FIRST, 1, "two"), (line_dedup.FIRST, 0, "six"), (line_dedup.FIRST, 0, "six"), (2, 1, "one")])
